@@ -36,6 +36,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python at most `rows` documents at a time, unless the session already asks for fewer.
+
+    A batch of long texts is held several times over (JVM, Arrow, Python), so the default of 10,000 rows
+    costs an executor hundreds of megabytes per core.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

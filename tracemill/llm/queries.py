@@ -4,16 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm.common import table
+from tracemill.llm.common import small_batches, table
+from tracemill.llm.op01_token_counts import count_with_edits
+from tracemill.llm.op02_packing import pack
 from tracemill.llm.op05_ngram_jaccard_join import jaccard_classes
+from tracemill.llm.op07_byte_bpe import round_trip_digests
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def sample_edits(text: str = "text", key: str = "doc_id"):
+    """Three edits for every document, placed by its length and id: a deletion, an insertion, a replacement."""
+    n, k = F.length(F.coalesce(F.col(text), F.lit(""))), F.pmod(F.coalesce(F.col(key), F.lit(0)), F.lit(97))
+    edit = lambda at, remove, insert: F.struct(
+        at.cast("int").alias("at"), F.lit(remove).alias("remove"), insert.alias("insert")
+    )
+    return F.array(
+        edit(F.floor(n / 3), 7, F.lit("")),
+        edit(F.floor(n / 2), 0, F.concat(F.lit(" revised "), k.cast("string"), F.lit("'s"))),
+        edit(F.floor(n * k / 97), 5, F.lit("It's 2024.\n")),
+    )
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sample_edits().alias("edits"))
+    return count_with_edits(docs, BYTE_BPE, public_tokenizers.PATTERN)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pack(table(spark, sf_dir, "documents"), WORD_BPE, keep_ids=False)
+
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 OP5_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(
@@ -48,6 +87,9 @@ FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op2_packing": op2_packing,
+        "op7_byte_bpe": op7_byte_bpe,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     }
 
