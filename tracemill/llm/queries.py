@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import small_batches, table
 from tracemill.llm.op01_token_counts import count_with_edits
 from tracemill.llm.op02_packing import pack
+from tracemill.llm.op03_embedding_near_dedup import embedding_links
 from tracemill.llm.op05_ngram_jaccard_join import jaccard_classes
 from tracemill.llm.op07_byte_bpe import round_trip_digests
+from tracemill.llm.op10_toxicity import score, train
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +45,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard_classes(table(spark, sf_dir, "documents"))
@@ -53,6 +59,31 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.other
+), parts AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN parts USING (vec_id)
+"""
+
 OP5_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(
@@ -87,6 +118,8 @@ FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_embedding_near_dedup": op3_embedding_near_dedup,
+        "op10_toxicity": op10_toxicity,
         "op1_token_counts": op1_token_counts,
         "op2_packing": op2_packing,
         "op7_byte_bpe": op7_byte_bpe,
@@ -95,4 +128,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": OP5_SQL}
+    return {"op3_embedding_near_dedup": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
