@@ -13,7 +13,9 @@ from tracemill.llm.op01_token_counts import count_with_edits
 from tracemill.llm.op02_packing import pack
 from tracemill.llm.op03_embedding_near_dedup import embedding_links
 from tracemill.llm.op05_ngram_jaccard_join import jaccard_classes
+from tracemill.llm.op06_html_extraction import extract_text
 from tracemill.llm.op07_byte_bpe import round_trip_digests
+from tracemill.llm.op08_language_id import document_evidence, identify, page_evidence, train_trigrams
 from tracemill.llm.op10_toxicity import score, train
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +61,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (their source is the host) and pages (with markup and address) in one result, told apart by `corpus`."""
+    small_batches(spark)
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = document_evidence(docs).select(F.lit("documents").alias("corpus"), "*", none.alias("page_id"))
+    rows = rows.unionByName(page_evidence(pages).select(F.lit("pages").alias("corpus"), "*", none.alias("doc_id")))
+    found = identify(rows, train_trigrams(docs))
+    return found.select("corpus", "doc_id", "page_id", "lang", "confidence", "rejected", "declared", "host")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -118,6 +136,8 @@ FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_html_extraction": op6_html_extraction,
+        "op8_language_id": op8_language_id,
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op10_toxicity": op10_toxicity,
         "op1_token_counts": op1_token_counts,
