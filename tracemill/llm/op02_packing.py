@@ -9,6 +9,7 @@ lengths lie together. One narrow stage; nothing is shuffled.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tracemill.llm.common import BoundedCache
 
 CONTEXT = 4096
 END_ID = 2
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_000_000
+_PUNCTUATION = ".,;:!?#%&*$|"
 _SPACES = str.maketrans("\n\t\r", "   ")
 
 
@@ -31,26 +34,36 @@ class WordIds:
     """Ids of texts whose tokenizer drops white space: each run between plain spaces is encoded once and remembered.
 
     Neither the normaliser nor the splitting pattern of such a tokenizer looks across white space, so the
-    ids of a text are those of its runs in order.
+    ids of a text are those of its runs in order. A run of plain letters (Latin-1) goes straight to the merges, as lower
+    case in the byte alphabet; final punctuation after letters is a piece of its own. Any other run takes the whole tokenizer.
     """
 
     def __init__(self, tokenizer_file: str):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {chr(k): "".join(p for p, _ in spell(chr(k))) for k in range(0xC0, 0x100)}
         self.packed = BoundedCache(self._pack, WORDS_KEPT)
 
     def _pack(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def warm(self, words: set[str]) -> None:
-        """Encode the words that are not known yet in one call."""
-        known = self.packed
-        new = [w for w in words if w not in known]
-        if len(new) > 64 and len(known) + len(new) <= known.limit:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        if word and "'" not in word and "<" not in word and max(word) < "\u0100":
+            letters = word.rstrip(_PUNCTUATION)
+            if letters and letters[-1].isalpha() and letters != word:
+                return self.packed[letters] + self.packed[word[len(letters) :]]
+            if word.isalpha() and not self.odd.intersection(word):
+                word = word.lower()
+                if not word.isascii():
+                    word = "".join(self.alphabet.get(c, c) for c in word)
+                ids = [t.id for t in self.model.tokenize(word)]
+                return struct.pack(f"<{len(ids)}I", *ids)
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    #: Latin-1 letters outside the range of `alphabet`.
+    odd = frozenset("\u00aa\u00b5\u00ba")
 
     def encode(self, text: str) -> bytes:
-        words = text.translate(_SPACES).split(" ") if not text.isascii() else text.replace("\n", " ").replace("\t", " ").split(" ")
+        words = text.translate(_SPACES).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
         return b"".join(map(self.packed.__getitem__, words))
 
 
