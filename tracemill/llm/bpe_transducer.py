@@ -16,6 +16,8 @@ import base64
 
 import numpy as np
 
+_BYTES = [bytes((k,)) for k in range(256)]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
@@ -24,83 +26,111 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
         self.ranks, self.most_states = ranks, most_states
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
-        self.adjacent: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.adjacent: dict[int, bool] = {}
+        self.split: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[tuple[int, bytes], int] = {}
-        self.states: list[tuple[int, bytes, tuple[int, ...]]] = []
+        #: last emitted token, bytes held, last token of each held prefix, and its token bounds as bits
+        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self.state(-1, b"", ())
+        self.state(-1, b"", (), (1,))
 
-    def state(self, before: int, held: bytes, last: tuple[int, ...]) -> int:
+    def state(self, before: int, held: bytes, last: tuple[int, ...], bounds: tuple[int, ...]) -> int:
         key = (before, held)
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append((before, held, last))
-        return self.ids[key]
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.states)
+            self.states.append((before, held, last, bounds))
+        return found
 
-    def merged(self, parts: list[bytes]) -> list[bytes]:
-        """Merge neighbours in order of rank, leftmost first, until none is in the table."""
+    def merged(self, parts: list[bytes], below: int = 1 << 60) -> list[bytes]:
+        """Merge neighbours in order of rank, leftmost first, while a rank is under `below`."""
         ranks = self.ranks
         while len(parts) > 1:
             best, at = min((ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
-            if best == 1 << 60:
+            if best >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens of the last merge that makes `token`; None for a byte or a token that merges never make."""
+        if token not in self.split:
+            held = self.token_bytes[token]
+            parts = self.merged([held[k : k + 1] for k in range(len(held))], token)
+            self.split[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.split[token]
+
     def stays(self, left: int, right: int) -> bool:
-        """Whether `right` may follow `left` (-1: the start) in an encoding."""
-        if right not in self.whole:
-            token = self.token_bytes[right]
-            self.whole[right] = self.merged([token[k : k + 1] for k in range(len(token))]) == [token]
-        if left < 0 or not self.whole[right]:
-            return self.whole[right]
-        key = (left, right)
-        if key not in self.adjacent:
-            a, b = self.token_bytes[left], self.token_bytes[right]
-            both = a + b
-            self.adjacent[key] = self.merged([both[k : k + 1] for k in range(len(both))]) == [a, b]
-        return self.adjacent[key]
+        """Whether `right` may follow `left` (-1: the start) in an encoding.
+
+        Undoes merges on both sides of the bound, latest first, and looks for a merge
+        across it that would have come before the one undone.
+        """
+        if self.halves(right) is None and len(self.token_bytes[right]) > 1:
+            return False
+        if left < 0:
+            return True
+        key = left << 32 | right
+        found = self.adjacent.get(key)
+        if found is None:
+            found = self.adjacent[key] = self._stays(left, right)
+        return found
+
+    def _stays(self, left: int, right: int) -> bool:
+        ranks, text = self.ranks, self.token_bytes
+        bound = 1 << 60  # merges across the bound that rank under this come first
+        while True:
+            if ranks.get(text[left] + text[right], 1 << 60) < bound:
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                bound, left = left, a[1]
+            else:
+                bound, right = right + 1, b[0]
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, held, last = self.states[state]
-        held += bytes((byte,))
+        before, held, last, bounds = self.states[state]
+        held += _BYTES[byte]
         n = len(held)
+        ranks, prefixes = self.ranks, self.prefixes
         for start in range(max(0, n - self.longest), n):
-            token = self.ranks.get(held[start:])
+            token = ranks.get(held[start:])
             if token is not None and self.stays(last[start - 1] if start else before, token):
-                last += (token,)
                 break
         else:
             raise ValueError("the vocabulary lacks a single byte")
-        shared: set[int] | None = None
-        for start in range(max(0, n - self.longest), n + 1):
-            if start == n or held[start:] in self.prefixes:
-                path, at = {start}, start
-                while at:
-                    at -= len(self.token_bytes[last[at - 1]])
-                    path.add(at)
-                shared = path if shared is None else shared & path
-        cut = max(shared)
+        last += (token,)
+        shared = bounds[start] | 1 << n
+        bounds += (shared,)
+        for start in range(max(0, n - self.longest), n):
+            if held[start:] in prefixes:  # a longer token may begin here
+                shared &= bounds[start]
+                if shared == 1:
+                    found = self.moves[state << 8 | byte] = (self.state(before, held, last, bounds), ())
+                    return found
+        cut = shared.bit_length() - 1
         out, at = [], cut
         while at:
             out.append(last[at - 1])
             at -= len(self.token_bytes[last[at - 1]])
-        to = self.state(out[0] if cut else before, held[cut:], last[cut:])
+        rest = tuple(b >> cut for b in bounds[cut:])
+        to = self.state(out[0] if cut else before, held[cut:], last[cut:], rest)
         found = self.moves[state << 8 | byte] = (to, tuple(reversed(out)))
         return found
 
     def end(self, state: int) -> tuple[int, ...]:
-        _, held, last = self.states[state]
+        _, held, last, _ = self.states[state]
         out, at = [], len(held)
         while at:
             out.append(last[at - 1])

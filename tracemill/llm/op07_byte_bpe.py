@@ -9,6 +9,7 @@ row, so the job is one narrow stage over the input splits.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.bpe_transducer import StreamDecoder, Transducer, read_ranks
 from tracemill.llm.common import BoundedCache
 
-PIECES_KEPT = 600_000
+PIECES_KEPT = 1_200_000
 
 
 class Codec:
@@ -32,7 +33,7 @@ class Codec:
         self.packed = BoundedCache(self._pack, PIECES_KEPT)
 
     def _pack(self, piece: str) -> bytes:
-        return np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
+        return struct.pack(f"<{len(ids := self.transducer.encode(piece.encode('utf-8')))}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
