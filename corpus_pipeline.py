@@ -1,11 +1,81 @@
-"""Corpus pipeline; stages are added as the operators land."""
+"""Corpus pipeline: five stages over `documents`, each written and read again by the caller or chained by run().
 
-STAGES = []
+Language ID and toxicity drop the documents that they reject, the n-gram join
+keeps one document of each group, substring dedup cuts passages that another
+document keeps, and packing returns the pieces of what is left. All but the last stage
+return the columns that they were given.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.llm.common import durable, small_batches, table
+from tracemill.llm.op02_packing import pack
+from tracemill.llm.op04_substring_dedup import passages, remove_passages
+from tracemill.llm.op05_ngram_jaccard_join import jaccard_classes
+from tracemill.llm.op08_language_id import document_evidence, identify, train_trigrams
+from tracemill.llm.op10_toxicity import clean, train
+
+#: Ids to drop are broadcast up to this many rows (16 bytes each); beyond it the documents are shuffled.
+MOST_BROADCAST = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is not among ids (doc_id); a null doc_id stays."""
+    gone = durable(ids.select(F.col("doc_id").alias("gone")).filter(F.col("gone").isNotNull()).distinct())
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = identify(document_evidence(docs), train_trigrams(docs))
+    return without(docs, found.filter("rejected"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return clean(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    classes = jaccard_classes(docs)
+    return without(docs, classes.filter(F.col("component_id") != F.col("doc_id")))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = remove_passages(docs, durable(passages(docs)))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
+
+#: Models, tokenizers and near-duplicate passages are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order. Between them the rows go through the checkpoint folder, as if written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = durable(docs)
     return docs

@@ -113,18 +113,21 @@ def text_evidence(rows: DataFrame, model: TrigramModel, keys: list[str]) -> Data
     return rows.select(*keys, of("text").alias("found")).select(*keys, "found.scores", "found.trigrams")
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - top) for s in scores]
-    return [p / reduce(lambda a, b: a + b, parts) for p in parts]
+def _posterior(rows: DataFrame, scores: list[Column], name: str) -> DataFrame:
+    """Adds columns name0, name1, ...: the softmax of the scores, built in steps so that no expression repeats another."""
+    marks = [f"_s{k}" for k in range(len(scores))]
+    rows = rows.select("*", *(s.alias(m) for m, s in zip(marks, scores, strict=True)))
+    rows = rows.withColumn("_top", F.greatest(*marks) if len(marks) > 1 else F.col(marks[0]))
+    rows = rows.withColumns({m: F.exp(F.col(m) - F.col("_top")) for m in marks})
+    rows = rows.withColumn("_sum", reduce(lambda a, b: a + b, map(F.col, marks)))
+    return rows.withColumns({f"{name}{k}": F.col(m) / F.col("_sum") for k, m in enumerate(marks)}).drop("_top", "_sum", *marks)
 
 
 def fuse(evidence: DataFrame, languages: list[str], strength: float = STRENGTH) -> DataFrame:
     """Adds lang, confidence and rejected to rows with scores, trigrams, host, domain, suffix and declared; null evidence is neutral."""
     classes = range(len(languages))
     total = lambda: [F.sum(f"p{k}").alias(f"s{k}") for k in classes]
-    post = _softmax([F.col("scores")[k] for k in classes])
-    rows = durable(evidence.select("*", *(p.alias(f"p{k}") for k, p in zip(classes, post, strict=True))))
+    rows = durable(_posterior(evidence, [F.col("scores")[k] for k in classes], "p"))
     by_host = durable(rows.groupBy("host", "domain").agg(F.count(F.lit(1)).alias("n"), *total()))
     by_domain = by_host.groupBy(F.col("domain").alias("of_domain")).agg(F.sum("n").alias("dn"), *(F.sum(f"s{k}").alias(f"d{k}") for k in classes))
     whole = by_host.agg(F.sum("n").alias("n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in classes)).first()
@@ -135,11 +138,11 @@ def fuse(evidence: DataFrame, languages: list[str], strength: float = STRENGTH)
     hosts = hosts.select(F.col("host").alias("of_host"), "of_domain", "hn", "dn", *sums)
     on = F.col("host").eqNullSafe(F.col("of_host")) & F.col("domain").eqNullSafe(F.col("of_domain"))
     out = rows.join(hosts, on, "left")
-    prior = []
-    for k in classes:
-        domain = (F.col(f"d{k}") - F.col(f"p{k}") + strength * base[k]) / (F.col("dn") - 1 + strength)
-        prior.append((F.col(f"s{k}") - F.col(f"p{k}") + strength * domain) / (F.col("hn") - 1 + strength))
-    scores = [F.col("scores")[k] + F.log(F.greatest(prior[k], F.lit(1e-12))) for k in classes]
+    domain = {f"d{k}": (F.col(f"d{k}") - F.col(f"p{k}") + strength * base[k]) / (F.col("dn") - 1 + strength) for k in classes}
+    out = out.withColumns(domain)
+    prior = {f"s{k}": (F.col(f"s{k}") - F.col(f"p{k}") + strength * F.col(f"d{k}")) / (F.col("hn") - 1 + strength) for k in classes}
+    out = out.withColumns(prior)
+    scores = [F.col("scores")[k] + F.log(F.greatest(F.col(f"s{k}"), F.lit(1e-12))) for k in classes]
     for name in ("declared", "suffix"):
         seen = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"), *total())
         sums = seen.agg(F.sum("n").alias("n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in classes)).first()
@@ -150,11 +153,14 @@ def fuse(evidence: DataFrame, languages: list[str], strength: float = STRENGTH)
         ]
         out = out.join(seen.select(F.col(name).alias(f"of_{name}"), *likely), F.col(name) == F.col(f"of_{name}"), "left")
         scores = [s + F.coalesce(F.col(f"{name}_{k}"), F.lit(0.0)) for k, s in zip(classes, scores, strict=True)]
-    final = _softmax(scores)
-    best = F.greatest(*final) if len(languages) > 1 else F.lit(1.0)
-    lang = F.coalesce(*(F.when(p == best, F.lit(languages[k])) for k, p in enumerate(final))) if len(languages) > 1 else F.lit(UNKNOWN)
+    out = _posterior(out, scores, "f")
+    final = [F.col(f"f{k}") for k in classes]
+    out = out.withColumn("confidence", F.greatest(*final) if len(languages) > 1 else F.lit(1.0))
+    lang = F.lit(UNKNOWN)
+    for k in reversed(range(len(languages) - 1)):
+        lang = F.when(final[k] == F.col("confidence"), F.lit(languages[k])).otherwise(lang)
     keep = [c for c in evidence.columns if c != "scores"]
-    out = out.select(*keep, lang.alias("lang"), best.alias("confidence"))
+    out = out.select(*keep, lang.alias("lang"), "confidence")
     rejected = (F.col("lang") == UNKNOWN) | (F.col("confidence") < LEAST_CONFIDENCE) | (F.col("trigrams") == 0)
     return out.withColumn("rejected", rejected)
 

@@ -12,10 +12,12 @@ from tracemill.llm.common import small_batches, table
 from tracemill.llm.op01_token_counts import count_with_edits
 from tracemill.llm.op02_packing import pack
 from tracemill.llm.op03_embedding_near_dedup import embedding_links
+from tracemill.llm.op04_substring_dedup import passages
 from tracemill.llm.op05_ngram_jaccard_join import jaccard_classes
 from tracemill.llm.op06_html_extraction import extract_text
 from tracemill.llm.op07_byte_bpe import round_trip_digests
 from tracemill.llm.op08_language_id import document_evidence, identify, page_evidence, train_trigrams
+from tracemill.llm.op09_media_copies import edited, find_copies, pictures
 from tracemill.llm.op10_toxicity import score, train
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,6 +53,11 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard_classes(table(spark, sf_dir, "documents"))
@@ -77,6 +84,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("corpus", "doc_id", "page_id", "lang", "confidence", "rejected", "declared", "host")
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of all vectors, searched with cropped and edited pictures of those whose id is divisible by 50."""
+    small_batches(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return find_copies(edited(pictures(vectors.filter(F.col("vec_id") % 50 == 0))), pictures(vectors))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -136,6 +150,8 @@ FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_substring_dedup": op4_substring_dedup,
+        "op9_media_copies": op9_media_copies,
         "op6_html_extraction": op6_html_extraction,
         "op8_language_id": op8_language_id,
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
