@@ -13,11 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import batches, durable
@@ -100,67 +99,79 @@ def train_trigrams(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> TrigramMo
     return TrigramModel([*languages, UNKNOWN], logs)
 
 
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    parts = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return parts / parts.sum(axis=1, keepdims=True)
+
+
 def text_evidence(rows: DataFrame, model: TrigramModel, keys: list[str]) -> DataFrame:
-    """The key columns, the text's tempered log likelihoods by language, and its number of trigrams."""
+    """The key columns, the text's tempered log likelihoods (scores) and posterior (post) by language, and its number of trigrams."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<scores:array<double>, trigrams:long>")
+    @F.pandas_udf("struct<scores:array<double>, post:array<double>, trigrams:long>")
     def of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in frames:
             found = [sent.value.evidence(t) for t in texts]
-            yield pd.DataFrame({"scores": [f[0] for f in found], "trigrams": [f[1] for f in found]})
+            scores = np.array([f[0] for f in found]).reshape(len(found), -1)
+            post = _softmax(scores) if len(found) else scores
+            yield pd.DataFrame({"scores": list(scores), "post": list(post), "trigrams": [f[1] for f in found]})
+
+    found = rows.select(*keys, of("text").alias("found"))
+    return found.select(*keys, "found.scores", "found.post", "found.trigrams")
+
+
+def _fused(languages: list[str], base: list[float], strength: float):
+    """Log posterior by language from a row's own evidence and the sums joined to it."""
+
+    def matrix(column: pd.Series, neutral: np.ndarray) -> np.ndarray:
+        return np.stack([neutral if x is None else np.asarray(x, np.float64) for x in column])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prior, zero = np.array(base), np.zeros(len(base))
+        for frame in frames:
+            if not len(frame):
+                continue
+            scores, own = matrix(frame["scores"], zero), matrix(frame["post"], zero)
+            host, domain = matrix(frame["host_sums"], zero), matrix(frame["domain_sums"], zero)
+            count = lambda c: frame[c].to_numpy(np.float64)[:, None]  # noqa: E731, B023
+            # the row itself is taken out of both sums
+            of_domain = (domain - own + strength * prior) / (count("domain_rows") - 1 + strength)
+            of_host = (host - own + strength * of_domain) / (count("host_rows") - 1 + strength)
+            total = scores + np.log(np.maximum(of_host, 1e-12))
+            for name in ("declared_logs", "suffix_logs"):
+                total = total + matrix(frame[name], zero)
+            final = _softmax(total)
+            best = final.argmax(axis=1)
+            keep = [c for c in frame.columns if c not in _INNER]
+            yield frame[keep].assign(lang=[languages[k] for k in best], confidence=final[np.arange(len(best)), best])
 
-    return rows.select(*keys, of("text").alias("found")).select(*keys, "found.scores", "found.trigrams")
+    return run
 
 
-def _posterior(rows: DataFrame, scores: list[Column], name: str) -> DataFrame:
-    """Adds columns name0, name1, ...: the softmax of the scores, built in steps so that no expression repeats another."""
-    marks = [f"_s{k}" for k in range(len(scores))]
-    rows = rows.select("*", *(s.alias(m) for m, s in zip(marks, scores, strict=True)))
-    rows = rows.withColumn("_top", F.greatest(*marks) if len(marks) > 1 else F.col(marks[0]))
-    rows = rows.withColumns({m: F.exp(F.col(m) - F.col("_top")) for m in marks})
-    rows = rows.withColumn("_sum", reduce(lambda a, b: a + b, map(F.col, marks)))
-    return rows.withColumns({f"{name}{k}": F.col(m) / F.col("_sum") for k, m in enumerate(marks)}).drop("_top", "_sum", *marks)
+_INNER = {"scores", "post", "host_sums", "host_rows", "domain_sums", "domain_rows", "declared_logs", "suffix_logs"}
 
 
 def fuse(evidence: DataFrame, languages: list[str], strength: float = STRENGTH) -> DataFrame:
-    """Adds lang, confidence and rejected to rows with scores, trigrams, host, domain, suffix and declared; null evidence is neutral."""
+    """Adds lang, confidence and rejected to rows with scores, post, trigrams, host, domain, suffix and declared; null evidence is neutral."""
     classes = range(len(languages))
-    total = lambda: [F.sum(f"p{k}").alias(f"s{k}") for k in classes]
-    rows = durable(_posterior(evidence, [F.col("scores")[k] for k in classes], "p"))
-    by_host = durable(rows.groupBy("host", "domain").agg(F.count(F.lit(1)).alias("n"), *total()))
-    by_domain = by_host.groupBy(F.col("domain").alias("of_domain")).agg(F.sum("n").alias("dn"), *(F.sum(f"s{k}").alias(f"d{k}") for k in classes))
-    whole = by_host.agg(F.sum("n").alias("n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in classes)).first()
-    n = whole["n"] or 0
-    base = [((whole[f"s{k}"] or 0) + 1) / (n + len(languages)) for k in classes]
-    hosts = by_host.withColumnRenamed("n", "hn").join(by_domain, F.col("domain").eqNullSafe(F.col("of_domain")))
-    sums = [f"{x}{k}" for x in "sd" for k in classes]
-    hosts = hosts.select(F.col("host").alias("of_host"), "of_domain", "hn", "dn", *sums)
-    on = F.col("host").eqNullSafe(F.col("of_host")) & F.col("domain").eqNullSafe(F.col("of_domain"))
-    out = rows.join(hosts, on, "left")
-    domain = {f"d{k}": (F.col(f"d{k}") - F.col(f"p{k}") + strength * base[k]) / (F.col("dn") - 1 + strength) for k in classes}
-    out = out.withColumns(domain)
-    prior = {f"s{k}": (F.col(f"s{k}") - F.col(f"p{k}") + strength * F.col(f"d{k}")) / (F.col("hn") - 1 + strength) for k in classes}
-    out = out.withColumns(prior)
-    scores = [F.col("scores")[k] + F.log(F.greatest(F.col(f"s{k}"), F.lit(1e-12))) for k in classes]
+    rows = durable(evidence)
+    sums = F.array(*(F.sum(F.col("post")[k]) for k in classes))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), sums.alias("s")).first()
+    base = [((x or 0.0) + 1) / (whole["n"] + len(languages)) for x in whole["s"]]
+    group = lambda *keys: rows.groupBy(*(F.col(k).alias(f"of_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("n"), sums.alias("s"))
+    same = lambda key: F.col(key).eqNullSafe(F.col(f"of_{key}"))
+    named = lambda df, name: df.withColumnsRenamed({"n": f"{name}_rows", "s": f"{name}_sums"})
+    out = rows.join(named(group("host"), "host"), same("host")).drop("of_host")
+    out = out.join(named(group("domain"), "domain"), same("domain")).drop("of_domain")
     for name in ("declared", "suffix"):
-        seen = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"), *total())
-        sums = seen.agg(F.sum("n").alias("n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in classes)).first()
-        if not sums["n"]:
-            continue
-        likely = [
-            F.log((F.col(f"s{k}") + strength * F.col("n") / sums["n"]) / (sums[f"s{k}"] + strength)).alias(f"{name}_{k}") for k in classes
-        ]
-        out = out.join(seen.select(F.col(name).alias(f"of_{name}"), *likely), F.col(name) == F.col(f"of_{name}"), "left")
-        scores = [s + F.coalesce(F.col(f"{name}_{k}"), F.lit(0.0)) for k, s in zip(classes, scores, strict=True)]
-    out = _posterior(out, scores, "f")
-    final = [F.col(f"f{k}") for k in classes]
-    out = out.withColumn("confidence", F.greatest(*final) if len(languages) > 1 else F.lit(1.0))
-    lang = F.lit(UNKNOWN)
-    for k in reversed(range(len(languages) - 1)):
-        lang = F.when(final[k] == F.col("confidence"), F.lit(languages[k])).otherwise(lang)
-    keep = [c for c in evidence.columns if c != "scores"]
-    out = out.select(*keep, lang.alias("lang"), "confidence")
+        seen = group(name).filter(F.col(f"of_{name}").isNotNull())
+        total = seen.agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("s")[k]) for k in classes)).alias("s")).first()
+        # how likely the value is under each language, smoothed towards its share
+        share = F.col("n") / F.lit(float(total["n"] or 1))
+        logs = F.array(*(F.log((F.col("s")[k] + strength * share) / ((total["s"][k] or 0.0) + strength)) for k in classes))
+        out = out.join(seen.select(f"of_{name}", logs.alias(f"{name}_logs")), F.col(name) == F.col(f"of_{name}"), "left").drop(f"of_{name}")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in _INNER)
+    out = out.mapInPandas(_fused(languages, base, strength), f"{schema}, lang string, confidence double")
     rejected = (F.col("lang") == UNKNOWN) | (F.col("confidence") < LEAST_CONFIDENCE) | (F.col("trigrams") == 0)
     return out.withColumn("rejected", rejected)
 
