@@ -8,11 +8,13 @@ sequence form a class, represented by its least doc_id. Representatives with ide
 prefix and size form a group, and only one member of a group posts the prefix.
 
 Candidates come in two rounds, so that a large group of near copies never
-makes all its pairs. First each document is verified against the least member of
-its group, and each group's poster against the least poster of every posting
-list. Links found make components. Then, for every posting list that still spans
-several components, groups are expanded and all pairs across components that pass the size
-filter are verified. Pairs within one component can't change it, so components are exact:
+makes all its pairs. First each document is verified against the poster of
+its group, and each poster against the poster with the smallest share of unmatched shingles in every posting
+list (the original, as a rule, where the others are its edited copies). Links found make components. Then, for every posting list that still spans
+several components, groups are expanded and all pairs across components that pass the bound
+below are verified. Bound: shingles that only one document has match nothing, so an overlap is at most the
+lesser count of the others; and the first shingle that two sets share stands so early in both prefixes that the
+needed overlap still fits behind it. Pairs within one component can't change it, so components are exact:
 no link is lost and no link below the bound is used.
 """
 
@@ -31,7 +33,7 @@ from tracemill.llm.common import SIMILARITY_PERCENT, durable, shingle_sequence,
 from tracemill.llm.components import connected_components
 from tracemill.llm.shingle_levels import level_of, shingle_levels
 
-_SETS = "doc_id long, n_shingles long, sequence binary, prefix_key binary, prefix array<long>, shingles binary"
+_SETS = "doc_id long, n_shingles long, matchable long, sequence binary, prefix_key binary, prefix array<long>, shingles binary"
 
 
 def prefix_length(size: int, percent: int = SIMILARITY_PERCENT) -> int:
@@ -53,7 +55,7 @@ def _sets(levels: Broadcast, percent: int):
                 h = np.unique(shingle_sequence(words))
                 n = len(h)
                 if not n:
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, 0, 0, None, None, None, None))
                     continue
                 sequence = xxhash.xxh3_128_digest(b" ".join(words))
                 level = level_of(table, h)
@@ -61,11 +63,11 @@ def _sets(levels: Broadcast, percent: int):
                 first = np.lexsort((h, level))[:length]
                 shared = first[level[first] > 0]
                 if not len(shared):
-                    rows.append((doc_id, n, sequence, None, None, None))
+                    rows.append((doc_id, n, 0, sequence, None, None, None))
                     continue
                 key = xxhash.xxh3_128_digest(h[first].tobytes() + n.to_bytes(8, "little"))
-                rows.append((doc_id, n, sequence, key, h[shared].view(np.int64), h.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sequence", "prefix_key", "prefix", "shingles"]).astype(
+                rows.append((doc_id, n, int((level > 0).sum()), sequence, key, h[shared].view(np.int64), h.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "matchable", "sequence", "prefix_key", "prefix", "shingles"]).astype(
                 {"doc_id": "Int64"}
             )
 
@@ -93,9 +95,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_verify(percent), "a long, b long")
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the bound."""
-    return pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes n and counts m of matchable shingles allow the similarity."""
+    overlap = F.least("m_a", "m_b")
+    return pairs.filter(100 * overlap >= percent * (F.col("n_a") + F.col("n_b") - overlap))
+
+
+def _early(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may meet for the first time at this shingle: the overlap still fits from its place on."""
+    needed = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    return pairs.filter((F.col("place_a") <= F.col("size_a") - needed) & (F.col("place_b") <= F.col("size_b") - needed))
+
+
+def _side(rows: DataFrame, c: str) -> DataFrame:
+    return rows.select(
+        "kind",
+        "token",
+        F.col("component").alias(f"component_{c}"),
+        F.col("doc_id").alias(c),
+        *(F.col(x).alias(f"{x}_{c}") for x in ("n", "m", "size", "place")),
+    )
+
+
+def _meeting(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    return _early(_possible(_side(rows, "a").join(_side(rows, "b"), keys), percent), percent)
 
 
 def shingle_sets(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -119,23 +142,34 @@ def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     reps = durable(
         posting.join(same.select("sequence", F.col("rep").alias("doc_id")), ["sequence", "doc_id"], "left_semi")
         .dropDuplicates(["doc_id", "sequence"])
-        .select("doc_id", F.col("n_shingles").alias("n"), "prefix_key", "prefix", "shingles")
+        .select("doc_id", F.col("n_shingles").alias("n"), F.col("matchable").alias("m"), "prefix_key", "prefix", "shingles")
     )
     groups = reps.groupBy("prefix_key").agg(F.min("doc_id").alias("poster"))
-    members = reps.select("doc_id", "n", "prefix_key").join(groups, "prefix_key").select("doc_id", "n", "poster")
+    members = reps.select("doc_id", "n", "m", "prefix_key").join(groups, "prefix_key").select("doc_id", "n", "m", "poster")
     posted = (
         reps.join(groups.select(F.col("poster").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("poster"), "n", F.explode("prefix").alias("token"))
-        .distinct()
+        .select(F.col("doc_id").alias("poster"), "n", "m", F.posexplode("prefix").alias("rank", "token"))
+        .groupBy("poster", "n", "m", "token")
+        .agg((F.min("rank") + F.col("n") - F.col("m")).alias("place"))  # behind the shingles that match nothing
+    )
+    unmatched = (1_000_000 * (F.col("n") - F.col("m")) / F.col("n")).cast("long")
+    lists = posted.groupBy("token").agg(
+        F.min(F.struct(unmatched.alias("unmatched"), "poster", "n", "m")).alias("first"), F.count(F.lit(1)).alias("k")
     )
-    lists = posted.groupBy("token").agg(F.min(F.struct("poster", "n")).alias("first"), F.count(F.lit(1)).alias("k"))
-    lists = lists.filter(F.col("k") > 1).select("token", F.col("first.poster").alias("a"), F.col("first.n").alias("n_a"))
+    lists = lists.filter(F.col("k") > 1).select("token", *(F.col(f"first.{c}").alias(f"{c}_a") for c in ("poster", "n", "m")))
     posted = durable(posted.join(lists, "token"))
-    star = posted.filter(F.col("poster") > F.col("a")).select("a", "n_a", F.col("poster").alias("b"), F.col("n").alias("n_b"))
-    inner = members.filter(F.col("doc_id") > F.col("poster")).select(
-        F.col("poster").alias("a"), F.col("n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")
+    star = posted.filter(F.col("poster") != F.col("poster_a")).select(
+        F.col("poster_a").alias("a"), "n_a", "m_a", F.col("poster").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b")
+    )
+    head = members.filter(F.col("doc_id") == F.col("poster")).select(
+        F.col("doc_id").alias("poster"), F.col("n").alias("n_a"), F.col("m").alias("m_a")
+    )
+    inner = (
+        members.filter(F.col("doc_id") != F.col("poster"))
+        .join(head, "poster")
+        .select(F.col("poster").alias("a"), "n_a", "m_a", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
     )
-    pairs = _sized(star.unionByName(inner), percent).select("a", "b").distinct()
+    pairs = _possible(star.unionByName(inner), percent).select("a", "b").distinct()
     links = durable(_verified(pairs, reps, percent))
     part = durable(connected_components(links))
 
@@ -145,9 +179,9 @@ def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
             "component", F.coalesce("component", "doc_id")
         )
     )
-    by_list = posted.select("token", "poster").join(placed, "poster").select("token", "component", "doc_id", "n")
-    by_group = placed.select(F.col("poster").alias("token"), "component", "doc_id", "n")
-    # a group is a list too; its least member's id, moved to a second column, keeps it apart from shingles
+    by_list = posted.select("token", "poster", "place").join(placed, "poster").select("token", "component", "doc_id", "n", "m", "place")
+    by_group = placed.select(F.col("poster").alias("token"), "component", "doc_id", "n", "m", F.lit(0).cast("long").alias("place"))
+    # a group is a list too; its own kind keeps its poster's id apart from shingles
     spread = by_list.withColumn("kind", F.lit(0)).unionByName(by_group.withColumn("kind", F.lit(1)))
     several = (
         spread.groupBy("kind", "token")
@@ -156,15 +190,15 @@ def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
         .select("kind", "token")
     )
     spread = durable(spread.join(several, ["kind", "token"]))
-    parts = spread.select("kind", "token", "component").distinct()
-    left = parts.withColumnRenamed("component", "component_a")
-    right = parts.withColumnRenamed("component", "component_b")
-    across = left.join(right, ["kind", "token"]).filter(F.col("component_a") < F.col("component_b"))
-    side = lambda c: spread.select(
-        "kind", "token", F.col("component").alias(f"component_{c}"), F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}")
+    # a component's members on a list, at their best; then the members themselves
+    parts = spread.groupBy("kind", "token", "component").agg(
+        F.min("n").alias("n"), F.max("n").alias("size"), F.max("m").alias("m"), F.min("place").alias("place")
     )
+    across = _meeting(parts.withColumn("doc_id", F.col("component")), ["kind", "token"], percent)
+    across = across.filter(F.col("component_a") < F.col("component_b")).select("kind", "token", "component_a", "component_b")
+    side = lambda c: _side(spread.withColumn("size", F.col("n")), c)
     rest = across.join(side("a"), ["kind", "token", "component_a"]).join(side("b"), ["kind", "token", "component_b"])
-    rest = _sized(rest, percent).select("a", "b").distinct()
+    rest = _early(_possible(rest, percent), percent).select("a", "b").distinct()
     late = durable(_verified(rest, reps, percent))
 
     copies = named.join(same.filter(F.col("copies") > 1), "sequence").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
