@@ -103,7 +103,7 @@ WITH RECURSIVE v AS (
 ), good AS (
   SELECT vec_id, label, e FROM v
   WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
@@ -126,16 +126,16 @@ WITH RECURSIVE words AS (
   SELECT DISTINCT doc_id, s FROM (
     SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
       WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
     FROM words)
 ), sizes AS (
   SELECT d.doc_id, count(s.s) AS n FROM (SELECT DISTINCT doc_id FROM documents) d
   LEFT JOIN shingles s USING (doc_id) GROUP BY d.doc_id
-), overlaps AS (
+), common AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM overlaps JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
   WHERE 100 * c >= 80 * (p.n + q.n - c)
 ), edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links
 ), reach(doc_id, other) AS (
