@@ -96,12 +96,12 @@ def upstream_membership(spark, d):
     return joined.select("p_partkey", F.when(F.col("known").isNull(), "gap").otherwise("linked").alias("status"))
 
 
-_FOODS = ["BRASS", "steel plated", "ECONOMY", "small"]
+_FOODS = ["BRASS", "steel standard", "ECONOMY", "small"]
 
 
 @register(
     "J8_first_food_match",
-    """WITH foods(n, food) AS (VALUES (1, 'brass'), (2, 'steel plated'), (3, 'economy'), (4, 'small')),
+    """WITH foods(n, food) AS (VALUES (1, 'brass'), (2, 'steel standard'), (3, 'economy'), (4, 'small')),
        words AS (SELECT n, food, food AS word FROM foods UNION SELECT n, food, w FROM (SELECT n, food, unnest(string_split(food, ' ')) AS w FROM foods) WHERE length(w) > 4)
        SELECT p_partkey, arg_min(food, n) AS food FROM part JOIN words ON contains(lower(p_type), word) GROUP BY p_partkey""",
 )
@@ -215,11 +215,11 @@ def existing_references(spark, d):
 
 @register(
     "J16_shadow_match",
-    """WITH w AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark) WHERE length(word) >= 9)
+    """WITH w AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark) WHERE length(word) >= 7)
        SELECT a.item_id AS draft, b.item_id AS challenge, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.item_id < b.item_id GROUP BY 1, 2""",
 )
 def shadow_match(spark, d):
-    words = table(spark, d, "benchmark").select("item_id", F.explode(distinct_words("text", 9)).alias("word"))
+    words = table(spark, d, "benchmark").select("item_id", F.explode(distinct_words("text", 7)).alias("word"))
     a, b = words.withColumnRenamed("item_id", "draft"), words.withColumnRenamed("item_id", "challenge")
     return a.join(b, "word").filter("draft < challenge").groupBy("draft", "challenge").agg(F.count(F.lit(1)).alias("shared"))
 
@@ -295,14 +295,14 @@ def integrity(spark, d):
 
 @register(
     "J22_best_score_match",
-    """WITH words AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_type), ' '))) AS w FROM part),
-            catalog(c, w) AS (VALUES ('plated', 'plated'), ('plated', 'steel'), ('plated', 'economy'), ('burnished', 'burnished'), ('burnished', 'brass'), ('burnished', 'large')),
+    """WITH words AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS w FROM part),
+            catalog(c, w) AS (VALUES ('rings', 'ring'), ('rings', 'small'), ('rings', 'economy'), ('bolts', 'blue'), ('bolts', 'bolt'), ('bolts', 'promo')),
             hits AS (SELECT p_partkey, c, count(*) AS overlap FROM words JOIN catalog USING (w) GROUP BY ALL)
        SELECT p_partkey, m.c AS catalog, m.o AS overlap FROM (SELECT p_partkey, max(struct_pack(o := overlap, c := c)) AS m FROM hits GROUP BY p_partkey) WHERE m.o >= 2""",
 )
 def best_score(spark, d):
-    catalog = spark.createDataFrame([("plated", ["plated", "steel", "economy"]), ("burnished", ["burnished", "brass", "large"])], "catalog string, words array<string>")
-    words = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_type"), " "))).alias("w"))
+    catalog = spark.createDataFrame([("rings", ["ring", "small", "economy"]), ("bolts", ["blue", "bolt", "promo"])], "catalog string, words array<string>")
+    words = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("w"))
     hits = words.join(F.broadcast(catalog.select("catalog", F.explode("words").alias("w"))), "w").groupBy("p_partkey", "catalog").agg(F.count(F.lit(1)).alias("overlap"))
     best = hits.groupBy("p_partkey").agg(F.max(F.struct("overlap", "catalog")).alias("m")).filter("m.overlap >= 2")
     return best.select("p_partkey", "m.catalog", "m.overlap")
