@@ -1,0 +1,304 @@
+"""Scalar functions, projections and filters on the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracemill.functions import scalars as S
+from tracemill.plans import cards
+from tracemill.plans.registry import register, table
+
+_PLACEHOLDERS = ", ".join(f"'{p}'" for p in cards.PLACEHOLDERS)
+
+
+@register("F1_cell_to_string", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ordered, trim('  ' || o_orderstatus || ' ') AS status FROM orders")
+def cell_to_string(spark, d):
+    orders = table(spark, d, "orders")
+    return orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), S.strip(F.concat(F.lit("  "), "o_orderstatus", F.lit(" "))).alias("status"))
+
+
+@register(
+    "F2_normalize_value",
+    """SELECT p_partkey, replace(upper(p_brand), ' ', '') AS lot, regexp_extract(replace('1,' || p_size || ' lb', ',', ''), '-?\\d+(?:\\.\\d+)?') AS quantity,
+       CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS flag FROM part""",
+)
+def normalize_value(spark, d):
+    part = table(spark, d, "part")
+    amount = F.concat(F.lit("1,"), F.col("p_size").cast("string"), F.lit(" lb"))
+    flag = F.when(F.col("p_size") % 2 == 0, "Y").otherwise("false")
+    return part.select(
+        "p_partkey",
+        S.normalize_value("p_brand", F.lit("traceability_lot_code")).alias("lot"),
+        S.normalize_value(amount, F.lit("quantity")).alias("quantity"),
+        S.normalize_value(flag, F.lit("is_ftl_maybe")).alias("flag"),
+    )
+
+
+@register("F3_parse_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS us, strftime(o_orderdate, '%Y-%m-%d') AS packed, strftime(o_orderdate, '%Y-%m-%d') AS named FROM orders")
+def parse_date(spark, d):
+    written = lambda pattern: S.parse_date(F.date_format("o_orderdate", pattern))
+    return table(spark, d, "orders").select("o_orderkey", written("M/d/yyyy").alias("us"), written("yyyyMMdd").alias("packed"), written("d-MMM-yyyy").alias("named"))
+
+
+@register(
+    "F4_unit_and_quantity",
+    "SELECT l_orderkey, l_linenumber, l_quantity::INTEGER::VARCHAR AS quantity, CASE l_returnflag WHEN 'R' THEN 'lb' WHEN 'A' THEN 'case' ELSE 'kg' END AS unit FROM lineitem",
+)
+def unit_quantity(spark, d):
+    said = F.when(F.col("l_returnflag") == "R", "Pounds").when(F.col("l_returnflag") == "A", "CS").otherwise("kgs.")
+    amount = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" units"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.normalize_quantity(amount).alias("quantity"), S.normalize_unit(said).alias("unit"))
+
+
+@register(
+    "F5_slug_and_key",
+    "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS slug, replace(lower(p_name), '_', ' ') AS header, 'part-' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS stable FROM part",
+)
+def slugs(spark, d):
+    both = F.concat_ws(" / ", "p_name", "p_brand")
+    return table(spark, d, "part").select("p_partkey", S.slug(both).alias("slug"), S.header_key("p_name").alias("header"), S.stable_id("part", "p_brand").alias("stable"))
+
+
+@register("F6_title", "SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part")
+def titles(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.title("p_name").alias("title"))
+
+
+_TYPE_NAMES = "CASE event_type WHEN 'purchase' THEN 'ship' WHEN 'click' THEN 'Initial_Packing' WHEN 'view' THEN 'blending' ELSE 'first land-based receiving' END"
+
+
+@register(
+    "F7_normalize_event_type",
+    "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'shipping' WHEN 'click' THEN 'initial_packing' WHEN 'view' THEN NULL ELSE 'first_land_based_receiving' END AS evidence, CASE event_type WHEN 'purchase' THEN 'shipping' WHEN 'click' THEN 'initial_packing' WHEN 'view' THEN 'transformation' ELSE NULL END AS classifier FROM events",
+)
+def event_types(spark, d):
+    said = F.expr(_TYPE_NAMES)
+    return table(spark, d, "events").select("event_id", S.evidence_cte(said).alias("evidence"), S.classifier_cte(said).alias("classifier"))
+
+
+@register(
+    "F8_field_type",
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'number' WHEN 2 THEN 'formula' ELSE 'text' END AS kind FROM orders",
+)
+def field_types(spark, d):
+    n = F.col("o_orderkey") % 4
+    value = F.when(n == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(n == 1, F.col("o_orderkey").cast("string")).when(n == 2, "=A1+2").otherwise(F.col("o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", S.field_type(F.lit("remark"), value).alias("kind"))
+
+
+@register("F9_inferred_facts", "SELECT page_id, m AS fact FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(url, '[a-z-]+\\.example\\.(?:com|net|org)'))) AS m FROM pages)")
+def inferred_facts(spark, d):
+    found = F.array_distinct(F.regexp_extract_all("url", F.lit(r"[a-z-]+\.example\.(?:com|net|org)"), 0))
+    return table(spark, d, "pages").select("page_id", F.explode(found).alias("fact"))
+
+
+@register(
+    "F10_food_form",
+    """SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY') THEN false WHEN p_size > 10 THEN true END AS remains, (p_type = 'ECONOMY' OR p_size <= 10) AS review,
+       CASE WHEN p_type = 'ECONOMY' THEN 'canned' WHEN p_type = 'PROMO' THEN 'frozen' ELSE '' END AS states FROM part""",
+)
+def food_forms(spark, d):
+    form = F.when(F.col("p_type") == "ECONOMY", "Canned").when(F.col("p_type") == "PROMO", "FROZEN pack")
+    category = F.when(F.col("p_size") > 10, "listed")
+    found = S.food_form(F.lit("plain item"), category, form)
+    rows = table(spark, d, "part").select("p_partkey", found.alias("f"))
+    return rows.select("p_partkey", F.col("f.remains_listed").alias("remains"), F.col("f.review_required").alias("review"), F.concat_ws(",", "f.form_state").alias("states"))
+
+
+@register(
+    "F11_actor_role",
+    "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'distributor' WHEN 'MACHINERY' THEN 'farm' WHEN 'FURNITURE' THEN 'shipper' ELSE 'unknown' END AS role FROM customer",
+)
+def roles(spark, d):
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "cold warehouse").when(F.col("c_mktsegment") == "MACHINERY", "Grower")
+    event = F.when(F.col("c_mktsegment") == "FURNITURE", "ship")
+    return table(spark, d, "customer").select("c_custkey", S.actor_role(F.lit("x"), kind, event)["role"].alias("role"))
+
+
+@register("F12_match_token", "SELECT p_partkey, trim(regexp_replace(lower(p_name || '--' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS token FROM part")
+def match_tokens(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.match_token(F.concat_ws("--", "p_name", "p_brand")).alias("token"))
+
+
+@register(
+    "F13_chunk_guard",
+    "SELECT doc_id, CASE WHEN length(text) <= 120 AND regexp_matches(lower(text), '(the|les|der)') AND NOT regexp_matches(lower(text), '(and|und|que)') THEN 'rejected' ELSE 'kept' END AS side FROM documents",
+)
+def chunk_guard(spark, d):
+    text = F.lower("text")
+    short = (F.length("text") <= 120) & text.rlike("(the|les|der)") & ~text.rlike("(and|und|que)")
+    return table(spark, d, "documents").select("doc_id", F.when(short, "rejected").otherwise("kept").alias("side"))
+
+
+@register("F14_summary", "SELECT doc_id, CASE WHEN length(text) > 180 THEN left(text, 177) || '...' ELSE text END AS summary FROM documents")
+def summary(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.shortened("text").alias("summary"))
+
+
+@register("F15_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def digests(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.sha256("text").alias("digest"))
+
+
+@register("F16_row_hash_id", "SELECT o_orderkey, 'run-' || left(sha256(o_orderkey || '|' || coalesce(o_orderstatus, '') || '|' || coalesce(o_orderpriority, '')), 24) AS row_id FROM orders")
+def row_ids(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", S.row_hash_id("run-", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("row_id"))
+
+
+@register("F17_canonical_hash", """SELECT n_nationkey, sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '"}') AS digest FROM nation""")
+def canonical(spark, d):
+    text = F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))  # fields in name order
+    return table(spark, d, "nation").select("n_nationkey", S.sha256(text).alias("digest"))
+
+
+@register("F18_sentence_split", "SELECT item_id, len(regexp_split_to_array(text, '\\.\\s+')) AS sentences FROM benchmark")
+def sentences(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.size(F.split("text", r"(?<=\.)\s+")).cast("long").alias("sentences"))
+
+
+@register("F19_inference", "SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'required' WHEN contains(lower(o_orderpriority), 'not') THEN 'conditional' ELSE 'optional' END AS need FROM orders")
+def inference(spark, d):
+    text = F.lower("o_orderpriority")
+    need = F.when(S.contains_any(text, ["urgent"]), "required").when(S.contains_any(text, ["not"]), "conditional").otherwise("optional")
+    return table(spark, d, "orders").select("o_orderkey", need.alias("need"))
+
+
+@register(
+    "F20_token_support",
+    """WITH w AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark), c AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ds FROM documents)
+       SELECT item_id, len(list_filter(ws, lambda x: list_contains(ds, x))) AS overlap,
+              len(list_filter(ws, lambda x: list_contains(ds, x))) >= greatest(2, floor(0.35 * len(list_distinct(ws)))) AS supported FROM w JOIN c ON doc_id = item_id""",
+)
+def token_support(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
+    claims = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), words.alias("ws"))
+    joined = claims.join(table(spark, d, "documents").select("doc_id", S.distinct_words("text").alias("ds")), "doc_id")
+    overlap = F.size(F.filter("ws", lambda w: F.array_contains("ds", w)))
+    need = F.greatest(F.lit(2), F.floor(0.35 * F.size(F.array_distinct("ws"))))
+    return joined.select(F.col("doc_id").alias("item_id"), overlap.cast("long").alias("overlap"), (overlap >= need).alias("supported"))
+
+
+@register(
+    "F21_conflict_signature",
+    "SELECT lower(p_brand) || '|' || lower(p_type) AS signature, count(DISTINCT p_size) AS variants FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1",
+)
+def signatures(spark, d):
+    key = F.concat_ws("|", F.lower("p_brand"), F.lower("p_type"))
+    return table(spark, d, "part").groupBy(key.alias("signature")).agg(F.count_distinct("p_size").alias("variants")).filter("variants > 1")
+
+
+@register(
+    "F22_regex_inference",
+    """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), '\\bthe\\b') THEN 'en' END, CASE WHEN regexp_matches(lower(text), '\\b(les|une)\\b') THEN 'fr' END,
+       CASE WHEN regexp_matches(lower(text), '\\bder\\b') THEN 'de' END) AS kinds FROM documents""",
+)
+def regex_inference(spark, d):
+    text = F.lower("text")
+    kinds = [F.when(text.rlike(p), F.lit(k)) for k, p in (("en", r"\bthe\b"), ("fr", r"\b(les|une)\b"), ("de", r"\bder\b"))]
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", *kinds).alias("kinds"))
+
+
+@register(
+    "F23_signal_families",
+    """SELECT family, count(*) AS docs FROM (SELECT doc_id, 'strong' AS family FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'moron')
+       UNION ALL SELECT doc_id, 'weak' FROM documents WHERE contains(lower(text), 'loser') OR contains(lower(text), 'clown')) GROUP BY family""",
+)
+def families(spark, d):
+    text = F.lower("text")
+    found = F.array_compact(F.array(F.when(S.contains_any(text, ["idiot", "moron"]), F.lit("strong")), F.when(S.contains_any(text, ["loser", "clown"]), F.lit("weak"))))
+    return table(spark, d, "documents").select(F.explode(found).alias("family")).groupBy("family").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@register(
+    "F24_grounding",
+    """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ws FROM benchmark), c AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ds FROM documents)
+       SELECT item_id, len(list_filter(ws, lambda x: NOT list_contains(ds, x))) AS stray, list_has_any(ws, ds) AS grounded FROM w JOIN c ON doc_id = item_id""",
+)
+def grounding(spark, d):
+    words = lambda: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
+    joined = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), words().alias("ws")).join(table(spark, d, "documents").select("doc_id", words().alias("ds")), "doc_id")
+    return joined.select(F.col("doc_id").alias("item_id"), F.size(F.array_except("ws", "ds")).cast("long").alias("stray"), F.arrays_overlap("ws", "ds").alias("grounded"))
+
+
+@register("F25_cell_pointer", "SELECT s_suppkey, split_part(s_name, '#', 1) AS sheet, split_part(s_name, '#', 2)::BIGINT AS row_no FROM supplier")
+def pointers(spark, d):
+    part = lambda k: F.regexp_extract("s_name", r"^([A-Za-z]+)#(\d+)$", k)
+    return table(spark, d, "supplier").select("s_suppkey", part(1).alias("sheet"), part(2).cast("long").alias("row_no"))
+
+
+@register("F26_boolean", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS answer FROM lineitem")
+def booleans(spark, d):
+    said = F.when(F.col("l_returnflag") == "R", " Yes").when(F.col("l_returnflag") == "A", "N").otherwise("perhaps")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.tri_state(said).alias("answer"))
+
+
+@register("F28_json", "SELECT (json_extract_string(props, '$.k'))::BIGINT % 10 AS digit, count(*) AS n FROM events GROUP BY 1")
+def json_values(spark, d):
+    digit = F.get_json_object("props", "$.k").cast("long") % 10
+    return table(spark, d, "events").groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("P5_field_mapping", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'quantity' WHEN p_size % 3 = 1 THEN 'traceability_lot_code' ELSE trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') END AS field_key, CASE WHEN p_size % 3 = 0 THEN 0.98 WHEN p_size % 3 = 1 THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence FROM part")
+def field_mapping(spark, d):
+    from tracemill.operators.evidence import map_field
+
+    header = F.when(F.col("p_size") % 3 == 0, "Quantity").when(F.col("p_size") % 3 == 1, "Lot #").otherwise(F.col("p_brand"))
+    rows = table(spark, d, "part").select("p_partkey", map_field(header).alias("m"))
+    return rows.select("p_partkey", "m.field_key", F.col("m.confidence").alias("confidence"))
+
+
+@register("P6_confidence_filters", "SELECT CASE WHEN p_size >= 30 THEN 'mapped' WHEN p_size >= 25 THEN 'low' ELSE 'question' END AS side, count(*) AS n FROM part GROUP BY 1")
+def confidence_filters(spark, d):
+    sure = F.col("p_size") / 50
+    side = F.when(sure >= 0.6, "mapped").when(sure >= 0.5, "low").otherwise("question")
+    return table(spark, d, "part").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("P7_placeholders", f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN ' TBD ' WHEN 1 THEN o_orderstatus ELSE '' END AS raw, lower(trim(CASE o_orderkey % 3 WHEN 0 THEN ' TBD ' WHEN 1 THEN o_orderstatus ELSE '' END)) NOT IN ({_PLACEHOLDERS}) AS answered FROM orders")
+def placeholders(spark, d):
+    n = F.col("o_orderkey") % 3
+    raw = F.when(n == 0, " TBD ").when(n == 1, F.col("o_orderstatus")).otherwise("")
+    return table(spark, d, "orders").select("o_orderkey", raw.alias("raw"), S.is_answered(raw).alias("answered"))
+
+
+@register("P8_event_rows", "SELECT event_id FROM events WHERE event_type IN ('purchase', 'click') AND json_extract_string(props, '$.k') IS NOT NULL AND user_id % 2 = 0")
+def event_rows(spark, d):
+    keys = F.array_compact(F.array(F.when(F.col("event_type").isin("purchase", "click"), F.lit("event")), F.when(F.col("user_id") % 2 == 0, F.lit("item"))))
+    both = F.arrays_overlap(keys, F.array(F.lit("event"))) & F.arrays_overlap(keys, F.array(F.lit("item")))
+    return table(spark, d, "events").filter(both & F.get_json_object("props", "$.k").isNotNull()).select("event_id")
+
+
+@register("P9_first_present", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE c_name END AS value FROM customer")
+def first_present(spark, d):
+    values = F.array(F.lit(""), F.lit("None"), F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), F.lit("null"), F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", S.first_present(values).alias("value"))
+
+
+@register("P10_source_selection", "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en' ORDER BY doc_id LIMIT 10")
+def source_selection(spark, d):
+    rows = table(spark, d, "documents").filter(F.col("source").isin("src1", "src2") & (F.col("lang") == "en"))
+    return rows.select("doc_id", "source").orderBy("doc_id").limit(10)  # ten chunks a prompt is the feature
+
+
+@register("P11_approved_only", "SELECT event_id FROM events WHERE (json_extract_string(props, '$.k'))::BIGINT >= 50")
+def approved_only(spark, d):
+    return table(spark, d, "events").withColumn("meta", F.from_json("props", "k bigint")).filter("meta.k >= 50").select("event_id")
+
+
+@register("P12_active", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def active(spark, d):
+    return table(spark, d, "nation").filter("n_regionkey = 1").select("n_nationkey", "n_name")
+
+
+@register(
+    "P4_unpivot",
+    """SELECT o_orderkey AS k, 1 AS column_index, 'status' AS column_name, o_orderstatus AS raw_value FROM orders
+       UNION ALL SELECT o_orderkey, 2, 'priority', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 3, 'customer', o_custkey::VARCHAR FROM orders""",
+)
+def unpivot(spark, d):
+    from tracemill.operators.relational import unpivot_cells
+
+    wide = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer")
+    )
+    return unpivot_cells(wide, ["k"], ["status", "priority", "customer"])
