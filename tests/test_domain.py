@@ -159,8 +159,10 @@ def workbook(spark):
 
 
 def test_evidence_to_findings(spark):
-    facts = evidence.row_facts(evidence.evidence_records(workbook(spark)))
-    events = classify.classify(evidence.events(evidence.event_rows(facts, "05_CTE_Events", "06_Event_Line_Items")))
+    # each stage is read several times: keep it
+    facts = evidence.row_facts(evidence.evidence_records(workbook(spark).persist()).persist()).persist()
+    found = evidence.events(evidence.event_rows(facts, "05_CTE_Events", "06_Event_Line_Items").persist()).persist()
+    events = classify.classify(found).persist()
     kinds = {r.event_id: r.final_ctes for r in events.collect()}
     assert kinds == {"SHIP-1:L1": ["shipping"], "REC-1:L2": ["receiving"], "TRANS-1:L3": ["transformation"]}
     kde = checks.kde_checks(events, cards.contracts(spark))
