@@ -29,6 +29,8 @@ TEMPER = 60
 #: Pseudo-counts of each level of the priors and of the declared evidence.
 STRENGTH = 5.0
 LEAST_CONFIDENCE = 0.5
+#: Share of a text's trigrams that may come from anywhere (names, codes, other languages).
+NOISE = 0.1
 UNKNOWN = "und"
 MOST_LANGUAGES = 64
 
@@ -93,9 +95,9 @@ def train_trigrams(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> TrigramMo
     logs = np.full((size, len(languages) + 1), -np.log(size))
     for k, lang in enumerate(languages):
         own = summed[summed["lang"] == lang]
-        counts = np.full(size, 0.01)
-        counts[own["bucket"].to_numpy()] += own["n"].to_numpy()
-        logs[:, k] = np.log(counts / counts.sum())
+        counts = np.zeros(size)
+        counts[own["bucket"].to_numpy()] = own["n"].to_numpy()
+        logs[:, k] = np.log((1 - NOISE) * counts / counts.sum() + NOISE / size)
     return TrigramModel([*languages, UNKNOWN], logs)
 
 
