@@ -1,0 +1,173 @@
+"""Corpus building and evaluation operators on the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracemill.functions.scalars import sha256
+from tracemill.operators import relational as R
+from tracemill.plans.registry import register, table
+
+_PARTS = "SELECT conv_id, turn, role, length(text) AS size FROM conversations"
+
+
+@register(
+    "X38_exact_duplicates",
+    "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 THEN 'kept' ELSE 'duplicate_skipped' END AS status FROM documents",
+)
+def exact_duplicates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", sha256("text").alias("digest"))
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))  # combined before the shuffle: one row a digest and task
+    status = F.when(F.col("doc_id") == F.col("first"), "kept").otherwise("duplicate_skipped")
+    return docs.join(first, "digest").select("doc_id", status.alias("status"))
+
+
+@register("W7_marker_paths", "SELECT o_custkey, count(*) AS markers FROM orders GROUP BY o_custkey")
+def marker_paths(spark, d):
+    """Paths of each customer's priorities as markers; the number of paths is the number of markers."""
+    marks = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda s: F.substring(s["o_orderpriority"], 1, 1))
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(R.marker_paths(marks).alias("paths"))
+    return rows.select("o_custkey", F.size("paths").cast("long").alias("markers"))
+
+
+@register(
+    "W8_greedy_packing",
+    f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM ({_PARTS})),
+        walk AS (SELECT conv_id, turn, n, 1 AS part, size AS held FROM p WHERE n = 1 UNION ALL
+          SELECT p.conv_id, p.turn, p.n, CASE WHEN w.held + 2 + p.size <= 1800 THEN w.part ELSE w.part + 1 END, CASE WHEN w.held + 2 + p.size <= 1800 THEN w.held + 2 + p.size ELSE p.size END
+          FROM walk w JOIN p ON p.conv_id = w.conv_id AND p.n = w.n + 1)
+        SELECT conv_id, turn, part::BIGINT AS part FROM walk""",
+)
+def greedy_packing(spark, d):
+    pieces = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("size"))
+    return R.pack_parts(pieces, "conv_id", ["turn", "role"], "size", 1800, 2).select("conv_id", "turn", "part")
+
+
+@register("X9_citation_anchor", "SELECT doc_id, lang || ' ' || source || ' ' || doc_id AS anchor FROM documents")
+def citation_anchor(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "lang", "source", F.col("doc_id").cast("string")).alias("anchor"))
+
+
+@register(
+    "X8_chunking_with_rejects",
+    "SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 'blank' WHEN length(text) <= 120 THEN 'short' ELSE 'chunk' END AS side, sha256(source || text) AS digest FROM documents",
+)
+def chunking(spark, d):
+    side = F.when(F.length(F.trim("text")) == 0, "blank").when(F.length("text") <= 120, "short").otherwise("chunk")
+    return table(spark, d, "documents").select("doc_id", side.alias("side"), sha256(F.concat("source", "text")).alias("digest"))
+
+
+@register(
+    "X12_source_authority",
+    "SELECT page_id, CASE WHEN contains(url, '.example.org') THEN 'primary' WHEN contains(url, 'blog.') THEN 'commentary' ELSE 'secondary' END AS authority FROM pages",
+)
+def source_authority(spark, d):
+    rank = F.when(F.contains("url", F.lit(".example.org")), "primary").when(F.contains("url", F.lit("blog.")), "commentary").otherwise("secondary")
+    return table(spark, d, "pages").select("page_id", rank.alias("authority"))
+
+
+@register(
+    "X16_source_versions",
+    "SELECT source, count(*) AS cited, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM documents WHERE n_chars < 400 GROUP BY source",
+)
+def source_versions(spark, d):
+    rows = table(spark, d, "documents").filter("n_chars < 400").groupBy("source")
+    return rows.agg(F.count(F.lit(1)).alias("cited"), F.concat_ws(",", F.array_sort(F.collect_list("doc_id")).cast("array<string>")).alias("chunks"))
+
+
+@register(
+    "X17_source_version_diff",
+    """WITH a AS (SELECT source, count(*) AS h FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1), b AS (SELECT source, count(*) AS h FROM documents WHERE source <> 'src3' GROUP BY 1)
+       SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change
+       FROM a FULL JOIN b ON a.source = b.source""",
+)
+def version_diff(spark, d):
+    docs = table(spark, d, "documents")
+    count = lambda rows: rows.groupBy("source").agg(F.count(F.lit(1)).alias("h"))
+    return R.record_diff(count(docs.filter("doc_id % 3 <> 0")), count(docs.filter("source <> 'src3'")), ["source"], "h")
+
+
+@register("X18_scenario_generator", "SELECT r_regionkey * 25 + n_nationkey + 1 AS scenario, r_name || '/' || n_name AS name FROM region, nation")
+def scenarios(spark, d):
+    pairs = table(spark, d, "region").crossJoin(F.broadcast(table(spark, d, "nation")))  # 25 nations at every scale
+    return pairs.select((F.col("r_regionkey") * 25 + F.col("n_nationkey") + 1).alias("scenario"), F.concat_ws("/", "r_name", "n_name").alias("name"))
+
+
+@register("X19_drift_monitor", "SELECT lang, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM documents WHERE n_chars > 10000 GROUP BY lang")
+def drift_monitor(spark, d):
+    ids = F.concat_ws(",", F.array_sort(F.collect_list("doc_id")).cast("array<string>"))
+    return table(spark, d, "documents").filter("n_chars > 10000").groupBy("lang").agg(sha256(ids).alias("digest"))
+
+
+@register(
+    "X20_parser_harness",
+    """SELECT parser, count(*) AS n, count(*) FILTER (WHERE guess = toxic) AS right_ FROM (SELECT 'never' AS parser, 0 AS guess, toxic FROM labels
+       UNION ALL SELECT 'keyword', CASE WHEN contains(lower(text), 'idiot') THEN 1 ELSE 0 END, toxic FROM labels JOIN documents USING (doc_id)
+       UNION ALL SELECT 'length', CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END, toxic FROM labels JOIN documents USING (doc_id)) GROUP BY parser""",
+)
+def parser_harness(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    guesses = F.array(
+        F.struct(F.lit("never").alias("parser"), F.lit(0).alias("guess")),
+        F.struct(F.lit("keyword").alias("parser"), F.contains(F.lower("text"), F.lit("idiot")).cast("int").alias("guess")),
+        F.struct(F.lit("length").alias("parser"), (F.col("n_chars") > 2000).cast("int").alias("guess")),
+    )
+    each = rows.select("toxic", F.inline(guesses))  # one read for all parsers; none sees the label
+    return each.groupBy("parser").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("guess") == F.col("toxic")).alias("right_"))
+
+
+@register("X22_event_labeling", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'shipping' WHEN 'signup' THEN 'receiving' WHEN 'error' THEN 'abstain' ELSE '' END AS label FROM events")
+def event_labeling(spark, d):
+    label = F.when(F.col("event_type") == "purchase", "shipping").when(F.col("event_type") == "signup", "receiving").when(F.col("event_type") == "error", "abstain").otherwise("")
+    return table(spark, d, "events").select("event_id", label.alias("label"))
+
+
+@register(
+    "X34_tenant_projects",
+    """SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) OR o_custkey = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""",
+)
+def tenant_projects(spark, d):
+    members = table(spark, d, "customer").filter("c_nationkey = 3 or c_custkey = 1").select(F.col("c_custkey").alias("o_custkey"))
+    mine = R.with_match(table(spark, d, "orders"), members, ["o_custkey"])
+    return mine.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey")  # a page of twenty
+
+
+@register("X39_source_dispatch", "SELECT CASE WHEN starts_with(lower(html), '<!doctype html') THEN 'html' WHEN starts_with(html, '<?xml') THEN 'xml' ELSE 'text' END AS parser, count(*) AS n FROM pages GROUP BY 1")
+def source_dispatch(spark, d):
+    parser = F.when(F.lower("html").startswith("<!doctype html"), "html").when(F.col("html").startswith("<?xml"), "xml").otherwise("text")
+    return table(spark, d, "pages").groupBy(parser.alias("parser")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("X40_template_rows", "SELECT n_nationkey * 5 + r_regionkey AS id, replace('ship {food} now', '{food}', lower(n_name)) || ' ' || r_name AS text FROM nation, region")
+def template_rows(spark, d):
+    rows = table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region")))  # five regions at every scale
+    text = F.concat_ws(" ", F.replace(F.lit("ship {food} now"), F.lit("{food}"), F.lower("n_name")), "r_name")
+    return rows.select((F.col("n_nationkey") * 5 + F.col("r_regionkey")).alias("id"), text.alias("text"))
+
+
+@register("X41_readiness_fallback", "SELECT c_custkey, coalesce(max(o_orderstatus), 'unknown') AS readiness FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY c_custkey")
+def readiness_fallback(spark, d):
+    latest = table(spark, d, "orders").filter("o_totalprice > 200000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderstatus").alias("s"))
+    return table(spark, d, "customer").join(latest, "c_custkey", "left").select("c_custkey", F.coalesce("s", F.lit("unknown")).alias("readiness"))
+
+
+@register(
+    "S4_html_headings",
+    "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages",
+)
+def html_headings(spark, d):
+    return table(spark, d, "pages").select(
+        "page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.size(F.regexp_extract_all("html", F.lit("(<p>)"), 1)).cast("long").alias("paragraphs")
+    )
+
+
+@register("S13_early_stop_scan", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 500")
+def early_stop(spark, d):
+    return table(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(500).select("l_orderkey", "l_linenumber")  # a target row count
+
+
+@register("S14_template_columns", "SELECT col AS missing FROM (VALUES ('o_orderkey'), ('o_shipmode'), ('o_custkey'), ('o_carrier')) t(col) WHERE col NOT IN ('o_orderkey', 'o_custkey', 'o_orderstatus')")
+def template_columns(spark, d):
+    wanted = spark.createDataFrame([(c,) for c in ("o_orderkey", "o_shipmode", "o_custkey", "o_carrier")], "missing string")
+    actual = spark.createDataFrame([(c,) for c in table(spark, d, "orders").columns], "missing string")
+    return R.without_match(wanted, actual, ["missing"])
