@@ -52,14 +52,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 class BoundedCache(dict):
-    """A memo table that forgets everything when it holds `limit` entries."""
+    """A memo table that forgets everything when it holds `limit` entries.
+
+    A worker process outlives its tasks, so only the table in use stays filled: the
+    first miss in another one empties it.
+    """
+
+    filled: BoundedCache | None = None
 
     def __init__(self, compute, limit: int = CACHE_ENTRIES):
         super().__init__()
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if BoundedCache.filled is not self:
+            if BoundedCache.filled is not None:
+                BoundedCache.filled.clear()
+            BoundedCache.filled = self
+        elif len(self) >= self.limit:
             self.clear()
         value = self[key] = self.compute(key)
         return value
