@@ -4,6 +4,9 @@ Language ID and toxicity drop the documents that they reject, the n-gram join
 keeps one document of each group, substring dedup cuts passages that another
 document keeps, and packing returns the pieces of what is left. All but the last stage
 return the columns that they were given.
+
+Rows with a null doc_id pass every filter that works by id; rows that repeat a doc_id are kept or dropped together. Null and
+empty texts are rejected by language ID. Empty tables pass through empty.
 """
 
 from __future__ import annotations
