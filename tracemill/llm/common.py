@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +78,27 @@ class BoundedCache(dict):
         return value
 
 
-#: One table per Python worker; it lives across tasks because workers are reused.
+def forgetting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over a task's batches; afterwards the memo table is emptied and freed memory goes back to the system.
+
+    Workers are reused and several may wait idle, so what one task leaves would count beside the next stage's needs.
+    """
+
+    @functools.wraps(run)
+    def task(frames):
+        try:
+            yield from run(frames)
+        finally:
+            if BoundedCache.filled is not None:
+                BoundedCache.filled.clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return task
+
+
+#: One table per Python worker, filled anew by each task.
 WORD_HASH = BoundedCache(xxhash.xxh3_64_intdigest)
 
 

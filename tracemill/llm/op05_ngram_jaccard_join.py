@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SIMILARITY_PERCENT, durable, shingle_sequence, words_of
+from tracemill.llm.common import SIMILARITY_PERCENT, durable, forgetting, shingle_sequence, words_of
 from tracemill.llm.components import connected_components
 from tracemill.llm.shingle_levels import level_of, shingle_levels
 
@@ -46,6 +46,7 @@ def similar(overlap, size_a, size_b, percent: int = SIMILARITY_PERCENT):
 
 
 def _sets(levels: Broadcast, percent: int):
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = levels.value
         for frame in frames:
@@ -75,6 +76,7 @@ def _sets(levels: Broadcast, percent: int):
 
 
 def _verify(percent: int):
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keep = []

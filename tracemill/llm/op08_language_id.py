@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import batches, durable
+from tracemill.llm.common import durable, forgetting
 
 BUCKETS_LOG2 = 15
 #: About so many labelled documents fit the trigram model.
@@ -66,6 +66,7 @@ class TrigramModel:
         return total * (min(n, TEMPER) / n), n
 
 
+@forgetting
 def _language_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[str, np.ndarray] = {}
     for frame in frames:
@@ -111,6 +112,7 @@ def text_evidence(rows: DataFrame, model: TrigramModel, keys: list[str]) -> Data
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<scores:array<double>, post:array<double>, trigrams:long>")
+    @forgetting
     def of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in frames:
             found = [sent.value.evidence(t) for t in texts]
@@ -128,6 +130,7 @@ def _fused(languages: list[str], base: list[float], strength: float):
     def matrix(column: pd.Series, neutral: np.ndarray) -> np.ndarray:
         return np.stack([neutral if x is None else np.asarray(x, np.float64) for x in column])
 
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prior, zero = np.array(base), np.zeros(len(base))
         for frame in frames:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BoundedCache, batches, durable, shingle_sequence, words_of
+from tracemill.llm.common import BoundedCache, batches, durable, forgetting, shingle_sequence, words_of
 
 #: Bounds of the sample that the classifier is fitted on, and of its vocabulary.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_WORDS = 6_000, 12_000, 20_000
@@ -106,6 +106,7 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0
 
 
+@forgetting
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         marks = [shingle_sequence(words_of(t)) for t in frame["text"]]
@@ -181,6 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = sent.value
         for frame in batches(frames, "text"):
@@ -197,7 +199,9 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in texts])
+    @forgetting
+    def of(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in frames:
+            yield pd.Series([sent.value.score(t) for t in texts], dtype=float)
 
     return docs.filter(of(F.col("text")) < 0.5)

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import shingle_sequence, words_of
+from tracemill.llm.common import forgetting, shingle_sequence, words_of
 
 CELLS_LOG2 = 25
 _FLUSH = 2_000_000
@@ -44,6 +44,7 @@ def _blocks(ranges_log2: int, column: str) -> Callable[[Iterator[pd.DataFrame]],
             )
         return pd.DataFrame(rows, columns=["part", "once", "more", "times"])
 
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
         for frame in frames:
