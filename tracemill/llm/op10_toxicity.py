@@ -137,7 +137,7 @@ def _indices(vocabulary: list[str]):
         index = {f: k for k, f in enumerate(vocabulary)}
         for frame in frames:
             found = [[index[f] for f in features if f in index] for features in frame["features"]]
-            yield pd.DataFrame({"positive": frame["positive"], "found": found})
+            yield pd.DataFrame({"positive": frame["positive"], "mark": frame["mark"], "found": found})
 
     return run
 
@@ -163,12 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     sample = positives.unionByName(others.select("text", F.lit(False).alias("positive")))
     # near copies share their least shingle; one of each stays, so that a copied text doesn't teach its own words
     features = sample.mapInPandas(_features, "positive boolean, mark long, features array<string>")
-    features = durable(features.dropDuplicates(["positive", "mark"]))
+    features = durable(features.groupBy("positive", "mark").agg(F.min("features").alias("features")))
     n_p, n_u = features.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not n_p:
         return Model({}, -50.0)
     kept = _vocabulary(features, n_p, n_u, prior)
-    found = features.mapInPandas(_indices(kept), "positive boolean, found array<int>").toPandas()
+    found = features.mapInPandas(_indices(kept), "positive boolean, mark long, found array<int>").toPandas()
+    found = found.sort_values(["positive", "mark"], ignore_index=True)  # sums in one order, so that every run fits the same weights
     rows = np.repeat(np.arange(len(found)), found["found"].str.len().to_numpy(np.int64))
     columns = np.concatenate([np.asarray(x, np.int64) for x in found["found"]])
     theta, bias = fit_pu(rows, columns, found["positive"].to_numpy(bool), len(kept), prior)
