@@ -113,6 +113,18 @@ def test_passages(spark, docs):
     assert op04_substring_dedup.passages(docs.limit(0)).count() == 0
 
 
+def test_passages_behind_a_part(spark):
+    """Documents share 50 words of which an earlier one holds 30."""
+    rnd, words = random.Random(17), vocabulary()
+    say = lambda n: [rnd.choice(words) for _ in range(n)]
+    rows = []
+    for k in range(30):
+        passage = say(50)
+        rows += [(k, " ".join(say(60) + passage[:30] + say(60))), *((d + k, " ".join(say(60) + passage + say(60))) for d in (100, 200))]
+    found = op04_substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in found if r.start_word <= 62 and r.end_word >= 108} == {(200 + k, 100 + k) for k in range(30)}
+
+
 def test_compact_windows_by_brute_force():
     rnd = np.random.default_rng(4)
     sizes = [120, 3, 46, 80]

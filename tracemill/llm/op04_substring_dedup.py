@@ -7,8 +7,10 @@ Cartesian tree of those minima bound the window. Windows with equal least hash
 share a signature: each is joined with the first document that has it (never all with
 all), the aligned parts of both windows must be able to hold a passage, and two documents that agree under
 enough hash functions are verified shingle by shingle over their whole texts. Minima whose shingle
-only one document has match nothing and are dropped where they are found. A
-passage is reported against the document that stands for its class.
+only one document has match nothing and are dropped where they are found. Every run of the least passage length
+whose shingles all stand in several documents also has a signature of its whole content; the first document
+that has it holds that very run, so a document that holds only part of a passage can't keep
+the others' exact repeats apart. A passage is reported against the document that stands for its class.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tracemill.llm.shingle_levels import level_of, shingle_levels
 PASSAGE_WORDS = 50
 FUNCTIONS = 4
 ENOUGH = 2
+#: In place of a function's number (under it): the signature is of a whole run, one of which is enough.
+WHOLE = 7
 #: Alignments of one passage may drift by so many words (insertions and deletions).
 DRIFT = 10
 #: Ids of candidate documents are broadcast up to this many (16 bytes each); beyond it the texts are shuffled.
@@ -80,6 +84,20 @@ def compact_windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[
     return c, np.where(left < 0, starts, left + 1), np.where(right < 0, ends, right - 1)
 
 
+def whole_runs(h: np.ndarray, owner: np.ndarray, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the runs of `width` shingles within one document that are all shared."""
+    if len(h) < width:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    alone = np.cumsum(np.concatenate([[False], ~shared]))
+    starts = np.flatnonzero((owner[: len(h) - width + 1] == owner[width - 1 :]) & (alone[width:] == alone[:-width]))
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        h = mix(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        span += step
+    return starts, h[starts]
+
+
 def _windows(levels: Broadcast, width: int, functions: int):
     @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,6 +120,9 @@ def _windows(levels: Broadcast, width: int, functions: int):
                     c, left, right = c[ok], left[ok], right[ok]
                     place = (c - base[owner[c]]) << 23 | np.minimum(c - left, _REACH) << 13 | np.minimum(right - c, _REACH) << 3 | f
                     yield pd.DataFrame({"key": values[c].view(np.int64), "doc_id": ids[low:high][owner[c]], "place": place})
+                s, values = whole_runs(h, owner, shared, width)
+                place = (s - base[owner[s]]) << 23 | min(width - 1, _REACH) << 3 | WHOLE
+                yield pd.DataFrame({"key": values.view(np.int64), "doc_id": ids[low:high][owner[s]], "place": place})
                 low = high
 
     return run
@@ -233,7 +254,7 @@ def passages(
     agreed = paired.filter(fits).groupBy("doc_id", "other_id").agg(
         F.expr("bit_or(shiftleft(1, cast(place & 7 as int)))").alias("functions")
     )
-    chosen = durable(agreed.filter(F.bit_count("functions") >= ENOUGH).select("doc_id", "other_id"))
+    chosen = durable(agreed.filter((F.bit_count("functions") >= ENOUGH) | (F.col("functions") >= 1 << WHOLE)).select("doc_id", "other_id"))
     wanted = durable(chosen.select("doc_id").union(chosen.select("other_id")).distinct())
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
