@@ -324,6 +324,15 @@ def test_media(spark):
     assert op09_media_copies.find_copies(asked.limit(0), media).count() == 0
 
 
+def test_like_vectors_give_like_pictures(spark):
+    rnd = np.random.default_rng(6)
+    base = rnd.standard_normal(64)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate([base, base + 0.01 * rnd.standard_normal(64), rnd.standard_normal(64)])]
+    media = op09_media_copies.pictures(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    images = {r.media_id: op09_media_copies.decode_image(r.content) for r in media.collect()}
+    assert np.abs(images[0] - images[1]).mean() < 3 < 20 < np.abs(images[0] - images[2]).mean()
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
