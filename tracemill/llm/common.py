@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,13 +12,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 #: Entries a worker's word cache holds before it starts afresh.
 CACHE_ENTRIES = 400_000
+#: Keys longer than this are computed each time, so that a memo table is bounded in bytes too.
+LONGEST_KEY = 64
+#: Narrow tables (ids and numbers, some 16 to 48 bytes a row) are broadcast up to so many rows; beyond it both sides are shuffled.
+MOST_BROADCAST = 500_000
 
 _U64 = np.uint64
 _MULT = _U64(0x9E3779B97F4A7C15)
@@ -28,17 +33,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder.
+    """Cut the lineage through the cluster's shared checkpoint folder, the one that spark.checkpoint.dir names.
 
-    Uses the folder that spark.checkpoint.dir names; a temporary one is set
-    only where the session names none, as in local tests.
+    Where none is named, a local master (tests) gets a temporary folder; a cluster is refused, as its executors share no local folder.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 
+def measured(df: DataFrame, *what: Column) -> tuple[DataFrame, Row]:
+    """The durable frame and aggregates over its rows, taken while it is written."""
+    seen = Observation()
+    kept = durable(df.observe(seen, F.count(F.lit(1)).alias("rows"), *what))
+    found = seen.get
+    return kept, Row(**(found or {"rows": 0}))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A frame of so many (narrow) rows, to be broadcast if that is within the bound."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand Python at most `rows` documents at a time, unless the session already asks for fewer.
 
@@ -68,6 +88,8 @@ class BoundedCache(dict):
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.compute(key)
         if BoundedCache.filled is not self:
             if BoundedCache.filled is not None:
                 BoundedCache.filled.clear()
@@ -151,11 +173,3 @@ def pairs_in_runs(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     i = np.repeat(left, fan)
     offset = np.arange(len(i)) - np.repeat(np.cumsum(fan) - fan, fan)
     return i, i + 1 + offset
-
-
-def read_setting(df: DataFrame, name: str, default: str) -> str:
-    return df.sparkSession.conf.get(name, default)
-
-
-def non_null_long(name: str, alias: str):
-    return F.col(name).cast("long").alias(alias)

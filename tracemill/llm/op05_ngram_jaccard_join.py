@@ -29,11 +29,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SIMILARITY_PERCENT, durable, forgetting, shingle_sequence, words_of
+from tracemill.llm.common import SIMILARITY_PERCENT, batches, durable, forgetting, measured, shingle_sequence, small, words_of
 from tracemill.llm.components import connected_components
-from tracemill.llm.shingle_levels import level_of, shingle_levels
+from tracemill.llm.hubs import against_hubs
+from tracemill.llm.shingle_levels import CELLS_LOG2, level_of, shingle_levels
 
-_SETS = "doc_id long, n_shingles long, matchable long, sequence binary, prefix_key binary, prefix array<long>, shingles binary"
+_SETS = "doc_id long, n long, m long, sequence binary, prefix_key binary, prefix array<long>, content binary"
 
 
 def prefix_length(size: int, percent: int = SIMILARITY_PERCENT) -> int:
@@ -49,7 +50,7 @@ def _sets(levels: Broadcast, percent: int):
     @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = levels.value
-        for frame in frames:
+        for frame in batches(frames, "text"):
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 words = words_of(text)
@@ -68,33 +69,22 @@ def _sets(levels: Broadcast, percent: int):
                     continue
                 key = xxhash.xxh3_128_digest(h[first].tobytes() + n.to_bytes(8, "little"))
                 rows.append((doc_id, n, int((level > 0).sum()), sequence, key, h[shared].view(np.int64), h.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "matchable", "sequence", "prefix_key", "prefix", "shingles"]).astype(
-                {"doc_id": "Int64"}
-            )
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SETS.split(", ")]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def _verify(percent: int):
-    @forgetting
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep = []
-            for a, b in zip(frame["shingles_a"], frame["shingles_b"], strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                keep.append(similar(int((y[at] == x).sum()), len(x), len(y), percent))
-            yield frame.loc[keep, ["a", "b"]]
+def _shingles(content: bytes) -> np.ndarray:
+    return np.frombuffer(content, np.uint64)
 
-    return run
 
+def _similar_sets(percent: int):
+    def match(hub: np.ndarray, content: bytes) -> list[tuple]:
+        x, y = sorted((hub, _shingles(content)), key=len)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        return [()] if similar(int((y[at] == x).sum()), len(x), len(y), percent) else []
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) of doc ids whose sets are similar enough."""
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"shingles_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_verify(percent), "a long, b long")
+    return match
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -119,93 +109,83 @@ def _side(rows: DataFrame, c: str) -> DataFrame:
     )
 
 
-def _meeting(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    return _early(_possible(_side(rows, "a").join(_side(rows, "b"), keys), percent), percent)
+def shingle_sets(docs: DataFrame, levels: Broadcast, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """One row per input row: set size n, matchable shingles m, fingerprint of the sequence and, where another document shares a prefix shingle, prefix and set."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sets(levels, percent), _SETS)
 
 
-def shingle_sets(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """One row per input row: set size, sequence fingerprint and, where another document shares a prefix shingle, prefix and set."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInPandas(_sets(shingle_levels(slim), percent), _SETS)
+def _first_round(posting: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, doc_id, partners): members with their group's poster, posters with the purest poster of every list."""
+    several = groups.filter("k > 1").select("prefix_key", F.col("poster").alias("hub"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("k").alias("partners"))
+    inner = posting.select("doc_id", F.col("n").alias("n_b"), F.col("m").alias("m_b"), "prefix_key").join(several, "prefix_key").drop("prefix_key")
+    tokens = groups.select("poster", "n", "m", F.explode("prefix").alias("token"))
+    unmatched = (1_000_000 * (F.col("n") - F.col("m")) / F.col("n")).cast("long")
+    lists = tokens.groupBy("token").agg(
+        F.min(F.struct(unmatched.alias("unmatched"), "poster", "n", "m")).alias("first"), F.count(F.lit(1)).alias("partners")
+    )
+    # written, so that the join below can split a list that many documents are on
+    lists = durable(lists.filter("partners > 1").select("token", F.col("first.poster").alias("hub"), F.col("first.n").alias("n_a"), F.col("first.m").alias("m_a"), "partners"))
+    star = tokens.select(F.col("poster").alias("doc_id"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), "token").join(lists, "token").drop("token")
+    pairs = _possible(star.unionByName(inner).filter(F.col("hub") != F.col("doc_id")), percent)
+    return pairs.groupBy("hub", "doc_id").agg(F.max("partners").alias("partners"))
+
+
+def _second_round(posting: DataFrame, groups: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, doc_id, partners, component_a, component_b) that may link components, from lists and groups that span several."""
+    members = posting.select("doc_id", "n", "m", "prefix_key").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    members = durable(members.withColumn("component", F.coalesce("component", "doc_id")))
+    ranges = members.groupBy("prefix_key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    spans = groups.select("prefix_key", "poster", "prefix").join(ranges, "prefix_key")
+    on = spans.select(F.lit(0).alias("kind"), F.explode("prefix").alias("token"), "x", "y")
+    # a group is a list too; its own kind keeps its poster's id apart from shingles
+    on = on.unionByName(spans.filter(F.col("x") != F.col("y")).select(F.lit(1).alias("kind"), F.col("poster").alias("token"), "x", "y"))
+    several = on.groupBy("kind", "token").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter(F.col("x") != F.col("y"))
+    several, count = measured(several.select("kind", "token"))
+    posted = groups.select(F.lit(0).alias("kind"), "prefix_key", F.posexplode("prefix").alias("rank", "token"))
+    posted = posted.unionByName(groups.select(F.lit(1).alias("kind"), "prefix_key", F.lit(None).cast("int").alias("rank"), F.col("poster").alias("token")))
+    open_lists = posted.join(small(several, count.rows), ["kind", "token"])
+    # a prefix's place counts the shingles that match nothing, which stand before it
+    place = F.coalesce(F.col("rank") + F.col("n") - F.col("m"), F.lit(0)).alias("place")
+    spread = open_lists.join(members, "prefix_key").select("kind", "token", "component", "doc_id", "n", "m", place, F.col("n").alias("size"))
+    spread = durable(spread)
+    # a component's members on a list, at their best; then the members themselves
+    parts = spread.groupBy("kind", "token", "component").agg(
+        F.min("n").alias("n"), F.max("n").alias("size"), F.max("m").alias("m"), F.min("place").alias("place")
+    )
+    parts = parts.withColumn("doc_id", F.col("component"))
+    across = _side(parts, "a").join(_side(parts, "b"), ["kind", "token"]).filter(F.col("component_a") < F.col("component_b"))
+    across = _early(_possible(across, percent), percent).select("kind", "token", "component_a", "component_b")
+    rest = across.join(_side(spread, "a"), ["kind", "token", "component_a"]).join(_side(spread, "b"), ["kind", "token", "component_b"])
+    rest = _early(_possible(rest, percent), percent).select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "component_a", "component_b")
+    return rest.distinct().withColumn("partners", F.lit(1))
 
 
-def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY_PERCENT, cells_log2: int = CELLS_LOG2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts have size 0 and link with nothing. Repeated rows give
     repeated results; rows with one doc_id are one node. A null doc_id is kept with
     a null component_id and links with nothing. An empty table gives an empty one.
     """
-    sets = durable(shingle_sets(docs, percent))
+    levels = shingle_levels(docs, cells_log2=cells_log2)
+    sets = durable(shingle_sets(docs, levels, percent).withColumn("row", F.monotonically_increasing_id()))
+    levels.destroy()
     named = sets.filter(F.col("doc_id").isNotNull() & F.col("sequence").isNotNull())
-    same = named.groupBy("sequence").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    posting = named.filter(F.col("prefix").isNotNull())
-    # one document of each text; a doc_id that stands on several rows keeps them
-    reps = durable(
-        posting.join(same.select("sequence", F.col("rep").alias("doc_id")), ["sequence", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id", "sequence"])
-        .select("doc_id", F.col("n_shingles").alias("n"), F.col("matchable").alias("m"), "prefix_key", "prefix", "shingles")
-    )
-    groups = reps.groupBy("prefix_key").agg(F.min("doc_id").alias("poster"))
-    members = reps.select("doc_id", "n", "m", "prefix_key").join(groups, "prefix_key").select("doc_id", "n", "m", "poster")
-    posted = (
-        reps.join(groups.select(F.col("poster").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("poster"), "n", "m", F.posexplode("prefix").alias("rank", "token"))
-        .groupBy("poster", "n", "m", "token")
-        .agg((F.min("rank") + F.col("n") - F.col("m")).alias("place"))  # behind the shingles that match nothing
-    )
-    unmatched = (1_000_000 * (F.col("n") - F.col("m")) / F.col("n")).cast("long")
-    lists = posted.groupBy("token").agg(
-        F.min(F.struct(unmatched.alias("unmatched"), "poster", "n", "m")).alias("first"), F.count(F.lit(1)).alias("k")
-    )
-    lists = lists.filter(F.col("k") > 1).select("token", *(F.col(f"first.{c}").alias(f"{c}_a") for c in ("poster", "n", "m")))
-    posted = durable(posted.join(lists, "token"))
-    star = posted.filter(F.col("poster") != F.col("poster_a")).select(
-        F.col("poster_a").alias("a"), "n_a", "m_a", F.col("poster").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b")
-    )
-    head = members.filter(F.col("doc_id") == F.col("poster")).select(
-        F.col("doc_id").alias("poster"), F.col("n").alias("n_a"), F.col("m").alias("m_a")
-    )
-    inner = (
-        members.filter(F.col("doc_id") != F.col("poster"))
-        .join(head, "poster")
-        .select(F.col("poster").alias("a"), "n_a", "m_a", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
-    )
-    pairs = _possible(star.unionByName(inner), percent).select("a", "b").distinct()
-    links = durable(_verified(pairs, reps, percent))
-    part = durable(connected_components(links))
-
+    same = named.groupBy("sequence").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    same, count = measured(same.filter("copies > 1").select("sequence", F.col("first.doc_id").alias("of"), F.col("first.row").alias("first_row")))
+    copies = named.select("doc_id", "row", "sequence").join(small(same, count.rows), "sequence").filter(F.col("row") != F.col("first_row"))
+    copies, count = measured(copies.select("doc_id", "row", "of"))
+    # one row of each text
+    posting = named.filter(F.col("prefix").isNotNull()).join(small(copies.select("row"), count.rows), "row", "left_anti")
+    groups = posting.groupBy("prefix_key").agg(F.min(F.struct("doc_id", "n", "m", "prefix")).alias("p"), F.count(F.lit(1)).alias("k"))
+    groups = durable(groups.select("prefix_key", F.col("p.doc_id").alias("poster"), "p.n", "p.m", "p.prefix", "k"))
+
+    verified = lambda pairs: against_hubs(pairs, posting, _shingles, _similar_sets(percent))
+    links = verified(_first_round(posting, groups, percent)).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    part = connected_components(links.unionByName(copies.select(F.col("of").alias("a"), F.col("doc_id").alias("b"))))
     # what is left: lists and groups that span several components
-    placed = durable(
-        members.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-            "component", F.coalesce("component", "doc_id")
-        )
-    )
-    by_list = posted.select("token", "poster", "place").join(placed, "poster").select("token", "component", "doc_id", "n", "m", "place")
-    by_group = placed.select(F.col("poster").alias("token"), "component", "doc_id", "n", "m", F.lit(0).cast("long").alias("place"))
-    # a group is a list too; its own kind keeps its poster's id apart from shingles
-    spread = by_list.withColumn("kind", F.lit(0)).unionByName(by_group.withColumn("kind", F.lit(1)))
-    several = (
-        spread.groupBy("kind", "token")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter(F.col("x") != F.col("y"))
-        .select("kind", "token")
-    )
-    spread = durable(spread.join(several, ["kind", "token"]))
-    # a component's members on a list, at their best; then the members themselves
-    parts = spread.groupBy("kind", "token", "component").agg(
-        F.min("n").alias("n"), F.max("n").alias("size"), F.max("m").alias("m"), F.min("place").alias("place")
-    )
-    across = _meeting(parts.withColumn("doc_id", F.col("component")), ["kind", "token"], percent)
-    across = across.filter(F.col("component_a") < F.col("component_b")).select("kind", "token", "component_a", "component_b")
-    side = lambda c: _side(spread.withColumn("size", F.col("n")), c)
-    rest = across.join(side("a"), ["kind", "token", "component_a"]).join(side("b"), ["kind", "token", "component_b"])
-    rest = _early(_possible(rest, percent), percent).select("a", "b").distinct()
-    late = durable(_verified(rest, reps, percent))
-
-    copies = named.join(same.filter(F.col("copies") > 1), "sequence").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    known = copies.filter(F.col("a") != F.col("b")).unionByName(part.select(F.col("component").alias("a"), F.col("id").alias("b")))
-    found = connected_components(known.unionByName(late)).withColumnRenamed("id", "doc_id")
-    return sets.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
+    late = verified(_second_round(posting, groups, part, percent))
+    merged = connected_components(late, "component_a", "component_b").select(F.col("id").alias("merged"), F.col("component").alias("whole"))
+    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = out.withColumn("component", F.coalesce("component", "doc_id")).join(merged, F.col("component") == F.col("merged"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("whole", "component").alias("component_id"))

@@ -11,6 +11,7 @@ cells coarser; users of the table must stay exact for any content of it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,9 +20,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import forgetting, shingle_sequence, words_of
+from tracemill.llm.common import batches, forgetting, shingle_sequence, words_of
 
 CELLS_LOG2 = 25
+#: Shingles that one reducing group holds, about, and the fewest ranges (as a power of two).
+PER_RANGE, LEAST_RANGES_LOG2 = 2_000_000, 8
 _FLUSH = 2_000_000
 
 
@@ -47,7 +50,7 @@ def _blocks(ranges_log2: int, column: str) -> Callable[[Iterator[pd.DataFrame]],
     @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
-        for frame in frames:
+        for frame in batches(frames, column):
             for text in frame[column]:
                 h = np.unique(shingle_sequence(words_of(text)))
                 parts.append(h)
@@ -72,23 +75,27 @@ def _levels(ranges_log2: int, cells_log2: int) -> Callable[[pd.DataFrame], pd.Da
         total = np.bincount(at, np.concatenate([np.ones(len(once)), times]))
         again = total > 1
         out = np.zeros(cells, np.uint8)
-        cell = values[again] >> np.uint32(32 - (cells_log2 - ranges_log2))
+        cell = (values[again].astype(np.uint64) >> np.uint64(32 - (cells_log2 - ranges_log2))).astype(np.int64)
         np.maximum.at(out, cell, (1 + np.floor(np.log2(total[again]))).astype(np.uint8))
-        return pd.DataFrame({"part": group["part"].iloc[:1], "cells": [out.tobytes()]})
+        return pd.DataFrame({"part": group["part"].iloc[:1], "cells": [zlib.compress(out.tobytes(), 1) if again.any() else None]})
 
     return run
 
 
-def shingle_levels(docs: DataFrame, column: str = "text", cells_log2: int = CELLS_LOG2, ranges_log2: int = 10) -> Broadcast:
-    """Broadcast numpy bytes, one per cell; `level_of` reads it. Null and empty texts count nothing."""
+def shingle_levels(docs: DataFrame, column: str = "text", cells_log2: int = CELLS_LOG2, per_range: int = PER_RANGE) -> Broadcast:
+    """Broadcast numpy bytes, one per cell; `level_of` reads it. Null and empty texts count nothing.
+
+    The hash space is cut into so many ranges that one holds about `per_range` shingles, whatever the input's size (up to a
+    range for each cell). Callers destroy the broadcast after its last use.
+    """
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0  # a word takes some six bytes
+    ranges_log2 = min(max(LEAST_RANGES_LOG2, (size // (6 * per_range)).bit_length()), cells_log2)
     blocks = docs.select(column).mapInPandas(_blocks(ranges_log2, column), "part int, once binary, more binary, times binary")
-    rows = (
-        blocks.groupBy("part").applyInPandas(_levels(ranges_log2, cells_log2), "part int, cells binary").filter(F.length("cells") > 0)
-    )
+    rows = blocks.groupBy("part").applyInPandas(_levels(ranges_log2, cells_log2), "part int, cells binary").filter(F.col("cells").isNotNull())
     table = np.zeros(1 << cells_log2, np.uint8)
     step = 1 << (cells_log2 - ranges_log2)
-    for part, cells in rows.toLocalIterator():  # 2**cells_log2 bytes in all
-        table[part * step : (part + 1) * step] = np.frombuffer(cells, np.uint8)
+    for part, cells in rows.collect():  # 2**cells_log2 bytes in all, before compression
+        table[part * step : (part + 1) * step] = np.frombuffer(zlib.decompress(cells), np.uint8)
     return docs.sparkSession.sparkContext.broadcast(table)
 
 
