@@ -113,16 +113,50 @@ def test_passages(spark, docs):
     assert op04_substring_dedup.passages(docs.limit(0)).count() == 0
 
 
-def test_passages_behind_a_part(spark):
-    """Documents share 50 words of which an earlier one holds 30."""
+def flagged(found, doc_id, low, high):
+    """Share of a document's words from low to high that lie in a passage found."""
+    covered = {w for r in found if r.doc_id == doc_id for w in range(r.start_word, r.end_word)}
+    return len(covered & set(range(low, high))) / (high - low)
+
+
+@pytest.mark.parametrize(("quoted", "length", "changed"), [("one", 50, 0), ("pieces", 50, 0), ("pieces", 60, 0), ("pieces", 60, 1), ("short", 60, 1), ("none", 100, 2)])
+def test_passages_behind_a_quoting_document(spark, quoted, length, changed):
+    """Two documents share a passage (the second with some words changed) that an earlier one holds in parts only."""
     rnd, words = random.Random(17), vocabulary()
     say = lambda n: [rnd.choice(words) for _ in range(n)]
     rows = []
-    for k in range(30):
-        passage = say(50)
-        rows += [(k, " ".join(say(60) + passage[:30] + say(60))), *((d + k, " ".join(say(60) + passage + say(60))) for d in (100, 200))]
+    for k in range(100):
+        passage = say(length)
+        size = {"one": 30, "pieces": 24, "short": 15, "none": 0}[quoted]
+        starts = [0] if quoted == "one" else range(0, length - 10, 10) if size else []
+        parts = [w for at in starts for w in say(20) + passage[at : at + size]]
+        copy = list(passage)
+        for at in rnd.sample(range(length), changed):
+            copy[at] = rnd.choice(words)
+        rows += [(k, " ".join(parts + say(60))), (1000 + k, " ".join(say(60) + passage + say(60))), (2000 + k, " ".join(say(60) + copy + say(60)))]
     found = op04_substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.other_id) for r in found if r.start_word <= 62 and r.end_word >= 108} == {(200 + k, 100 + k) for k in range(30)}
+    similar = [k for k in range(100) if _jaccard(rows[3 * k + 1][1].split()[60 : 60 + length], rows[3 * k + 2][1].split()[60 : 60 + length]) >= 0.8]
+    caught = sum(flagged(found, 2000 + k, 60, 60 + length) >= 0.8 for k in similar)
+    assert not changed or len(similar) >= 30
+    assert caught >= (0.9 if changed else 1.0) * len(similar)
+    assert not any(r.doc_id < 1000 for r in found)
+
+
+def _jaccard(a, b):
+    x, y = (shingle_set(" ".join(t)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_long_documents_in_parts(spark, monkeypatch):
+    """Windows of a long document come in parts, as if it were laid out at once."""
+    rnd, words = random.Random(23), vocabulary()
+    text = " ".join(rnd.choice(words) for _ in range(9000))
+    levels = spark.sparkContext.broadcast(np.ones(1 << 10, np.uint8))
+    frame = lambda: iter([op04_substring_dedup.pd.DataFrame({"doc_id": [1, 2], "text": [text, "a b c"]})])
+    windows = lambda: {tuple(r) for f in op04_substring_dedup._windows(levels, 46, 2)(frame()) for r in f.itertuples(index=False)}
+    whole = windows()
+    monkeypatch.setattr(op04_substring_dedup, "_PART", 1 << 11)
+    assert windows() == whole and len(whole) > 500
 
 
 def test_compact_windows_by_brute_force():
@@ -130,7 +164,7 @@ def test_compact_windows_by_brute_force():
     sizes = [120, 3, 46, 80]
     owner = np.repeat(np.arange(4), sizes)
     values = rnd.integers(1 << 30, 1 << 63, len(owner), dtype=np.uint64)
-    c, left, right = op04_substring_dedup.compact_windows(values, owner, 46)
+    c, left, right = op04_substring_dedup.compact_windows(values, owner, op04_substring_dedup.run_minima(values, owner, 46))
     want = set()
     for d in range(4):
         place = np.flatnonzero(owner == d)

@@ -59,6 +59,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand Python at most `rows` documents at a time, unless the session already asks for fewer.
 

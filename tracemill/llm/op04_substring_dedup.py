@@ -1,16 +1,18 @@
 """Near-duplicate passages by compact windows of min-hashes.
 
 Tokens are word shingles. For every hash function, a compact window (l, c, r)
-says that each run of shingles inside [l, r] that holds c has its least hash at c; c is
-kept if such a run reaches the least passage length. c's neighbours in the
-Cartesian tree of those minima bound the window. Windows with equal least hash
-share a signature: each is joined with the first document that has it (never all with
-all), the aligned parts of both windows must be able to hold a passage, and two documents that agree under
-enough hash functions are verified shingle by shingle over their whole texts. Minima whose shingle
-only one document has match nothing and are dropped where they are found. Every run of the least passage length
-whose shingles all stand in several documents also has a signature of its whole content; the first document
-that has it holds that very run, so a document that holds only part of a passage can't keep
-the others' exact repeats apart. A passage is reported against the document that stands for its class.
+says that each run of shingles inside [l, r] that holds c has its least hash at c; c's neighbours in the
+Cartesian tree of the minima bound the window. Windows of two functions (a band) that overlap in an interval holding both
+minima and a run of the least passage length make one signature. Signatures are joined with the first document that has
+them, never all with all; both intervals must be able to hold a passage, and each pair of documents so
+found is verified shingle by shingle over whole texts. Minima whose shingle only one document has match nothing and are
+dropped where they are found; keys that very many documents share are dealt to several first documents, which are joined in turn.
+
+A first document that holds only part of a passage could keep the others' copies apart. So a second round takes the
+signatures that lie in no passage found: they are joined with the next first document among them, and every document
+of such a signature hashes the whole runs around it, all of whose shingles are shared. Equal runs are exact repeats, and
+the first document that has one holds that very run, so verification can't fail. A passage is reported against the
+document that stands for its class.
 """
 
 from __future__ import annotations
@@ -24,22 +26,24 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, durable, forgetting, mix, shingle_sequence, words_of
-from tracemill.llm.shingle_levels import level_of, shingle_levels
+from tracemill.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, batches, durable, forgetting, fresh_name, measured, mix, shingle_sequence, small, words_of
+from tracemill.llm.hubs import against_hubs
+from tracemill.llm.shingle_levels import CELLS_LOG2, level_of, shingle_levels
 
 PASSAGE_WORDS = 50
-FUNCTIONS = 4
-ENOUGH = 2
-#: In place of a function's number (under it): the signature is of a whole run, one of which is enough.
-WHOLE = 7
+#: Bands of two functions each. At similarity 0.8 one run of the least length shares a band with probability 0.95; longer passages have more runs.
+BANDS = 3
 #: Alignments of one passage may drift by so many words (insertions and deletions).
 DRIFT = 10
-#: Ids of candidate documents are broadcast up to this many (16 bytes each); beyond it the texts are shuffled.
-MOST_BROADCAST = 2_000_000
-_PASSAGE = "doc_id long, start_word int, end_word int, other_id long, other_start int, other_end int, similarity double"
+#: A key that up to 2**k documents share is dealt to 2**(k - DEALT_LOG2) first documents.
+DEALT_LOG2 = 10
+_SPANS = "start_word int, end_word int, other_start int, other_end int, similarity double"
 #: A window's ends are kept as distances from c, at most so much; a passage around c can't need more.
 _REACH = 1023
-_PLACE = np.uint64((1 << 24) - 1)
+#: Shingles laid out at once; longer documents come in parts that overlap.
+_PART = 1 << 20
+_PLACE = np.uint64((1 << 22) - 1)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _nearest_smaller(values: np.ndarray, step: int) -> np.ndarray:
@@ -53,24 +57,25 @@ def _nearest_smaller(values: np.ndarray, step: int) -> np.ndarray:
     return near
 
 
-def compact_windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r) of the compact windows that reach `width`, over at most 2**24 shingles laid end to end.
-
-    owner tells documents apart. Ties go to the left.
-    """
-    none = (np.empty(0, np.int64),) * 3
+def run_minima(values: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """For every start of a run of `width` shingles, the place of its least value, -1 where the run crosses documents. Ties go to the left."""
     if len(values) < width:
-        return none
-    marked = (values & ~_PLACE) | np.arange(len(values), dtype=np.uint64)  # the place breaks ties and comes along
-    least, span = marked, 1
+        return np.empty(0, np.int64)
+    least, span = (values & ~_PLACE) | np.arange(len(values), dtype=np.uint64), 1  # the place breaks ties and comes along
     while span < width:
         step = min(span, width - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    c = (least[owner[: len(least)] == owner[width - 1 :]] & _PLACE).astype(np.int64)  # runs within one document
+    return np.where(owner[: len(least)] == owner[width - 1 :], (least & _PLACE).astype(np.int64), -1)
+
+
+def compact_windows(values: np.ndarray, owner: np.ndarray, minima: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, l, r) of the compact windows of these minima, over fewer than 2**22 shingles laid end to end; owner tells documents apart."""
+    c = minima[minima >= 0]
     if not len(c):
-        return none
+        return (np.empty(0, np.int64),) * 3
     c = c[np.concatenate([[True], c[1:] != c[:-1]])]
+    marked = (values & ~_PLACE) | np.arange(len(values), dtype=np.uint64)
     # a wall before every document's first minimum and one at the end
     first = np.concatenate([[True], owner[c[1:]] != owner[c[:-1]]])
     slots = np.arange(len(c)) + np.cumsum(first)
@@ -84,65 +89,141 @@ def compact_windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[
     return c, np.where(left < 0, starts, left + 1), np.where(right < 0, ends, right - 1)
 
 
-def whole_runs(h: np.ndarray, owner: np.ndarray, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the runs of `width` shingles within one document that are all shared."""
+def band_windows(h: np.ndarray, owner: np.ndarray, width: int, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, c, other c, l, r): intervals in which two functions' compact windows overlap, holding both minima and a run of `width`."""
+    of = []
+    for f in (2 * band, 2 * band + 1):
+        values = mix(h ^ mix(np.array([f + 1], np.uint64)))
+        minima = run_minima(values, owner, width)
+        c, left, right = compact_windows(values, owner, minima)
+        bounds = np.zeros((2, len(h)), np.int64)
+        bounds[0, c], bounds[1, c] = left, right
+        of.append((values, minima, bounds))
+    (v, m, x), (w, n, y) = of
+    if not len(m):
+        return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 4)
+    new = np.flatnonzero((m >= 0) & ((m != np.concatenate([[-1], m[:-1]])) | (n != np.concatenate([[-1], n[:-1]]))))
+    c, d = m[new], n[new]
+    key = mix(v[c] * _MULT + w[d] + np.uint64(band))
+    return key, c, d, np.maximum(x[0, c], y[0, d]), np.minimum(x[1, c], y[1, d])
+
+
+def _windows(levels: Broadcast, width: int, bands: int):
+    margin = _REACH + width
+
+    def parts(ids: np.ndarray, sequences: list[np.ndarray]):
+        """(ids, sequences, base, low, high): some documents at once, or a part of a long one with its margins; windows count from low to high."""
+        held: list[int] = []
+        size = 0
+        for k, sequence in enumerate(sequences):
+            if len(sequence) > _PART:
+                for low in range(0, len(sequence), _PART):
+                    base = max(0, low - margin)
+                    yield ids[[k]], [sequence[base : low + _PART + margin]], base, low - base, min(low + _PART, len(sequence)) - base
+                continue
+            if size + len(sequence) > _PART:
+                yield ids[held], [sequences[j] for j in held], 0, 0, size
+                held, size = [], 0
+            held.append(k)
+            size += len(sequence)
+        if held:
+            yield ids[held], [sequences[j] for j in held], 0, 0, size
+
+    @forgetting
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = levels.value
+        for frame in batches(frames, "text"):
+            sequences = [shingle_sequence(words_of(t)) for t in frame["text"]]
+            for ids, some, base, low, high in parts(frame["doc_id"].to_numpy(np.int64), sequences):
+                sizes = np.array([len(s) for s in some])
+                h = np.concatenate([*some, np.empty(0, np.uint64)])
+                owner = np.repeat(np.arange(len(some)), sizes)
+                begins = np.cumsum(sizes) - sizes - base
+                level = level_of(table, h).astype(np.int64)
+                for band in range(bands):
+                    key, c, d, left, right = band_windows(h, owner, width, band)
+                    common = np.minimum(level[c], level[d])
+                    ok = (common > 0) & (c >= low) & (c < high)
+                    key, c, left, right, common = key[ok], c[ok], left[ok], right[ok], common[ok]
+                    doc = owner[c]
+                    # a document that repeats a very common line keeps its roomiest window of it
+                    often = np.flatnonzero(common > DEALT_LOG2)
+                    if len(often):
+                        order = often[np.lexsort((left[often] - right[often], key[often], doc[often]))]
+                        again = order[1:][(key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])]
+                        ok = np.ones(len(key), bool)
+                        ok[again] = False
+                        key, c, left, right, common, doc = key[ok], c[ok], left[ok], right[ok], common[ok], doc[ok]
+                    place = (c - begins[doc]) << 26 | np.minimum(c - left, _REACH) << 16 | np.minimum(right - c, _REACH) << 6 | common
+                    deals = (np.uint64(1) << np.maximum(common - DEALT_LOG2, 0).astype(np.uint64)) - np.uint64(1)
+                    deal = (mix(ids[doc].astype(np.uint64)) & deals).astype(np.int32)
+                    yield pd.DataFrame({"key": key.view(np.int64), "deal": deal, "doc_id": ids[doc], "place": place})
+
+    return run
+
+
+def whole_runs(h: np.ndarray, shared: np.ndarray, width: int, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of a document's runs of `width` shingles that are all shared and hold one of the places."""
     if len(h) < width:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     alone = np.cumsum(np.concatenate([[False], ~shared]))
-    starts = np.flatnonzero((owner[: len(h) - width + 1] == owner[width - 1 :]) & (alone[width:] == alone[:-width]))
+    near = np.zeros(len(h) + 1, np.int64)
+    np.add.at(near, np.maximum(around - width + 1, 0), 1)
+    np.add.at(near, around + 1, -1)
+    starts = np.flatnonzero((alone[width:] == alone[:-width]) & (np.cumsum(near)[: len(h) - width + 1] > 0))
     span = 1
     while span < width:
         step = min(span, width - span)
-        h = mix(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        h = mix(h[:-step] * _MULT + h[step:])
         span += step
     return starts, h[starts]
 
 
-def _windows(levels: Broadcast, width: int, functions: int):
+def _whole(levels: Broadcast, width: int):
     @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = levels.value
-        for frame in frames:
-            sequences = [shingle_sequence(words_of(t)) for t in frame["text"]]
-            sizes = np.array([len(s) for s in sequences])
-            ids = frame["doc_id"].to_numpy(np.int64)
-            low = 0
-            while low < len(sizes):  # at most 2**20 shingles at once, or one document
-                high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), 1 << 20)))
-                h = np.concatenate([*sequences[low:high], np.empty(0, np.uint64)])
-                owner = np.repeat(np.arange(high - low), sizes[low:high])
-                base = np.cumsum(sizes[low:high]) - sizes[low:high]
-                shared = level_of(table, h) > 0
-                for f in range(functions):
-                    values = mix(h ^ mix(np.array([f + 1], np.uint64)))
-                    c, left, right = compact_windows(values, owner, width)
-                    ok = shared[c]
-                    c, left, right = c[ok], left[ok], right[ok]
-                    place = (c - base[owner[c]]) << 23 | np.minimum(c - left, _REACH) << 13 | np.minimum(right - c, _REACH) << 3 | f
-                    yield pd.DataFrame({"key": values[c].view(np.int64), "doc_id": ids[low:high][owner[c]], "place": place})
-                s, values = whole_runs(h, owner, shared, width)
-                place = (s - base[owner[s]]) << 23 | min(width - 1, _REACH) << 3 | WHOLE
-                yield pd.DataFrame({"key": values.view(np.int64), "doc_id": ids[low:high][owner[s]], "place": place})
-                low = high
+        for frame in batches(frames, "text"):
+            for doc_id, text, places in zip(frame["doc_id"], frame["text"], frame["places"], strict=True):
+                h = shingle_sequence(words_of(text))
+                around = np.asarray(places, np.int64)
+                # a repeated doc_id may bring a text that the places weren't found in
+                starts, values = whole_runs(h, level_of(levels.value, h) > 0, width, around[around < len(h)])
+                yield pd.DataFrame({"key": values.view(np.int64), "deal": 0, "doc_id": doc_id, "place": starts << 26})
 
     return run
 
 
 def _split(place, name: str) -> dict:
-    """A packed place's columns: c, reach to the left and to the right."""
+    """A packed place's columns: c, reach to the left and to the right, level."""
     place = F.col(place)
     return {
-        f"c_{name}": F.shiftright(place, 23),
-        f"l_{name}": F.shiftright(place, 13).bitwiseAND(_REACH),
-        f"r_{name}": F.shiftright(place, 3).bitwiseAND(_REACH),
+        f"c_{name}": F.shiftright(place, 26),
+        f"l_{name}": F.shiftright(place, 16).bitwiseAND(_REACH),
+        f"r_{name}": F.shiftright(place, 6).bitwiseAND(_REACH),
+        f"level_{name}": place.bitwiseAND(63),
     }
 
 
+def _firsts(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with the first document of their signature; a running frame, so no group is held in memory."""
+    order = Window.partitionBy(*keys).orderBy("doc_id", "place")
+    return rows.withColumns({"other_id": F.first("doc_id").over(order), "other_place": F.first("place").over(order)})
+
+
+def _pairs(paired: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (hub, doc_id, partners) of documents some of whose aligned intervals can hold a passage."""
+    split = paired.filter(F.col("doc_id") != F.col("other_id")).withColumns(_split("place", "a") | _split("other_place", "b"))
+    room = F.least("l_a", "l_b") + F.least("r_a", "r_b") + 1  # what both intervals hold of one alignment
+    fits = 100 * F.least(room, F.lit(width)) >= (2 * percent - 100) * width
+    partners = F.max(F.expr("shiftleft(1L, cast(least(level_a, 40) as int))")).alias("partners")
+    return split.filter(fits).groupBy(F.col("other_id").alias("hub"), "doc_id").agg(partners)
+
+
 class Passage:
     """A document's shingles, laid out so that another's are found in it near an alignment."""
 
-    def __init__(self, text: str | None):
-        self.shingles = shingle_sequence(words_of(text))
+    def __init__(self, shingles: np.ndarray):
+        self.shingles = shingles
         self.known, self.first, rank = np.unique(self.shingles, return_index=True, return_inverse=True)
         self.placed = np.sort(rank.astype(np.int64) << 32 | np.arange(len(self.shingles)))
 
@@ -216,72 +297,92 @@ def similar_spans(a: np.ndarray, b: Passage, words: int, percent: int) -> list[t
     return found
 
 
-def _verify(words: int, percent: int):
+def _verified(slim: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Spans of the pairs' documents that are similar enough; texts are cut into shingles once a document, not once a pair."""
+    wanted, count = measured(pairs.select("doc_id").union(pairs.select("hub")).distinct())
+    texts = slim.join(small(wanted, count.rows), "doc_id", "left_semi")
+
     @forgetting
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, kept, passage = [], None, None
-            for doc_id, other_id, a, b in zip(frame["doc_id"], frame["other_id"], frame["text_a"], frame["text_b"], strict=True):
-                if other_id != kept:  # rows come sorted by it
-                    kept, passage = other_id, Passage(b)
-                for span in similar_spans(shingle_sequence(words_of(a)), passage, words, percent):
-                    rows.append((doc_id, *span[:2], other_id, *span[2:]))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_word", "end_word", "other_id", "other_start", "other_end", "similarity"])
+    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames, "text"):
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "content": [shingle_sequence(words_of(t)).tobytes() for t in frame["text"]]})
 
-    return run
+    def match(hub: Passage, content: bytes) -> list[tuple]:
+        return similar_spans(np.frombuffer(content, np.uint64), hub, words, percent)
+
+    contents = texts.mapInPandas(shingles, "doc_id long, content binary")
+    return against_hubs(pairs, contents, lambda b: Passage(np.frombuffer(b, np.uint64)), match, _SPANS)
+
+
+def _open(paired: DataFrame, found: DataFrame) -> DataFrame:
+    """Paired windows whose minimum lies in no passage found of their document."""
+    spans = found.select("doc_id", "start_word", "end_word").unionByName(
+        found.select(F.col("hub").alias("doc_id"), F.col("other_start").alias("start_word"), F.col("other_end").alias("end_word"))
+    )
+    # the longest span at each start: no more than the document's words
+    spans = spans.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    c = F.shiftright("place", 26)
+    inside = F.exists("spans", lambda s: (s["start_word"] <= c) & (c + SHINGLE_WORDS <= s["end_word"]))
+    return paired.join(spans, "doc_id", "left").filter(~F.coalesce(inside, F.lit(False))).drop("spans")
 
 
 def passages(
-    docs: DataFrame, words: int = PASSAGE_WORDS, percent: int = SIMILARITY_PERCENT, functions: int = FUNCTIONS
+    docs: DataFrame, words: int = PASSAGE_WORDS, percent: int = SIMILARITY_PERCENT, bands: int = BANDS, cells_log2: int = CELLS_LOG2
 ) -> DataFrame:
     """Passages of at least `words` words that another document has too, nearly or exactly.
 
     (doc_id, start_word, end_word, other_id, other_start, other_end, similarity): word places, ends
-    exclusive; other_id is the document that stands for the passage. Of documents that share a passage, all but that
-    one have a row for it. Null and empty texts, and those under `words` words, have none; rows with a null
-    doc_id are left out, and of rows that repeat a doc_id one counts. An empty table gives an empty one.
+    exclusive; other_id is a document that stands for the passage. Of documents that share a passage, all but the first
+    have a row for it. Null and empty texts, and those under `words` words, have none; rows with a null
+    doc_id are left out; rows that repeat a doc_id are looked at each, under one id, and not compared with one another.
+    An empty table gives an empty one; other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     width = words - SHINGLE_WORDS + 1
-    rows = slim.mapInPandas(_windows(shingle_levels(slim), width, functions), "key long, doc_id long, place long")
-    # the first document of every signature; a running frame, so no group is held in memory
-    order = Window.partitionBy("key").orderBy("doc_id", "place")
-    paired = rows.withColumns({"other_id": F.first("doc_id").over(order), "other_place": F.first("place").over(order)})
-    paired = paired.filter(F.col("doc_id") != F.col("other_id")).withColumns(_split("place", "a") | _split("other_place", "b"))
-    room = F.least("l_a", "l_b") + F.least("r_a", "r_b") + 1  # what both windows hold of one alignment
-    lengths = F.greatest(F.col("l_a") + F.col("r_a"), F.col("l_b") + F.col("r_b")) + 1
-    fits = 100 * F.least(room, F.lit(width)) >= (2 * percent - 100) * F.least(lengths, F.lit(width))
-    agreed = paired.filter(fits).groupBy("doc_id", "other_id").agg(
-        F.expr("bit_or(shiftleft(1, cast(place & 7 as int)))").alias("functions")
-    )
-    chosen = durable(agreed.filter((F.bit_count("functions") >= ENOUGH) | (F.col("functions") >= 1 << WHOLE)).select("doc_id", "other_id"))
-    wanted = durable(chosen.select("doc_id").union(chosen.select("other_id")).distinct())
-    if wanted.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    texts = slim.join(wanted, "doc_id", "left_semi")
-    first = texts.select("doc_id", F.col("text").alias("text_a"))
-    second = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("text_b"))
-    found = chosen.join(first, "doc_id").join(second, "other_id").select("doc_id", "other_id", "text_a", "text_b")
-    found = found.mapInPandas(_verify(words, percent), _PASSAGE)
-    kept = F.min(F.struct("other_id", "other_start", "other_end", "similarity")).alias("o")
+    levels = shingle_levels(slim, cells_log2=cells_log2)
+    rows = _firsts(slim.mapInPandas(_windows(levels, width, bands), "key long, deal int, doc_id long, place long"), "key", "deal")
+    # of a key that is dealt out, the first documents of the deals are joined in turn
+    dealt = F.col("place").bitwiseAND(63) > DEALT_LOG2
+    paired = durable(rows.filter((F.col("doc_id") != F.col("other_id")) | (dealt & (F.col("place") == F.col("other_place")))))
+    heads = _firsts(paired.filter(F.col("doc_id") == F.col("other_id")).select("key", "deal", "doc_id", "place"), "key")
+    pairs = durable(_pairs(paired.unionByName(heads), width, percent).groupBy("hub", "doc_id").agg(F.max("partners").alias("partners")))
+    found = durable(_verified(slim, pairs, words, percent))
+
+    left = durable(_open(paired.filter(F.col("doc_id") != F.col("other_id")), found))
+    again = _pairs(_firsts(left.select("key", "deal", "doc_id", "place"), "key", "deal"), width, percent)
+    # every document of an open signature, found or not, and the first one too
+    classes, count = measured(left.select("key", "deal").distinct())
+    near = paired.join(small(classes, count.rows), ["key", "deal"], "left_semi")
+    near = near.select("doc_id", "place").union(near.select("other_id", "other_place"))
+    near = near.select("doc_id", F.shiftright("place", 26).alias("c")).distinct().groupBy("doc_id").agg(F.collect_list("c").alias("places"))
+    near, count = measured(near)
+    runs = slim.join(small(near, count.rows), "doc_id").mapInPandas(_whole(levels, width), "key long, deal int, doc_id long, place long")
+    exact = _firsts(runs, "key").filter(F.col("doc_id") != F.col("other_id")).groupBy(F.col("other_id").alias("hub"), "doc_id").agg(F.count(F.lit(1)).alias("partners"))
+    fresh = again.unionByName(exact).groupBy("hub", "doc_id").agg(F.max("partners").alias("partners"))
+    fresh = durable(fresh.join(pairs.select("hub", "doc_id"), ["hub", "doc_id"], "left_anti"))
+    levels.destroy()
+    found = found.unionByName(_verified(slim, fresh, words, percent))
+    kept = F.min(F.struct(F.col("hub").alias("other_id"), "other_start", "other_end", "similarity")).alias("o")
     return found.groupBy("doc_id", "start_word", "end_word").agg(kept).select(
         "doc_id", "start_word", "end_word", "o.other_id", "o.other_start", "o.other_end", "o.similarity"
     )
 
 
 def remove_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with every found passage cut from its text (the representative keeps it); other columns stay.
+    """docs with every found passage cut from its text (the document that stands for it keeps it); all columns stay, other ones as they are.
 
-    White space before a passage goes with it. Texts without a passage are returned as they are.
+    White space before a passage goes with it. Texts without a passage and rows with a null doc_id are returned as they are.
     """
-    spans = found.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    of, at = fresh_name(docs, "of_doc"), fresh_name(docs, "spans")
+    spans = found.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(at))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_without(t, s) for t, s in zip(texts, spans, strict=True)])
 
-    joined = docs.join(spans, F.col("doc_id") == F.col("of_doc"), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", F.coalesce("spans", F.array())))
+    joined = docs.join(spans, F.col("doc_id") == F.col(of), "left")
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(cut("text", F.coalesce(at, F.array())))
     return joined.withColumn("text", text).select(*docs.columns)
 
 
