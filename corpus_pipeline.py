@@ -15,49 +15,66 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import durable, small_batches, table
+from tracemill.llm.common import durable, fresh_name, measured, small, small_batches, table
 from tracemill.llm.op02_packing import pack
 from tracemill.llm.op04_substring_dedup import passages, remove_passages
 from tracemill.llm.op05_ngram_jaccard_join import jaccard_classes
 from tracemill.llm.op08_language_id import document_evidence, identify, train_trigrams
 from tracemill.llm.op10_toxicity import clean, train
 
-#: Ids to drop are broadcast up to this many rows (16 bytes each); beyond it the documents are shuffled.
-MOST_BROADCAST = 2_000_000
-
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id is not among ids (doc_id); a null doc_id stays."""
-    gone = durable(ids.select(F.col("doc_id").alias("gone")).filter(F.col("gone").isNotNull()).distinct())
-    if gone.count() <= MOST_BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    name = fresh_name(docs, "gone")
+    gone, count = measured(ids.select(F.col("doc_id").alias(name)).filter(F.col(name).isNotNull()).distinct())
+    return docs.join(small(gone, count.rows), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: drops documents whose language is unknown or unsure.
+
+    Null and empty texts, and texts without letters, go; a null doc_id stays; rows that repeat a doc_id go together if one of
+    them is rejected. All columns are kept as they are; an empty table stays empty.
+    """
     small_batches(spark)
     found = identify(document_evidence(docs), train_trigrams(docs))
     return without(docs, found.filter("rejected"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10, fitted on these documents and the labels: drops texts that score 0.5 or more.
+
+    Every row is judged by its own text, whatever its id; null and empty texts stay. All columns are kept as
+    they are; an empty table stays empty, and without labels nothing goes.
+    """
     small_batches(spark)
     return clean(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: keeps the document of least id of each group of near copies.
+
+    Rows that repeat a doc_id are one document, kept or dropped together; null ids and null or empty texts stay. All columns are kept
+    as they are; an empty table stays empty.
+    """
     small_batches(spark)
     classes = jaccard_classes(docs)
     return without(docs, classes.filter(F.col("component_id") != F.col("doc_id")))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: cuts passages of 50 words or more that a document standing for them keeps; no row goes.
+
+    n_chars, where it is a column, is counted anew; other columns are kept as they are. Null texts and null ids stay as they
+    are; rows that repeat a doc_id lose the same word places. An empty table stays empty.
+    """
     small_batches(spark)
     out = remove_passages(docs, durable(passages(docs)))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the pieces of every row's text. Null and empty texts are one end id; rows that repeat are packed each; an empty table gives none."""
     small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
