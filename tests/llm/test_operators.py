@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracemill.llm import bpe_transducer, op01_token_counts, op02_packing, op03_embedding_near_dedup, op04_substring_dedup, op05_ngram_jaccard_join
-from tracemill.llm import op06_html_extraction, op07_byte_bpe, op08_language_id, op09_media_copies, op10_toxicity
+from tracemill.llm import common, op06_html_extraction, op07_byte_bpe, op08_language_id, op09_media_copies, op10_toxicity
 from tracemill.llm.common import words_of
 from tracemill.llm.components import connected_components
 
@@ -147,6 +147,23 @@ def _jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
+def test_hashed_texts(monkeypatch):
+    """Equal words and shingles, and only those, have equal hashes, whatever stands around them and however texts are cut."""
+    rnd, letters = random.Random(4), "aAbB \t\né日.\x1c"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.choice([0, 3, 30, 300]))) for _ in range(400)] + [None]
+    whole = list(common.hashed_texts(texts))
+    of_word, of_shingle = {}, {}
+    for text, (words, shingles) in zip(texts, whole, strict=True):
+        spoken = words_of(text)
+        assert len(words) == len(spoken) and len(shingles) == (max(len(spoken) - 4, 1) if spoken else 0)
+        assert all(of_word.setdefault(w, h) == h for w, h in zip(spoken, words.tolist(), strict=True))
+        size = min(5, len(spoken))
+        assert all(of_shingle.setdefault(tuple(spoken[k : k + size]), h) == h for k, h in enumerate(shingles.tolist()))
+    assert len(set(of_word.values())) == len(of_word) and len(set(of_shingle.values())) == len(of_shingle)
+    monkeypatch.setattr(common, "_CHUNK", 64)
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(whole, common.hashed_texts(texts), strict=True))
+
+
 def test_long_documents_in_parts(spark, monkeypatch):
     """Windows of a long document come in parts, as if it were laid out at once."""
     rnd, words = random.Random(23), vocabulary()

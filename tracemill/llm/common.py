@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,10 +127,6 @@ def forgetting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
     return task
 
 
-#: One table per Python worker, filled anew by each task.
-WORD_HASH = BoundedCache(xxhash.xxh3_64_intdigest)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space (0x20, 0x09-0x0D), with A-Z lower-cased; null counts as empty."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -144,23 +139,87 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORD_HASH.__getitem__, words), _U64, len(words))
+#: A random value for each byte, A-Z as a-z, and the bytes that part words.
+_BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of text hashed at once; a longer word is hashed alone.
+_CHUNK = 1 << 20
+
+
+@functools.lru_cache(1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    inverse = pow(int(_MULT), -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([[_U64(1)], np.full(size, x, _U64)])) for x in (_MULT, _U64(inverse)))
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the words of these bytes. A word's hash is a polynomial of its bytes, taken from running sums, so all words cost a few array steps."""
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, inverse = _powers(max(2 * _CHUNK, len(data)))
+    sums = np.zeros(len(data) + 1, _U64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U64) * _MULT), starts
+
 
+def _cuts(raw: bytes) -> Iterator[bytes]:
+    """A long text in parts that end between words."""
+    low = 0
+    while len(raw) - low > _CHUNK:
+        gap = re.compile(rb"[\x20\x09-\x0D]").search(raw, low + _CHUNK // 2)
+        if not gap:
+            break
+        yield raw[low : gap.start()]
+        low = gap.end()
+    yield raw[low:]
 
-def shingle_sequence(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
-    """64-bit hashes of consecutive shingles in order; fewer words than `size` make one shingle of all of them."""
-    n = len(words)
-    if not n:
-        return np.empty(0, _U64)
-    w = word_hashes(words)
-    size = min(size, n)
-    h = np.full(n - size + 1, size, _U64)
+
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    h = np.full(len(words) - size + 1, size, _U64)
     for k in range(size):
-        h = h * _MULT + w[k : n - size + 1 + k]
+        h = h * _MULT + words[k : len(words) - size + 1 + k]
     return mix(h)
 
 
+def hashed_texts(texts: Iterable[str | None], size: int = SHINGLE_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the 64-bit hashes of its words (as words_of has them) and of its shingles, in order.
+
+    Fewer words than `size` make one shingle of all of them; null counts as empty.
+    """
+
+    def several(held: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, starts = _hashed(b"\n".join(held))
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)]))
+        shingles = _shingles(words, size) if len(words) >= size else words[:0]
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = words[low:high]
+            yield own, shingles[low : high - size + 1] if high - low >= size else _shingles(own, len(own)) if len(own) else own
+
+    held, length = [], 0
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass") if text else b""
+        if len(raw) > _CHUNK:
+            yield from several(held) if held else ()
+            held, length = [], 0
+            words = np.concatenate([_hashed(part)[0] for part in _cuts(raw)])
+            yield words, _shingles(words, min(size, len(words))) if len(words) else words
+            continue
+        if length + len(raw) >= _CHUNK:
+            yield from several(held) if held else ()
+            held, length = [], 0
+        held.append(raw)
+        length += len(raw) + 1
+    yield from several(held) if held else ()
+
+
+def shingle_sequences(texts: Iterable[str | None]) -> list[np.ndarray]:
+    return [shingles for _, shingles in hashed_texts(texts)]
+
+
 def batches(frames: Iterable[pd.DataFrame], column: str, most_chars: int = 16_000_000) -> Iterator[pd.DataFrame]:
     """Split pandas batches so that no piece holds much more than `most_chars` of a text column."""
     for frame in frames:

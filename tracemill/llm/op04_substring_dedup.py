@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, batches, durable, forgetting, fresh_name, measured, mix, shingle_sequence, small, words_of
+from tracemill.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, batches, durable, forgetting, fresh_name, measured, mix, shingle_sequences, small
 from tracemill.llm.hubs import against_hubs
 from tracemill.llm.shingle_levels import CELLS_LOG2, level_of, shingle_levels
 
@@ -133,7 +133,7 @@ def _windows(levels: Broadcast, width: int, bands: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = levels.value
         for frame in batches(frames, "text"):
-            sequences = [shingle_sequence(words_of(t)) for t in frame["text"]]
+            sequences = shingle_sequences(frame["text"])
             for ids, some, base, low, high in parts(frame["doc_id"].to_numpy(np.int64), sequences):
                 sizes = np.array([len(s) for s in some])
                 h = np.concatenate([*some, np.empty(0, np.uint64)])
@@ -183,12 +183,14 @@ def _whole(levels: Broadcast, width: int):
     @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text"):
-            for doc_id, text, places in zip(frame["doc_id"], frame["text"], frame["places"], strict=True):
-                h = shingle_sequence(words_of(text))
+            found = []
+            for places, h in zip(frame["places"], shingle_sequences(frame["text"]), strict=True):
                 around = np.asarray(places, np.int64)
                 # a repeated doc_id may bring a text that the places weren't found in
-                starts, values = whole_runs(h, level_of(levels.value, h) > 0, width, around[around < len(h)])
-                yield pd.DataFrame({"key": values.view(np.int64), "deal": 0, "doc_id": doc_id, "place": starts << 26})
+                found.append(whole_runs(h, level_of(levels.value, h) > 0, width, around[around < len(h)]))
+            ids = np.repeat(frame["doc_id"].to_numpy(np.int64), [len(x) for x, _ in found])
+            starts, values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+            yield pd.DataFrame({"key": values.view(np.int64), "deal": np.zeros(len(ids), np.int32), "doc_id": ids, "place": starts << 26})
 
     return run
 
@@ -249,6 +251,9 @@ def similar_spans(a: np.ndarray, b: Passage, words: int, percent: int) -> list[t
     """
     if not len(a) or not len(b.shingles):
         return []
+    if len(a) == len(b.shingles) and (a == b.shingles).all():
+        whole = len(a) + SHINGLE_WORDS - 1
+        return [(0, whole, 0, whole, 1.0)] if whole >= words else []
     least = percent * (words - SHINGLE_WORDS + 1) // 100
     at = np.minimum(np.searchsorted(b.known, a), len(b.known) - 1)
     hit = np.flatnonzero(b.known[at] == a)
@@ -260,6 +265,10 @@ def similar_spans(a: np.ndarray, b: Passage, words: int, percent: int) -> list[t
     # where no shingle stands twice, set sizes are lengths and counts of matches
     plain = len(b.known) == len(b.shingles) and len(np.unique(a)) == len(a)
     found, free = [], np.ones(len(hit), bool)
+    if len(b.known) == len(b.shingles):  # all matches of an alignment lie within two lanes of it
+        near = np.concatenate([[0], np.cumsum(times)])
+        enough = near[np.searchsorted(lanes, lanes + 2, "right")] - near[np.searchsorted(lanes, lanes - 2)] >= least
+        lanes, times = lanes[enough], times[enough]
     for lane in lanes[np.argsort(-times, kind="stable")]:
         if free.sum() < least:
             break
@@ -305,7 +314,7 @@ def _verified(slim: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     @forgetting
     def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text"):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "content": [shingle_sequence(words_of(t)).tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "content": [s.tobytes() for s in shingle_sequences(frame["text"])]})
 
     def match(hub: Passage, content: bytes) -> list[tuple]:
         return similar_spans(np.frombuffer(content, np.uint64), hub, words, percent)
@@ -357,7 +366,7 @@ def passages(
     near = near.select("doc_id", "place").union(near.select("other_id", "other_place"))
     near = near.select("doc_id", F.shiftright("place", 26).alias("c")).distinct().groupBy("doc_id").agg(F.collect_list("c").alias("places"))
     near, count = measured(near)
-    runs = slim.join(small(near, count.rows), "doc_id").mapInPandas(_whole(levels, width), "key long, deal int, doc_id long, place long")
+    runs = slim.join(small(near, 16 * count.rows), "doc_id").mapInPandas(_whole(levels, width), "key long, deal int, doc_id long, place long")
     exact = _firsts(runs, "key").filter(F.col("doc_id") != F.col("other_id")).groupBy(F.col("other_id").alias("hub"), "doc_id").agg(F.count(F.lit(1)).alias("partners"))
     fresh = again.unionByName(exact).groupBy("hub", "doc_id").agg(F.max("partners").alias("partners"))
     fresh = durable(fresh.join(pairs.select("hub", "doc_id"), ["hub", "doc_id"], "left_anti"))

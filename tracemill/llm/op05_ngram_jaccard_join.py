@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SIMILARITY_PERCENT, batches, durable, forgetting, measured, shingle_sequence, small, words_of
+from tracemill.llm.common import SIMILARITY_PERCENT, batches, durable, forgetting, hashed_texts, measured, small
 from tracemill.llm.components import connected_components
 from tracemill.llm.hubs import against_hubs
 from tracemill.llm.shingle_levels import CELLS_LOG2, level_of, shingle_levels
@@ -52,14 +52,13 @@ def _sets(levels: Broadcast, percent: int):
         table = levels.value
         for frame in batches(frames, "text"):
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                words = words_of(text)
-                h = np.unique(shingle_sequence(words))
+            for doc_id, (words, shingles) in zip(frame["doc_id"], hashed_texts(frame["text"]), strict=True):
+                h = np.unique(shingles)
                 n = len(h)
                 if not n:
                     rows.append((doc_id, 0, 0, None, None, None, None))
                     continue
-                sequence = xxhash.xxh3_128_digest(b" ".join(words))
+                sequence = xxhash.xxh3_128_digest(words.tobytes())
                 level = level_of(table, h)
                 length = prefix_length(n, percent)
                 first = np.lexsort((h, level))[:length]

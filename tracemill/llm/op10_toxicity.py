@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BoundedCache, batches, durable, forgetting, shingle_sequence, words_of
+from tracemill.llm.common import BoundedCache, batches, durable, forgetting, shingle_sequences
 
 #: Bounds of the sample that the classifier is fitted on, and of its vocabulary.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_WORDS = 6_000, 12_000, 20_000
@@ -109,7 +109,7 @@ def held_out():
 @forgetting
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        marks = [shingle_sequence(words_of(t)) for t in frame["text"]]
+        marks = shingle_sequences(frame["text"])
         yield pd.DataFrame(
             {
                 "positive": frame["positive"],

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import batches, forgetting, shingle_sequence, words_of
+from tracemill.llm.common import batches, forgetting, shingle_sequences
 
 CELLS_LOG2 = 25
 #: Shingles that one reducing group holds, about, and the fewest ranges (as a power of two).
@@ -51,8 +51,7 @@ def _blocks(ranges_log2: int, column: str) -> Callable[[Iterator[pd.DataFrame]],
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
         for frame in batches(frames, column):
-            for text in frame[column]:
-                h = np.unique(shingle_sequence(words_of(text)))
+            for h in map(np.unique, shingle_sequences(frame[column])):
                 parts.append(h)
                 held += len(h)
                 if held >= _FLUSH:
