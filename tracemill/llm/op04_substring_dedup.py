@@ -280,7 +280,7 @@ def similar_spans(a: np.ndarray, b: Passage, words: int, percent: int) -> list[t
         queue = [(0, len(use))]
         while queue:
             s, e = queue.pop()
-            if e - s < 2:
+            if e - s < least // 2:  # the rest of a passage's matches may lie off the alignment, but not that many
                 continue
             x, y = hit[use[s:e]], mate[use[s:e]]
             low, high = int(y.min()), int(y.max())
@@ -299,7 +299,7 @@ def similar_spans(a: np.ndarray, b: Passage, words: int, percent: int) -> list[t
                 found.append((int(x[0]), int(x[-1]) + SHINGLE_WORDS, low, high + SHINGLE_WORDS, both / union))
                 free[(hit >= x[0]) & (hit <= x[-1])] = False
                 continue
-            gaps = np.maximum(np.diff(x), np.abs(np.diff(y)))
+            gaps = np.maximum(x[1:] - x[:-1], np.abs(y[1:] - y[:-1]))
             if gaps.max() > 1:
                 k = s + 1 + int(gaps.argmax())
                 queue += [(s, k), (k, e)]
