@@ -295,7 +295,30 @@ def test_embedding_links(spark):
     count = {k: sum(k in p for p in links) for k in root}
     assert got == {(k, count[k], root[k], root[k] == k) for k in root} | {(None, 0, None, None)}
     assert op03_embedding_near_dedup.embedding_links(df.limit(0)).count() == 0
-    assert 1 - (1 - op03_embedding_near_dedup.collision_chance(0.93) ** 10) ** 32 > 0.99
+    for n in (1, 5000, 10**9):
+        tables, projections = op03_embedding_near_dedup.table_plan(n, 0.93)
+        assert 1 - (1 - op03_embedding_near_dedup.collision_chance(0.93) ** projections) ** tables >= 0.999
+
+
+def test_embedding_links_of_repeated_ids(spark):
+    """Ids that stand on rows with different vectors: other ids count once, an id never links with itself."""
+    rnd = np.random.default_rng(8)
+    base = rnd.standard_normal((6, 16))
+    rows = []
+    for k in range(120):
+        v = base[rnd.integers(6)] + rnd.choice([0, 0.05, 0.2]) * rnd.standard_normal(16)
+        rows.append((int(rnd.integers(40)) if k < 80 else 100 + k, [float(x) for x in v.astype(np.float32)], int(k % 2)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"node": F.lit("clash"), "row": F.lit(1), "mark": F.lit(None)})
+    links = set()
+    for a, u, la in rows:
+        for b, v, lb in rows:
+            if la == lb and a < b and np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v) >= 0.93:
+                links.add((a, b))
+    root, count = roots([r[0] for r in rows], links), {r[0]: sum(r[0] in p for p in links) for r in rows}
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in op03_embedding_near_dedup.embedding_links(df).collect()]
+    assert len(got) == len(rows) and set(got) == {(k, count[k], root[k], root[k] == k) for k in root}
+    three = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.02], 1)], "vec_id long, embedding array<float>, label int")
+    assert {tuple(r) for r in op03_embedding_near_dedup.embedding_links(three).collect()} == {(1, 1, 1, True), (2, 1, 1, False)}
 
 
 @pytest.mark.parametrize(
