@@ -1,10 +1,11 @@
 """Edit-aware token counts: a segment tree over each document's pre-tokens.
 
-Leaves hold blocks of pre-tokens (their text, lengths and token counts); inner
+Leaves hold blocks of pre-tokens with their token counts; inner
 nodes hold sums of characters and tokens. An edit finds its place by
 descending the character sums, re-encodes from the last pre-token that
 could be affected up to the first old boundary that the new splitting meets again,
-and updates the sums above the touched leaves. The rest is never encoded again.
+and updates the sums above the touched leaves. The counts of all other pre-tokens are kept, those of the touched leaves
+too. Leaves take up what is inserted until one holds FULLEST blocks; only then is the tree laid out anew, from the kept counts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import BoundedCache, batches
 
 BLOCK = 256
+#: Blocks' worth of pre-tokens that a leaf may come to hold by insertions.
+FULLEST = 4
 #: How far past its end the splitting pattern may look before it fixes a pre-token: a contraction's letters or the character after white space.
 LOOKAHEAD = 3
 
@@ -51,22 +54,35 @@ class CountTree:
     def __init__(self, text: str, tool: Counter):
         self.tool, self.encoded = tool, 0
         pieces = tool.split.findall(text)
-        self.blocks = [pieces[k : k + BLOCK] for k in range(0, len(pieces), BLOCK)] or [[]]
-        self.first_count = len(pieces)
-        self._build()
+        self._lay_out(pieces, tool.counts(pieces))
 
-    def _leaf(self, block: list[str]) -> tuple[int, int]:
-        return sum(map(len, block)), sum(self.tool.counts(block))
-
-    def _build(self, known: list[tuple[int, int]] | None = None) -> None:
-        self.size = 1 << max(0, (len(self.blocks) - 1).bit_length())
+    def _lay_out(self, pieces: list[str], counts: list[int]) -> None:
+        starts = range(0, max(len(pieces), 1), BLOCK)
+        self.blocks, self.counts = [pieces[k : k + BLOCK] for k in starts], [counts[k : k + BLOCK] for k in starts]
+        self.size = 1 << (len(self.blocks) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), np.int64)
-        self.sums[self.size : self.size + len(self.blocks)] = known or [self._leaf(b) for b in self.blocks]
+        self.sums[self.size : self.size + len(self.blocks)] = [(sum(map(len, b)), sum(c)) for b, c in zip(self.blocks, self.counts, strict=True)]
         level = self.size
         while level > 1:  # a level's sums at once
             self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2, 2).sum(axis=1)
             level //= 2
 
+    def _replace(self, low: int, high: int, pieces: list[str], counts: list[int]) -> None:
+        """These pre-tokens in place of those of the leaves from low to high, dealt evenly to the same leaves."""
+        share = -(-len(pieces) // (high - low))
+        if share > FULLEST * BLOCK:
+            kept = lambda lists, new: [x for part in (*lists[:low], new, *lists[high:]) for x in part]
+            self._lay_out(kept(self.blocks, pieces), kept(self.counts, counts))
+            return
+        for k in range(low, high):
+            cut = slice((k - low) * share, (k - low + 1) * share)
+            self.blocks[k], self.counts[k] = pieces[cut], counts[cut]
+            self.sums[self.size + k] = sum(map(len, pieces[cut])), sum(counts[cut])
+        first, last = (self.size + low) // 2, (self.size + high - 1) // 2
+        while first:
+            self.sums[first : last + 1] = self.sums[2 * first : 2 * last + 2].reshape(-1, 2, 2).sum(axis=1)
+            first, last = first // 2, last // 2
+
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -101,14 +117,12 @@ class CountTree:
                 break
             start += len(piece)
             skip += 1
-        # if the place falls between blocks, begin with the one before it
-        head = self.blocks[low][:skip]
-        old: list[str] = self.blocks[low][skip:]
+        old, counts = self.blocks[low][skip:], self.counts[low][skip:]
         high = low + 1
         span = start + sum(map(len, old))
         while span < stop and high < len(self.blocks):
-            old = old + self.blocks[high]
-            span += sum(map(len, self.blocks[high]))
+            old, counts = old + self.blocks[high], counts + self.counts[high]
+            span += int(self.sums[self.size + high, 0])
             high += 1
         while True:
             text = "".join(old)
@@ -135,31 +149,17 @@ class CountTree:
                     met = None
             if met is not None:
                 break
-            old = old + self.blocks[high]
+            old, counts = old + self.blocks[high], counts + self.counts[high]
             high += 1
-        tail, place = [], start
+        rest, place = len(old), start
         for k, piece in enumerate(old):
             if place >= met:
-                tail = old[k:]
+                rest = k
                 break
             place += len(piece)
         self.encoded += len(fresh)
-        merged = head + fresh + tail
-        cut = [merged[k : k + BLOCK] for k in range(0, len(merged), BLOCK)] or [[]]
-        leaves = [self._leaf(b) for b in cut]
-        if len(cut) == high - low:
-            self.blocks[low:high] = cut
-            for k, leaf in enumerate(leaves):
-                node = self.size + low + k
-                self.sums[node] = leaf
-                while node > 1:
-                    node //= 2
-                    self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
-        else:  # blocks were added or dropped: sums are laid out anew, nothing is encoded again
-            known = [tuple(x) for x in self.sums[self.size : self.size + len(self.blocks)].tolist()]
-            known[low:high] = leaves
-            self.blocks[low:high] = cut
-            self._build(known)
+        merged = self.blocks[low][:skip] + fresh + old[rest:]
+        self._replace(low, high, merged, self.counts[low][:skip] + self.tool.counts(fresh) + counts[rest:])
 
     def text(self) -> str:
         return "".join(piece for block in self.blocks for piece in block)
