@@ -47,20 +47,21 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
-#: A cell wider than this doesn't widen its column.
+#: Lines of table cells are folded between words at this width, so that columns stay aligned; a longer word stays whole and moves the rest of its line.
 WIDEST = 48
-#: Tables nested deeper than this are written as plain blocks.
-DEEPEST = 12
+#: The HTML standard's bounds of colspan and rowspan.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
 
 
 class Node:
-    __slots__ = ("children", "hidden", "number", "span", "tag")
+    __slots__ = ("children", "hidden", "lines", "number", "span", "tag")
 
     def __init__(self, tag: str):
         self.tag, self.children, self.hidden = tag, [], False
+        self.lines: list[str] = []  # of a table, once it is rendered
         self.span, self.number = (1, 1), None
 
 
@@ -110,7 +111,7 @@ class TreeBuilder(HTMLParser):
             style = held.get("style")
             node.hidden = node.hidden or "hidden" in held or bool(style and _HIDING.search(style))
             if tag in ("td", "th"):
-                node.span = (_whole(held.get("colspan"), 1, 1000, 1), _whole(held.get("rowspan"), 1, 65534, 1))
+                node.span = (_whole(held.get("colspan"), 1, MOST_COLUMNS, 1), _whole(held.get("rowspan"), 1, MOST_ROWS, 1))
             if tag in ("ol", "li"):
                 name = "start" if tag == "ol" else "value"
                 node.number = _whole(held.get(name), -(10**8), 10**8, 0) if name in held else None
@@ -250,14 +251,31 @@ def _loose(table: Node) -> list:
     return out
 
 
-def _table(table: Node, depth: int) -> list[str]:
+def _folded(lines: list[str]) -> list[str]:
+    """Lines cut between words where they pass WIDEST; what follows a cut keeps the line's indent."""
+    out = []
+    for line in lines:
+        indent = " " * min(len(line) - len(line.lstrip(" ")), WIDEST // 2)
+        while len(line) > WIDEST:
+            at = line.rfind(" ", len(indent) + 1, WIDEST + 1)
+            if at < 0 or not line[:at].strip(" "):
+                at = line.find(" ", WIDEST)
+            if at < 0:
+                break
+            out.append(line[:at].rstrip(" "))
+            line = indent + line[at:].lstrip(" ")
+        out.append(line)
+    return out
+
+
+def _table(table: Node) -> list[str]:
     placed, held = [], {}  # held: column -> rows that a cell from above still covers
     for row in _rows(table):
         line, column, cover = [], 0, {}
         for cell in row:
             while held.get(column, 0):
                 column += 1
-            lines = render(cell.children, depth + 1)
+            lines = _folded(render(cell.children))
             line.append((column, cell.span[0], lines))
             if cell.span[1] > 1:
                 for k in range(column, column + cell.span[0]):
@@ -269,7 +287,7 @@ def _table(table: Node, depth: int) -> list[str]:
     for line in placed:
         for column, span, lines in line:
             if span == 1:
-                widths[column] = max(widths.get(column, 0), min(WIDEST, max(map(len, lines), default=0)))
+                widths[column] = max(widths.get(column, 0), max((len(x) for x in lines if len(x) <= WIDEST), default=0))
     starts, at = {}, 0
     for column in range(max((c for line in placed for c, _, _ in line), default=-1) + 1):
         starts[column] = at
@@ -287,8 +305,20 @@ def _table(table: Node, depth: int) -> list[str]:
     return out
 
 
-def render(children: list, depth: int = 0) -> list[str]:
-    """Lines of the visible text of these nodes, in order; no recursion but for table cells."""
+def render_tables(root: Node) -> None:
+    """Render every table that isn't hidden into its `lines`, inner ones first; so tables may be nested to any depth."""
+    tables, queue = [], [root]
+    while queue:
+        node = queue.pop()
+        if node.tag == "table":
+            tables.append(node)
+        queue.extend(c for c in node.children if isinstance(c, Node) and not c.hidden)
+    for table in reversed(tables):  # what is inside a table was met after it
+        table.lines = render(_loose(table)) + _table(table)
+
+
+def render(children: list) -> list[str]:
+    """Lines of the visible text of these nodes, in order; tables among them are rendered already."""
     out = Lines()
     pre = 0
     lists: list[list] = []  # [kind, next number]
@@ -311,10 +341,9 @@ def render(children: list, depth: int = 0) -> list[str]:
                 else:
                     out.line_end(keep_empty=True)
                 continue
-            if tag == "table" and depth < DEEPEST:
+            if tag == "table":
                 out.block(True)
-                loose = render(_loose(child), depth + 1)
-                for line in loose + _table(child, depth):
+                for line in child.lines:
                     out.words = [line] if line else []
                     if line:
                         kept = out.indent
@@ -393,6 +422,7 @@ def html_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    render_tables(builder.root)
     return "\n".join(render(builder.root.children))
 
 
