@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import durable, forgetting
 
 BUCKETS_LOG2 = 15
-#: About so many labelled documents fit the trigram model.
-TRAINING_DOCUMENTS = 20_000
+#: About so many labelled documents of each language fit the trigram model.
+TRAINING_DOCUMENTS = 5_000
 #: A long text counts as so many trigrams at most, so that declared evidence isn't drowned by dependent counts.
 TEMPER = 60
 #: Pseudo-counts of each level of the priors and of the declared evidence.
@@ -32,7 +32,8 @@ LEAST_CONFIDENCE = 0.5
 #: Share of a text's trigrams that may come from anywhere (names, codes, other languages).
 NOISE = 0.1
 UNKNOWN = "und"
-MOST_LANGUAGES = 64
+#: More languages than this are refused (the model takes 128 KB for each and is broadcast).
+MOST_LANGUAGES = 2_000
 
 _KEPT = np.full(256, 32, np.uint8)
 for _range in (range(ord("a"), ord("z") + 1), range(0x80, 0x100)):
@@ -62,7 +63,7 @@ class TrigramModel:
         n = int(counts.sum())
         if not n:
             return np.zeros(self.logs.shape[1]), 0
-        total = counts[used] @ self.logs[used]
+        total = counts[used].astype(np.float64) @ self.logs[used].astype(np.float64)
         return total * (min(n, TEMPER) / n), n
 
 
@@ -78,11 +79,17 @@ def _language_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train_trigrams(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> TrigramModel:
-    """Fit on about `most` rows of (doc_id, text, lang), chosen by a hash of the id. No labelled row: no language but UNKNOWN."""
+    """Fit on about `most` rows of (doc_id, text, lang) for each language, chosen by a hash of the id.
+
+    All languages are kept, those of a few rows too. No labelled row: no language but UNKNOWN.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    share = min(1.0, most / max(docs.count(), 1))
+    shares = known.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("share")).limit(MOST_LANGUAGES + 1).collect()
+    if len(shares) > MOST_LANGUAGES:
+        raise ValueError(f"documents in more than {MOST_LANGUAGES} languages")
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, r.share) for r in shares], "lang string, share double"))
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
-    parts = known.filter(place < share).select("lang", "text").mapInPandas(_language_counts, "lang string, counts array<long>")
+    parts = known.join(shares, "lang").filter(place < F.col("share")).select("lang", "text").mapInPandas(_language_counts, "lang string, counts array<long>")
     summed = (
         parts.select("lang", F.posexplode("counts").alias("bucket", "n"))
         .filter("n > 0")
@@ -90,10 +97,10 @@ def train_trigrams(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> TrigramMo
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )  # at most 2**BUCKETS_LOG2 rows a language
-    languages = summed.groupby("lang")["n"].sum().sort_values(ascending=False).index[:MOST_LANGUAGES]
+    languages = summed["lang"].unique()
     languages = sorted(languages)
     size = 1 << BUCKETS_LOG2
-    logs = np.full((size, len(languages) + 1), -np.log(size))
+    logs = np.full((size, len(languages) + 1), -np.log(size), np.float32)
     for k, lang in enumerate(languages):
         own = summed[summed["lang"] == lang]
         counts = np.zeros(size)
@@ -137,11 +144,14 @@ def _fused(languages: list[str], base: list[float], strength: float):
             if not len(frame):
                 continue
             scores, own = matrix(frame["scores"], zero), matrix(frame["post"], zero)
-            host, domain = matrix(frame["host_sums"], zero), matrix(frame["domain_sums"], zero)
-            count = lambda c: frame[c].to_numpy(np.float64)[:, None]  # noqa: E731, B023
-            # the row itself is taken out of both sums
-            of_domain = (domain - own + strength * prior) / (count("domain_rows") - 1 + strength)
-            of_host = (host - own + strength * of_domain) / (count("host_rows") - 1 + strength)
+
+            def others(level: str, above: np.ndarray) -> np.ndarray:
+                """The level's shares smoothed towards the one above; the row itself is taken out. No level, no change."""
+                count = frame[f"{level}_rows"].to_numpy(np.float64, na_value=0)[:, None]  # noqa: B023
+                taken = own * (count > 0)  # noqa: B023
+                return (matrix(frame[f"{level}_sums"], zero) - taken + strength * above) / (np.maximum(count - 1, 0) + strength)  # noqa: B023
+
+            of_host = others("host", others("domain", prior[None, :]))
             total = scores + np.log(np.maximum(of_host, 1e-12))
             for name in ("declared_logs", "suffix_logs"):
                 total = total + matrix(frame[name], zero)
@@ -164,10 +174,10 @@ def fuse(evidence: DataFrame, languages: list[str], strength: float = STRENGTH)
     whole = rows.agg(F.count(F.lit(1)).alias("n"), sums.alias("s")).first()
     base = [((x or 0.0) + 1) / (whole["n"] + len(languages)) for x in whole["s"]]
     group = lambda *keys: rows.groupBy(*(F.col(k).alias(f"of_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("n"), sums.alias("s"))
-    same = lambda key: F.col(key).eqNullSafe(F.col(f"of_{key}"))
-    named = lambda df, name: df.withColumnsRenamed({"n": f"{name}_rows", "s": f"{name}_sums"})
-    out = rows.join(named(group("host"), "host"), same("host")).drop("of_host")
-    out = out.join(named(group("domain"), "domain"), same("domain")).drop("of_domain")
+    out = rows
+    for name in ("host", "domain"):  # rows without one take the level above; written, so that the join can split a large host
+        seen = durable(group(name).filter(F.col(f"of_{name}").isNotNull())).withColumnsRenamed({"n": f"{name}_rows", "s": f"{name}_sums"})
+        out = out.join(seen, F.col(name) == F.col(f"of_{name}"), "left").drop(f"of_{name}")
     for name in ("declared", "suffix"):
         seen = group(name).filter(F.col(f"of_{name}").isNotNull())
         total = seen.agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("s")[k]) for k in classes)).alias("s")).first()
