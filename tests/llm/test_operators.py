@@ -266,7 +266,26 @@ def test_edits_match_recounting(monkeypatch):
                 assert tree.text() == text and tree.tokens == len(TIKTOKEN.encode_ordinary(text))
     long = op01_token_counts.CountTree("word " * 50_000, tool)
     long.edit(100_000, 3, "xyz")
-    assert long.encoded < 1_000
+    assert long.encoded < 10
+
+
+def test_edits_encode_only_what_they_touch():
+    """The encoder is called for the pre-tokens counted in n_reencoded and no others; the memo is off."""
+    tool = op01_token_counts.Counter(BYTE_BPE, public_tokenizers.PATTERN)
+    calls, count = [], tool.count.compute
+    tool.counts = lambda pieces: [calls.append(p) or count(p) for p in pieces]
+    rnd = random.Random(6)
+    text = " ".join(vocabulary(3, 5000))
+    tree = op01_token_counts.CountTree(text, tool)
+    laid = []
+    tree._lay_out = lambda *parts, f=tree._lay_out: laid.append(1) or f(*parts)
+    calls.clear()
+    for k in range(300):
+        at, new = rnd.randrange(len(text)), " ".join(vocabulary(k, rnd.choice([0, 1, 30])))
+        text = text[:at] + new + text[at + 4 :]
+        tree.edit(at, 4, new)
+    assert tree.text() == text and tree.tokens == len(TIKTOKEN.encode_ordinary(text))
+    assert len(calls) == tree.encoded < 300 * 18 and len(laid) <= 2
 
 
 def test_edit_counts_on_rows(spark, docs):
@@ -333,6 +352,8 @@ def test_embedding_links_of_repeated_ids(spark):
         ("", ""),
         (None, ""),
         ("<table>" * 30 + "<tr><td>in", "in"),
+        ("<table><tr><td>" * 2000 + "in", "in"),
+        ("<table><tr><td>" + "word " * 15 + "<td>b<tr><td>c<td>d", "word word word word word word word word word  b\nword word word word word word\n" + "c".ljust(46) + "d"),
     ],
 )
 def test_html(html, text):
@@ -360,6 +381,68 @@ def test_language(spark):
     assert op08_language_id.identify(op08_language_id.document_evidence(docs.limit(0)), model).count() == 0
 
 
+def test_all_languages_are_kept(spark):
+    tongues = {f"l{k}": vocabulary(100 + k, 40) for k in range(70)}
+    rnd = random.Random(3)
+    rows = [(k, " ".join(rnd.choice(tongues[lang]) for _ in range(40)), lang, None) for k, lang in enumerate([*tongues] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = op08_language_id.train_trigrams(docs)
+    assert model.languages == [*sorted(tongues), "und"]
+    got = {r.doc_id: r.lang for r in op08_language_id.identify(op08_language_id.document_evidence(docs), model).collect()}
+    assert sum(got[k] == lang for k, _, lang, _ in rows) > 0.95 * len(rows)
+    nothing = op08_language_id.train_trigrams(docs.limit(0))
+    assert nothing.languages == ["und"]
+    assert op08_language_id.identify(op08_language_id.document_evidence(docs), nothing).filter("not rejected").count() == 0
+
+
+def test_evidence_by_brute_force(spark):
+    """Fused posteriors as the formulas have them, row by row."""
+    rnd = np.random.default_rng(2)
+    hosts = ["a.x", "b.x", None, "c.y"]
+    rows = []
+    for k in range(40):
+        host = hosts[k % 4]
+        scores = rnd.standard_normal(3)
+        post = np.exp(scores) / np.exp(scores).sum()
+        rows.append((k, scores.tolist(), post.tolist(), 9, host, host and host[-1], ["x", "y", None][k % 3], ["p", None][k % 2]))
+    names = "doc_id long, scores array<double>, post array<double>, trigrams long, host string, domain string, suffix string, declared string"
+    got = {r.doc_id: r for r in op08_language_id.fuse(spark.createDataFrame(rows, names), ["u", "v", "und"]).collect()}
+    post = np.array([r[2] for r in rows])
+    prior = (post.sum(axis=0) + 1) / (len(rows) + 3)
+
+    def level(k, at, above):
+        same = [j for j in range(len(rows)) if j != k and rows[k][at] is not None and rows[j][at] == rows[k][at]]
+        return (post[same].sum(axis=0) + 5 * above) / (len(same) + 5)
+
+    def value(k, at):
+        if rows[k][at] is None:
+            return 0
+        same, seen = ([j for j in range(len(rows)) if test(rows[j][at])] for test in (lambda x: x == rows[k][at], lambda x: x is not None))
+        return np.log((post[same].sum(axis=0) + 5 * len(same) / len(seen)) / (post[seen].sum(axis=0) + 5))
+
+    for k in range(len(rows)):
+        total = np.array(rows[k][1]) + np.log(level(k, 4, level(k, 5, prior))) + value(k, 6) + value(k, 7)
+        final = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert got[k].lang == ["u", "v", "und"][final.argmax()] and abs(got[k].confidence - final.max()) < 1e-9
+
+
+def test_risk_by_brute_force():
+    """One step of the fit goes down the non-negative risk: its gradient as differences show it."""
+    rnd = np.random.default_rng(1)
+    x = rnd.random((60, 4)) < 0.4
+    positive = np.arange(60) < 20
+    rows, columns = np.nonzero(x)
+    weights, bias = op10_toxicity.fit_pu(rows, columns, positive, 4, 0.3, steps=400, rate=0.05)
+
+    def risk(t):
+        z = x @ t[:-1] + t[-1]
+        one, zero = np.logaddexp(0, -z), np.logaddexp(0, z)
+        return 0.3 * one[positive].mean() + max(0, zero[~positive].mean() - 0.3 * zero[positive].mean()) + 1e-4 * (t[:-1] ** 2).sum()
+
+    best, here = risk(np.append(weights, bias)), np.append(weights, bias)
+    assert best <= min(risk(here + step) for step in 0.3 * rnd.standard_normal((300, 5))) + 1e-3
+
+
 def test_toxicity(spark):
     rnd, words = random.Random(9), vocabulary(13, 500)
     rude = ["vilething", "grimewad", "sludgeface"]

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import BoundedCache, batches, durable, forgetting, shingle_sequences
 
-#: Bounds of the sample that the classifier is fitted on, and of its vocabulary.
-MOST_POSITIVE, MOST_UNLABELLED, MOST_WORDS = 6_000, 12_000, 20_000
-#: A word is a feature if at least so many positives, and so large a share of them, have it, if it is so many standard errors commoner there,
+#: Bounds of the sample that the classifier is fitted on.
+MOST_POSITIVE, MOST_UNLABELLED = 6_000, 12_000
+#: A word is a feature if at least so many positives have it, if it is so many standard errors commoner there,
 #: and if so large a share of the texts that have it would be positive by the class prior.
-LEAST_POSITIVES, LEAST_SHARE, LEAST_ERRORS, LEAST_PRECISION = 5, 0.01, 5.0, 0.7
+LEAST_POSITIVES, LEAST_ERRORS, LEAST_PRECISION = 5, 5.0, 0.7
 FOLDS = 5
 
 #: Beginnings of so many letters are features beside whole words, as insults are inflected.
@@ -108,7 +108,7 @@ def held_out():
 
 @forgetting
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+    for frame in batches(frames, "text"):
         marks = shingle_sequences(frame["text"])
         yield pd.DataFrame(
             {
@@ -120,16 +120,16 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _vocabulary(features: DataFrame, n_p: int, n_u: int, prior: float) -> list[str]:
-    """Features that are clearly commoner among the positives, clearest first; at most MOST_WORDS."""
+    """Features that are clearly commoner among the positives, clearest first; as many as the bounded sample has."""
     counts = features.select("positive", F.explode("features").alias("feature")).groupBy("feature")
     counts = counts.agg(F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b"))
     pooled = (F.col("a") + F.col("b") + 1) / (n_p + n_u + 2)
     error = F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / max(n_u, 1)))
     z = (F.col("a") / n_p - F.col("b") / max(n_u, 1)) / error
     precision = prior * F.col("a") / n_p / (F.greatest("b", F.lit(1)) / max(n_u, 1))
-    common = counts.filter((F.col("a") >= max(LEAST_POSITIVES, LEAST_SHARE * n_p)) & (precision >= LEAST_PRECISION))
+    common = counts.filter((F.col("a") >= LEAST_POSITIVES) & (precision >= LEAST_PRECISION))
     clear = common.withColumn("z", z).filter(F.col("z") >= LEAST_ERRORS)
-    return [r.feature for r in clear.orderBy(F.desc("z"), "feature").limit(MOST_WORDS).collect()]
+    return [r.feature for r in clear.orderBy(F.desc("z"), "feature").collect()]
 
 
 def _indices(vocabulary: list[str]):
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     n_taught, n_toxic = taught.agg(F.count(F.lit(1)), F.count_if("toxic")).first()
     if not n_toxic:
         return Model({}, -50.0)
-    prior = min(max(n_toxic / n_taught, 1e-3), 0.9)
+    prior = (n_toxic + 1) / (n_taught + 2)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1_000_000)) / 1_000_000
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & ~held_out())
     n_docs = slim.count()
