@@ -469,16 +469,63 @@ def test_toxicity(spark):
     assert op10_toxicity.clean(docs, nothing).count() == len(rows)
 
 
+def wavy(rnd, size=160, waves=24):
+    line = np.cos(np.pi * (np.arange(size) + 0.5)[None, :] / size * (np.arange(waves) + 2)[:, None])
+    grey = line.T @ rnd.standard_normal((waves, waves)) @ line
+    return 128 + 45 * grey / grey.std()
+
+
+def warped(image, degrees, scale):
+    height, width = image.shape
+    a = np.deg2rad(degrees)
+    y, x = np.mgrid[: int(height * scale), : int(width * scale)]
+    y, x = (y - height * scale / 2) / scale, (x - width * scale / 2) / scale
+    y, x = np.cos(a) * y - np.sin(a) * x + height / 2, np.sin(a) * y + np.cos(a) * x + width / 2
+    y, x = np.clip(y, 0, height - 1.001), np.clip(x, 0, width - 1.001)
+    r, c = y.astype(int), x.astype(int)
+    p, q = y - r, x - c
+    return image[r, c] * (1 - p) * (1 - q) + image[r, c + 1] * (1 - p) * q + image[r + 1, c] * p * (1 - q) + image[r + 1, c + 1] * p * q
+
+
 def test_media(spark):
+    """Edited pictures against all: every hit is right, and as many are found as when every pair is compared."""
     rnd = np.random.default_rng(1)
-    vectors = [(k, [float(x) for x in rnd.standard_normal(16)]) for k in range(60)] + [(100, None)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    media = op09_media_copies.pictures(df)
-    broken = spark.createDataFrame([(200, b"P5 3"), (201, None), (202, b"P5 40 40 255\n" + bytes(1600))], "media_id long, content binary")
-    asked = op09_media_copies.edited(media.filter("media_id % 10 = 0"))
-    got = [(r.query_id, r.media_id) for r in op09_media_copies.find_copies(asked, media.unionByName(broken)).collect()]
-    assert all(a == b for a, b in got) and len(got) >= 5  # no false match, most crops found
-    assert op09_media_copies.find_copies(asked.limit(0), media).count() == 0
+    pictures = [wavy(rnd) for _ in range(24)]
+    edits = [
+        lambda i: warped(i, 15, 1), lambda i: warped(i, 0, 0.8), lambda i: i[80:], lambda i: np.rot90(i), lambda i: i + 8 * rnd.standard_normal(i.shape),
+        lambda i: warped(i, 7, 0.9), lambda i: i[30:-20, 20:-40] * 0.8 + 20, lambda i: warped(i, 0, 1.25),
+    ]
+    encode = op09_media_copies.encode_image
+    media = [(k, encode(i)) for k, i in enumerate(pictures)] + [(500, encode(pictures[0])), (0, encode(pictures[0]))]
+    media += [(200, b"P5 3"), (201, None), (202, b"P5 40 40 255\n" + bytes(1600)), (None, encode(pictures[1]))]
+    asked = [(1000 + 10 * k + n, encode(edit(pictures[k]))) for k in range(24) for n, edit in enumerate(edits) if (k + n) % 3 == 0]
+    schema = "media_id long, content binary"
+    clash = lambda rows: spark.createDataFrame(rows, schema).withColumns({"mark": F.lit(1), "key": F.lit("x"), "query": F.lit(None)})
+    got = {r.media_id: (r.n_queries, r.query_id) for r in op09_media_copies.find_copies(clash([*asked, (None, None)]), clash(media)).collect()}
+    of = lambda rows: {rows[k][0]: (p, c) for k, p, c in op09_media_copies.describe_each([op09_media_copies.decode_image(x) for _, x in rows])}
+    known, wanted = of([m for m in media if m[0] is not None]), of(asked)
+    brute = {}
+    for q, a in wanted.items():
+        for m, b in known.items():
+            if op09_media_copies.consensus(*a, *b) >= op09_media_copies.LEAST_INLIERS:
+                brute.setdefault(m, []).append(q)
+    assert all(m == 500 or q // 10 - 100 == m for m, queries in brute.items() for q in queries)
+    assert sum(len(v) for m, v in brute.items() if m != 500) >= 0.95 * len(asked)
+    assert {m: (len(v), min(v)) for m, v in brute.items()} == got
+    assert op09_media_copies.find_copies(clash(asked).limit(0), clash(media)).count() == 0
+    assert op09_media_copies.find_copies(clash(asked), clash(media).limit(0)).count() == 0
+
+
+def test_small_crop_of_a_large_picture():
+    """A crop of a tenth, of a picture that is described tile by tile."""
+    rnd = np.random.default_rng(4)
+    large = np.tile(np.zeros(1), (1500, 1500))
+    for top in range(0, 1500, 150):
+        for left in range(0, 1500, 150):
+            large[top : top + 150, left : left + 150] = wavy(rnd, 150, 20)
+    ((_, *whole),) = op09_media_copies.describe_each([large])
+    ((_, *crop),) = op09_media_copies.describe_each([large[900:1375, 1000:1475]])
+    assert op09_media_copies.consensus(*crop, *whole) >= 100
 
 
 def test_like_vectors_give_like_pictures(spark):

@@ -4,8 +4,9 @@ Corners are found on several scales, turned by the intensity centroid of their
 patch, and described by 256 binary brightness tests. Bands of the descriptor key a
 Hamming table: images are joined with queries on equal bands, pairs that agree
 on enough corners are compared descriptor by descriptor, and a similarity transform must bring
-enough matched corners together. Images are binary columns of netpbm type (PGM or PPM, 8 bits); other content has no
-features and matches nothing.
+enough matched corners together. The strongest corners of every cell of a grid are kept, so their number follows the
+image's size, and large images are described tile by tile. Equal contents are searched once. Images are binary columns of
+netpbm type (PGM or PPM, 8 bits); other content has no features and matches nothing.
 """
 
 from __future__ import annotations
@@ -15,19 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import durable, mix
+from tracemill.llm.common import durable, measured, small
 
-#: Strongest corners kept for each scale of an image, and the scales as divisors.
-CORNERS, SCALES = 24, (1.0, 1.5, 2.25)
-BITS, BANDS = 256, 3
-RADIUS, MARGIN, TURNS = 10, 13, 36
+#: Strongest corners kept in each cell (side in pixels of its scale) of an image, and the scales as divisors.
+CORNERS, CELL, SCALES = 24, 64, (1.0, 1.25, 1.5625, 1.953, 2.441)
+#: Descriptor bits, bands of the Hamming table and bits of each.
+BITS, BANDS, BAND_BITS = 256, 10, 24
+RADIUS, MARGIN, TURNS = 10, 13, 72
 #: Bits in which matched descriptors may differ, corners that must agree in a band, and corners that the transform must explain.
 MOST_BITS, LEAST_SHARED, LEAST_INLIERS = 64, 2, 8
 TOLERANCE = 3.0
-MOST_PIXELS = 1 << 24
+#: Side of a tile of a large image; tiles overlap by what a corner of the coarsest scale needs.
+TILE, OVERLAP = 1024, 80
+#: Keys of the queries' bands are marked in a table of 2**MARKS_LOG2 bits, of this size whatever the input's; keys of images that aren't marked are not sent.
+MARKS_LOG2 = 26
+_SPREAD = 0x9E3779B1  # keys take 28 bits, so a product fits in a long
 
 _HEADER = re.compile(rb"^P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s")
 _random = np.random.default_rng(256)
@@ -56,7 +63,7 @@ def decode_image(content: bytes | None) -> np.ndarray | None:
         return None
     kind, width, height, most = (int(g) for g in head.groups())
     channels = 3 if kind == 6 else 1
-    if not 0 < most < 256 or not 0 < width * height <= MOST_PIXELS or len(content) < head.end() + width * height * channels:
+    if not 0 < most < 256 or not width * height or len(content) < head.end() + width * height * channels:
         return None
     grey = np.frombuffer(content, np.uint8, width * height * channels, head.end()).astype(np.float32)
     return grey.reshape(height, width, channels).mean(axis=2) if channels == 3 else grey.reshape(height, width)
@@ -110,11 +117,13 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         image, y, x = np.nonzero(peak)
         if not len(image):
             continue
-        order = np.lexsort((x, y, -inner[image, y, x], image))
+        across = width // CELL + 1
+        cell = (image * (height // CELL + 1) + (y + MARGIN) // CELL) * across + (x + MARGIN) // CELL
+        order = np.lexsort((x, y, -inner[image, y, x], cell))
+        start = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]]))
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        order = order[rank < CORNERS]
         image, y, x = image[order], y[order] + MARGIN, x[order] + MARGIN
-        start = np.searchsorted(image, np.arange(count))
-        kept = np.arange(len(image)) - start[image] < CORNERS
-        image, y, x = image[kept], y[kept], x[kept]
         patch = level[image[:, None], y[:, None] + _YD, x[:, None] + _XD]
         patch = patch - patch.mean(axis=1, keepdims=True)
         turn = np.arctan2((patch * _YD).sum(axis=1), (patch * _XD).sum(axis=1))
@@ -133,51 +142,98 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bands(codes: np.ndarray) -> np.ndarray:
-    """Band keys: corners x BANDS; each hashes its share of the descriptor's bytes."""
-    keys = np.empty((len(codes), BANDS), np.uint64)
-    for band, part in enumerate(np.array_split(np.arange(codes.shape[1]), BANDS)):
-        h = np.full(len(codes), band + 1, np.uint64)
-        for k in part:
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[:, k].astype(np.uint64))
-        keys[:, band] = h
-    return keys.view(np.int64)
+    """Band keys: corners x BANDS, the band's number over its bits of the descriptor."""
+    size = BAND_BITS // 8
+    parts = codes[:, : BANDS * size].reshape(len(codes), BANDS, size).astype(np.int64)
+    keys = np.arange(BANDS, dtype=np.int64)[None, :] << BAND_BITS
+    for k in range(size):
+        keys = keys | parts[:, :, k] << 8 * k
+    return keys
+
+
+def _tiles(image: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    for top in range(0, max(image.shape[0] - OVERLAP, 1), TILE):
+        for left in range(0, max(image.shape[1] - OVERLAP, 1), TILE):
+            yield top, left, image[top : top + TILE + OVERLAP, left : left + TILE + OVERLAP]
+
+
+def describe_each(images: list[np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index, geometry, descriptors) of the images that have corners; those of one size are taken together, large ones tile by tile.
+
+    Corners in the overlap of two tiles may come twice.
+    """
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, image in enumerate(images):
+        if image is not None:
+            shapes.setdefault(image.shape, []).append(k)
+    for shape, rows in shapes.items():
+        if max(shape) > TILE + OVERLAP:
+            for k in rows:
+                places, codes = [np.empty((0, 4))], [np.empty((0, BITS // 8), np.uint8)]
+                for top, left, tile in _tiles(images[k]):
+                    _, place, code = describe(tile[None])
+                    places.append(place + [left, top, 0, 0])
+                    codes.append(code)
+                if sum(map(len, codes)):
+                    yield k, np.concatenate(places), np.concatenate(codes)
+            continue
+        step = max(1, 1_000_000 // (shape[0] * shape[1]))
+        for low in range(0, len(rows), step):
+            part = rows[low : low + step]
+            owner, places, codes = describe(np.stack([images[k] for k in part]))
+            bounds = np.searchsorted(owner, np.arange(len(part) + 1))
+            for k, a, b in zip(part, bounds[:-1], bounds[1:], strict=True):
+                if b > a:
+                    yield k, places[a:b], codes[a:b]
 
 
 def features(media: DataFrame) -> DataFrame:
-    """(media_id, bands array<long>, places binary, codes binary) of media (media_id, content); undecodable rows are left out."""
+    """(mark, bands array<long>, places binary, codes binary) of media (mark, content); undecodable rows are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            images = [decode_image(c) for c in frame["content"]]
-            ids = frame["media_id"].to_numpy()
-            shapes: dict[tuple[int, int], list[int]] = {}
-            for k, image in enumerate(images):
-                if image is not None and not pd.isna(ids[k]):
-                    shapes.setdefault(image.shape, []).append(k)
-            for shape, rows in shapes.items():
-                step = max(1, 1_000_000 // (shape[0] * shape[1]))
-                for low in range(0, len(rows), step):
-                    part = rows[low : low + step]
-                    owner, places, codes = describe(np.stack([images[k] for k in part]))
-                    bounds = np.searchsorted(owner, np.arange(len(part) + 1))
-                    out = [
-                        (ids[k], _bands(codes[a:b]).ravel(), places[a:b].astype("<f4").tobytes(), codes[a:b].tobytes())
-                        for k, a, b in zip(part, bounds[:-1], bounds[1:], strict=True)
-                        if b > a
-                    ]
-                    if out:
-                        yield pd.DataFrame(out, columns=["media_id", "bands", "places", "codes"])
-
-    slim = media.select(F.col("media_id").cast("long").alias("media_id"), "content")
-    return slim.mapInPandas(run, "media_id long, bands array<long>, places binary, codes binary")
-
-
-_POPCOUNT = np.array([bin(k).count("1") for k in range(256)], np.uint8)
+            marks = frame["mark"].to_numpy()
+            out = [
+                (marks[k], _bands(codes).ravel(), places.astype("<f4").tobytes(), codes.tobytes())
+                for k, places, codes in describe_each([decode_image(c) for c in frame["content"]])
+            ]
+            if out:
+                yield pd.DataFrame(out, columns=["mark", "bands", "places", "codes"])
+
+    return media.select("mark", "content").mapInPandas(run, "mark binary, bands array<long>, places binary, codes binary")
+
+
+def _marked(keys: DataFrame) -> Broadcast:
+    """A table with a bit set for each band key: 2**MARKS_LOG2 bits. Keys may share a bit, so what isn't marked is absent for certain."""
+    at = F.shiftright(F.col("key") * _SPREAD, 20).bitwiseAND((1 << MARKS_LOG2) - 1)
+    words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()  # at most 2**(MARKS_LOG2 - 6) rows
+    table = np.zeros(1 << (MARKS_LOG2 - 6), np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+
+def _hits(media: DataFrame, marked: Broadcast) -> DataFrame:
+    """(mark, key): band keys of the images that a query may have."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = marked.value
+        for frame in frames:
+            marks = frame["mark"].to_numpy()
+            for k, _, codes in describe_each([decode_image(c) for c in frame["content"]]):
+                keys = np.unique(_bands(codes))
+                at = keys * _SPREAD >> 20 & (1 << MARKS_LOG2) - 1
+                keys = keys[(table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                if len(keys):
+                    yield pd.DataFrame({"mark": [marks[k]] * len(keys), "key": keys})
+
+    return media.select("mark", "content").mapInPandas(run, "mark binary, key long")
 
 
 def consensus(places_a: np.ndarray, codes_a: np.ndarray, places_b: np.ndarray, codes_b: np.ndarray) -> int:
     """Matched corners that one similarity transform explains, at best."""
-    far = _POPCOUNT[codes_a[:, None, :] ^ codes_b[None, :, :]].sum(axis=2, dtype=np.int64)
+    wide = lambda codes: np.ascontiguousarray(codes).view(np.uint64)
+    far = np.bitwise_count(wide(codes_a)[:, None, :] ^ wide(codes_b)[None, :, :]).sum(axis=2, dtype=np.int64)
     best = far.argmin(axis=1)
     rows = np.flatnonzero((far[np.arange(len(far)), best] <= MOST_BITS) & (far.argmin(axis=0)[best] == np.arange(len(far))))
     if len(rows) < LEAST_INLIERS:
@@ -197,30 +253,44 @@ def consensus(places_a: np.ndarray, codes_a: np.ndarray, places_b: np.ndarray, c
         ok &= np.abs(np.log(ratio[None, :] / ratio[:, None])) < 0.5
         ok &= np.abs((turn[None, :] - angle[:, None] + np.pi) % (2 * np.pi) - np.pi) < 0.6
         # corners found on several scales count once
-        for row in ok:
-            if row.sum() > most:
-                most = max(most, len(np.unique(np.rint(a[row, :2] / 3), axis=0)))
+        times = ok.sum(axis=1)
+        spots = np.rint(a[:, :2] / 3).astype(np.int64)
+        spots = spots[:, 0] << 32 | spots[:, 1]
+        for k in np.argsort(-times):
+            if times[k] <= most:
+                break
+            most = max(most, len(np.unique(spots[ok[k]])))
     return most
 
 
+def _of_class(media: DataFrame) -> DataFrame:
+    """media (media_id, content) with the digest of its content, null ids and contents left out."""
+    known = media.filter(F.col("media_id").isNotNull() & F.col("content").isNotNull())
+    return known.select(F.col("media_id").cast("long").alias("media_id"), F.unhex(F.md5("content")).alias("mark"), "content")
+
+
 def find_copies(queries: DataFrame, media: DataFrame) -> DataFrame:
-    """(query_id, media_id, inliers): images of media (media_id, content) that hold much of a query's picture.
+    """(media_id, n_queries, query_id, inliers): images of media (media_id, content) that hold much of some queries' pictures.
 
+    One row for each such image: of how many queries, the least of them, and the most matched corners with one of them.
     Null, broken or featureless images match nothing; equal images match; repeated rows of an id count
     once. Empty tables give an empty one. All rows of both tables are searched, and no bucket is cut.
     """
-    known = durable(features(media).dropDuplicates(["media_id"]))
-    asked = durable(features(queries).dropDuplicates(["media_id"]))
-    keys = lambda df, name: df.select(F.col("media_id").alias(name), F.posexplode("bands").alias("at", "key")).select(
-        name, F.floor(F.col("at") / BANDS).cast("int").alias(f"{name}_corner"), "key"
-    )
+    asked, all_media = _of_class(queries), _of_class(media)
+    asking = durable(asked.select("media_id", "mark").distinct().groupBy("mark").agg(F.min("media_id").alias("query_id"), F.count(F.lit(1)).alias("asking")))
+    described = durable(features(asked).dropDuplicates(["mark"]))
+    keys = described.select(F.col("mark").alias("query"), F.posexplode("bands").alias("at", "key"))
+    keys = durable(keys.select("query", F.floor(F.col("at") / BANDS).cast("int").alias("corner"), "key"))
+    marked = _marked(keys)
     # one row for each query, image and query corner, then the corners that agree
-    shared = keys(asked, "query_id").join(keys(known, "media_id"), "key")
-    pairs = shared.groupBy("query_id", "media_id").agg(F.count_distinct("query_id_corner").alias("corners"))
-    pairs = pairs.filter(F.col("corners") >= LEAST_SHARED).select("query_id", "media_id")
-    side = lambda df, key, name: df.select(
-        F.col("media_id").alias(key), F.col("places").alias(f"places_{name}"), F.col("codes").alias(f"codes_{name}")
-    )
+    shared = _hits(all_media, marked).distinct().join(keys, "key")
+    pairs = shared.groupBy("query", "mark").agg(F.count_distinct("corner").alias("corners")).filter(F.col("corners") >= LEAST_SHARED)
+    pairs, count = measured(pairs.select("query", "mark"))
+    marked.destroy()
+    found_marks = pairs.select("mark").distinct()
+    first = all_media.select("media_id", "mark").join(small(found_marks, count.rows), "mark", "left_semi").groupBy("mark").agg(F.min("media_id").alias("media_id"))
+    first, count = measured(first)
+    wanted = features(all_media.join(small(first, count.rows), ["mark", "media_id"], "left_semi")).dropDuplicates(["mark"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = lambda b: np.frombuffer(b, "<f4").reshape(-1, 4).astype(np.float64)
@@ -229,11 +299,15 @@ def find_copies(queries: DataFrame, media: DataFrame) -> DataFrame:
             found = [
                 consensus(places(r.places_a), codes(r.codes_a), places(r.places_b), codes(r.codes_b)) for r in frame.itertuples(index=False)
             ]
-            out = frame[["query_id", "media_id"]].assign(inliers=found)
+            out = frame[["query", "mark"]].assign(inliers=found)
             yield out[out["inliers"] >= LEAST_INLIERS]
 
-    joined = pairs.join(side(asked, "query_id", "a"), "query_id").join(side(known, "media_id", "b"), "media_id")
-    return joined.mapInPandas(run, "query_id long, media_id long, inliers long")
+    side = lambda df, key, name: df.select(F.col("mark").alias(key), F.col("places").alias(f"places_{name}"), F.col("codes").alias(f"codes_{name}"))
+    verified = pairs.join(side(described, "query", "a"), "query").join(side(wanted, "mark", "b"), "mark")
+    verified = verified.mapInPandas(run, "query binary, mark binary, inliers long").join(asking.withColumnRenamed("mark", "query"), "query")
+    verified = verified.groupBy("mark").agg(F.sum("asking").alias("n_queries"), F.min("query_id").alias("query_id"), F.max("inliers").alias("inliers"))
+    verified, count = measured(verified)
+    return all_media.select("media_id", "mark").distinct().join(small(verified, count.rows), "mark").select("media_id", "n_queries", "query_id", "inliers")
 
 
 def pictures(vectors: DataFrame, size: int = 96) -> DataFrame:
