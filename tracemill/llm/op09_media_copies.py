@@ -25,7 +25,7 @@ from tracemill.llm.common import durable, measured, small
 #: Strongest corners kept in each cell (side in pixels of its scale) of an image, and the scales as divisors.
 CORNERS, CELL, SCALES = 24, 64, (1.0, 1.25, 1.5625, 1.953, 2.441)
 #: Descriptor bits, bands of the Hamming table and bits of each.
-BITS, BANDS, BAND_BITS = 256, 10, 24
+BITS, BANDS, BAND_BITS = 256, 8, 32
 RADIUS, MARGIN, TURNS = 10, 13, 72
 #: Bits in which matched descriptors may differ, corners that must agree in a band, and corners that the transform must explain.
 MOST_BITS, LEAST_SHARED, LEAST_INLIERS = 64, 2, 8
@@ -34,12 +34,16 @@ TOLERANCE = 3.0
 TILE, OVERLAP = 1024, 80
 #: Keys of the queries' bands are marked in a table of 2**MARKS_LOG2 bits, of this size whatever the input's; keys of images that aren't marked are not sent.
 MARKS_LOG2 = 26
-_SPREAD = 0x9E3779B1  # keys take 28 bits, so a product fits in a long
+_FOLD, _SPREAD = (1 << 28) - 57, 0x9E3779B1  # a key folded to 28 bits times a number of 32 fits in a long
 
 _HEADER = re.compile(rb"^P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s")
 _random = np.random.default_rng(256)
-_FAR, _ANGLE = RADIUS * np.sqrt(_random.uniform(0, 1, (BITS, 2))), _random.uniform(0, 2 * np.pi, (BITS, 2))
-_TESTS = np.stack([_FAR * np.cos(_ANGLE), _FAR * np.sin(_ANGLE)], axis=-1)
+_FAR, _ANGLE = RADIUS * np.sqrt(_random.uniform(0, 1, BITS)), _random.uniform(0, 2 * np.pi, BITS)
+_X, _Y = _FAR * np.cos(_ANGLE), _FAR * np.sin(_ANGLE)
+# a turned patch is brighter towards greater x, so tests run across that direction: either outcome is as likely
+_TESTS = np.stack(
+    [_X, _Y, np.clip(_X + _random.uniform(-2, 2, BITS), 0.5 - RADIUS, RADIUS - 0.5), _random.uniform(-1, 1, BITS) * np.sqrt(RADIUS**2 - _X**2)], axis=-1
+).reshape(BITS, 2, 2)
 
 
 def _turned_tests() -> np.ndarray:
@@ -205,7 +209,7 @@ def features(media: DataFrame) -> DataFrame:
 
 def _marked(keys: DataFrame) -> Broadcast:
     """A table with a bit set for each band key: 2**MARKS_LOG2 bits. Keys may share a bit, so what isn't marked is absent for certain."""
-    at = F.shiftright(F.col("key") * _SPREAD, 20).bitwiseAND((1 << MARKS_LOG2) - 1)
+    at = F.shiftright(F.pmod("key", F.lit(_FOLD)) * _SPREAD, 20).bitwiseAND((1 << MARKS_LOG2) - 1)
     words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
     found = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()  # at most 2**(MARKS_LOG2 - 6) rows
     table = np.zeros(1 << (MARKS_LOG2 - 6), np.int64)
@@ -222,7 +226,7 @@ def _hits(media: DataFrame, marked: Broadcast) -> DataFrame:
             marks = frame["mark"].to_numpy()
             for k, _, codes in describe_each([decode_image(c) for c in frame["content"]]):
                 keys = np.unique(_bands(codes))
-                at = keys * _SPREAD >> 20 & (1 << MARKS_LOG2) - 1
+                at = keys % _FOLD * _SPREAD >> 20 & (1 << MARKS_LOG2) - 1
                 keys = keys[(table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
                 if len(keys):
                     yield pd.DataFrame({"mark": [marks[k]] * len(keys), "key": keys})
@@ -313,7 +317,8 @@ def find_copies(queries: DataFrame, media: DataFrame) -> DataFrame:
 def pictures(vectors: DataFrame, size: int = 96) -> DataFrame:
     """(media_id, content): a picture for each vector (vec_id, embedding), its components the weights of cosine waves.
 
-    The test tables hold no images; like vectors give like pictures. Null or non-finite vectors give null content.
+    The test tables hold no images; like vectors give like pictures. Waves are as fine as a descriptor's patch is wide: without
+    such detail all corners look alike. Null or non-finite vectors give null content.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,7 +332,7 @@ def pictures(vectors: DataFrame, size: int = 96) -> DataFrame:
                     continue
                 if len(v) not in waves:
                     side = int(np.ceil(np.sqrt(len(v))))
-                    line = np.cos(np.pi * (np.arange(size) + 0.5)[None, :] / size * (np.arange(side) + 2)[:, None])
+                    line = np.cos(np.pi * (np.arange(size) + 0.5)[None, :] / size * (3 * np.arange(side) + 2)[:, None])
                     waves[len(v)] = np.einsum("iy,jx->ijyx", line, line).reshape(side * side, size, size)[: len(v)]
                 grey = np.tensordot(v, waves[len(v)], 1)
                 out.append(encode_image(128 + 45 * grey / (grey.std() + 1e-9)))
