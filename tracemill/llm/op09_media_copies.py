@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import durable, measured, small
+from tracemill.llm.common import durable, forgetting, measured, small
 
 #: Strongest corners kept in each cell (side in pixels of its scale) of an image, and the scales as divisors.
 CORNERS, CELL, SCALES = 24, 64, (1.0, 1.25, 1.5625, 1.953, 2.441)
@@ -181,7 +181,7 @@ def describe_each(images: list[np.ndarray | None]) -> Iterator[tuple[int, np.nda
                 if sum(map(len, codes)):
                     yield k, np.concatenate(places), np.concatenate(codes)
             continue
-        step = max(1, 1_000_000 // (shape[0] * shape[1]))
+        step = max(1, 250_000 // (shape[0] * shape[1]))
         for low in range(0, len(rows), step):
             part = rows[low : low + step]
             owner, places, codes = describe(np.stack([images[k] for k in part]))
@@ -194,6 +194,7 @@ def describe_each(images: list[np.ndarray | None]) -> Iterator[tuple[int, np.nda
 def features(media: DataFrame) -> DataFrame:
     """(mark, bands array<long>, places binary, codes binary) of media (mark, content); undecodable rows are left out."""
 
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             marks = frame["mark"].to_numpy()
@@ -220,6 +221,7 @@ def _marked(keys: DataFrame) -> Broadcast:
 def _hits(media: DataFrame, marked: Broadcast) -> DataFrame:
     """(mark, key): band keys of the images that a query may have."""
 
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = marked.value
         for frame in frames:
