@@ -163,38 +163,6 @@ def single_filters(spark, d):
     return table(spark, d, "part").select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # one read for all filters
 
 
-@register("X1_heading_slices", "SELECT conv_id, turn, lead(turn, 1, 999) OVER (PARTITION BY conv_id ORDER BY turn) AS until FROM conversations WHERE role = 'user'")
-def heading_slices(spark, d):
-    heads = table(spark, d, "conversations").filter("role = 'user'")
-    return heads.select("conv_id", "turn", F.lead("turn", 1, 999).over(Window.partitionBy("conv_id").orderBy("turn")).alias("until"))
-
-
-@register("X2_positional_fields", "SELECT n_nationkey, pos::INTEGER AS pos, field FROM nation, (VALUES (1, 'key'), (2, 'name'), (3, 'region')) t(pos, field)")
-def positional(spark, d):
-    fields = F.array(*map(F.lit, ("key", "name", "region")))
-    return table(spark, d, "nation").select("n_nationkey", F.posexplode(fields).alias("p", "field")).select("n_nationkey", (F.col("p") + 1).alias("pos"), "field")
-
-
-@register("X3_bullet_candidates", "SELECT doc_id, count(*) AS bullets FROM (SELECT doc_id, unnest(string_split(left(text, length(text) // 2), '. ')) AS b FROM documents) WHERE length(b) > 20 GROUP BY doc_id")
-def bullets(spark, d):
-    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    parts = table(spark, d, "documents").select("doc_id", F.explode(F.split(half, r"\. ")).alias("b")).filter(F.length("b") > 20)
-    return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("bullets"))
-
-
-@register("X5_definitions", "SELECT r_regionkey AS id, r_name AS term FROM region UNION ALL SELECT 99, 'receiving'")
-def definitions(spark, d):
-    constant = spark.createDataFrame([(99, "receiving")], "id int, term string")
-    return table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("id"), F.col("r_name").alias("term")).unionByName(constant)
-
-
-@register("X6_plan_requirements", "SELECT spec || ':' || n_nationkey AS id FROM nation, (VALUES ('map'), ('contact'), ('retention')) t(spec) WHERE n_regionkey = 0")
-def plan_requirements(spark, d):
-    specs = spark.createDataFrame([("map",), ("contact",), ("retention",)], "spec string")
-    rows = table(spark, d, "nation").filter("n_regionkey = 0").crossJoin(F.broadcast(specs))  # three fixed specs
-    return rows.select(F.concat_ws(":", "spec", F.col("n_nationkey").cast("string")).alias("id"))
-
-
 @register("X10_registry_projection", "SELECT doc_id, coalesce(nullif(lang, 'de'), source) AS label, coalesce(n_chars, 0) AS size FROM documents")
 def registry_projection(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif("lang", F.lit("de")), "source").alias("label"), F.coalesce("n_chars", F.lit(0)).alias("size"))
@@ -212,12 +180,6 @@ def action_log(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(actions).alias("action"))
 
 
-@register("X15_spec_sections", "SELECT n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
-def spec_sections(spark, d):
-    region = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    return table(spark, d, "nation").join(region, "n_regionkey").select("n_nationkey", "r_name")
-
-
 @register("X23_seed_import", "SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'skipped' ELSE 'imported' END AS fate, count(o_orderkey) AS chunks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def seed_import(spark, d):
     chunks = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("k"))
@@ -244,10 +206,11 @@ def mapping_drafts(spark, d):
     return out.select("p_brand", F.concat_ws(",", "x").alias("examples"), (F.col("m") < 40).alias("question"))
 
 
-@register("X29_profile_hash", "SELECT p_type, count(*) AS n, sha256(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS digest FROM part GROUP BY p_type")
+@register("X29_profile_hash", "SELECT p_type, count(*) AS n, sum(p_partkey)::BIGINT AS ids, sha256(p_type || ':' || count(*) || ':' || sum(p_partkey)) AS digest FROM part GROUP BY p_type")
 def profile_hash(spark, d):
-    ids = F.concat_ws(",", F.array_sort(F.collect_list("p_partkey")).cast("array<string>"))
-    return table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.sha2(ids.cast("binary"), 256).alias("digest"))
+    """A profile's digest from sums that combine before the shuffle, so no list of ids is gathered."""
+    out = table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("ids"))
+    return out.withColumn("digest", F.sha2(F.concat_ws(":", "p_type", F.col("n").cast("string"), F.col("ids").cast("string")).cast("binary"), 256))
 
 
 @register("X30_finding_messages", "SELECT l_orderkey, 'Record is missing ' || count(*) || ' field' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || '.' AS message FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey")

@@ -31,6 +31,7 @@ def _load() -> None:
         queries_aggregates,
         queries_checks,
         queries_corpus,
+        queries_extract,
         queries_joins,
         queries_review,
         queries_scalars,
