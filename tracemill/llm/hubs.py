@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import forgetting
+from tracemill.llm.common import forgetting, measured, small
 
 #: A hub with more partners in one list is dealt to several tasks, with about so many partners each.
 PARTNERS = 512
@@ -33,7 +33,8 @@ def against_hubs(
     dealt = pairs.withColumn("share", share).drop("partners").withColumn("is_hub", F.lit(False))
     hubs = dealt.select("hub", "share").distinct().withColumns({"doc_id": F.col("hub"), "is_hub": F.lit(True)})
     hubs = hubs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in tags})
-    rows = dealt.unionByName(hubs).join(contents.select("doc_id", "content"), "doc_id")
+    needs, count = measured(dealt.unionByName(hubs))
+    rows = contents.select("doc_id", "content").join(small(needs, count.rows), "doc_id")
     names = ["hub", "doc_id", *(f.name for f in tags)]
 
     @forgetting
