@@ -377,7 +377,8 @@ def passages(
     near = near.select("doc_id", "place").union(near.select("other_id", "other_place"))
     near = near.select("doc_id", F.shiftright("place", 26).alias("c")).distinct().groupBy("doc_id").agg(F.collect_list("c").alias("places"))
     near, count = measured(near)
-    runs = slim.join(small(near, 16 * count.rows), "doc_id").mapInPandas(_whole(levels, width), "key long, deal int, doc_id long, place long")
+    texts = slim.join(small(near.select("doc_id"), count.rows), "doc_id", "left_semi")
+    runs = texts.join(near, "doc_id").mapInPandas(_whole(levels, width), "key long, deal int, doc_id long, place long")
     exact = _firsts(runs, "key").filter(F.col("doc_id") != F.col("other_id")).groupBy(F.col("other_id").alias("hub"), "doc_id").agg(F.count(F.lit(1)).alias("partners"))
     fresh = again.unionByName(exact).groupBy("hub", "doc_id").agg(F.max("partners").alias("partners"))
     fresh = durable(fresh.join(pairs.select("hub", "doc_id"), ["hub", "doc_id"], "left_anti"))
