@@ -100,7 +100,7 @@ def map_field(column_name: Column) -> Column:
 
 def evidence_records(rows: DataFrame) -> DataFrame:
     """One record per non-blank cell below the header band, with field, canonical value, type, confidence and address."""
-    headed = rows.join(F.broadcast(build_headers(rows, detect_header(rows))), _SHEET)  # one row a sheet
+    headed = rows.join(build_headers(rows, detect_header(rows)), _SHEET)  # one row a sheet
     body = headed.filter((F.col("row_number") > F.col("header_row")) & ~is_noise(F.col("cells"), F.col("headers")))
     cells = body.select(*_SHEET, "row_number", "headers", F.posexplode("cells").alias("_at", "raw_value"))
     cells = cells.filter(strip("raw_value") != "").withColumn("column_index", F.col("_at") + 1)
