@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import durable, forgetting, measured, small
+from tracemill.llm.common import batches, durable, forgetting, measured, small
 
 #: Strongest corners kept in each cell (side in pixels of its scale) of an image, and the scales as divisors.
 CORNERS, CELL, SCALES = 24, 64, (1.0, 1.25, 1.5625, 1.953, 2.441)
@@ -32,6 +32,8 @@ MOST_BITS, LEAST_SHARED, LEAST_INLIERS = 64, 2, 8
 TOLERANCE = 3.0
 #: Side of a tile of a large image; tiles overlap by what a corner of the coarsest scale needs.
 TILE, OVERLAP = 1024, 80
+#: Bytes of images that a task decodes and describes before it hands rows on; a larger image is taken alone.
+BYTES_AT_ONCE = 1_000_000
 #: Keys of the queries' bands are marked in a table of 2**MARKS_LOG2 bits, of this size whatever the input's; keys of images that aren't marked are not sent.
 MARKS_LOG2 = 26
 _FOLD, _SPREAD = (1 << 28) - 57, 0x9E3779B1  # a key folded to 28 bits times a number of 32 fits in a long
@@ -196,7 +198,7 @@ def features(media: DataFrame) -> DataFrame:
 
     @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in batches(frames, "content", BYTES_AT_ONCE):
             marks = frame["mark"].to_numpy()
             out = [
                 (marks[k], _bands(codes).ravel(), places.astype("<f4").tobytes(), codes.tobytes())
@@ -224,7 +226,7 @@ def _hits(media: DataFrame, marked: Broadcast) -> DataFrame:
     @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = marked.value
-        for frame in frames:
+        for frame in batches(frames, "content", BYTES_AT_ONCE):
             marks = frame["mark"].to_numpy()
             for k, _, codes in describe_each([decode_image(c) for c in frame["content"]]):
                 keys = np.unique(_bands(codes))
@@ -298,6 +300,7 @@ def find_copies(queries: DataFrame, media: DataFrame) -> DataFrame:
     first, count = measured(first)
     wanted = features(all_media.join(small(first, count.rows), ["mark", "media_id"], "left_semi")).dropDuplicates(["mark"])
 
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = lambda b: np.frombuffer(b, "<f4").reshape(-1, 4).astype(np.float64)
         codes = lambda b: np.frombuffer(b, np.uint8).reshape(-1, BITS // 8)
@@ -323,6 +326,7 @@ def pictures(vectors: DataFrame, size: int = 96) -> DataFrame:
     such detail all corners look alike. Null or non-finite vectors give null content.
     """
 
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waves: dict[int, np.ndarray] = {}
         for frame in frames:
@@ -346,8 +350,9 @@ def pictures(vectors: DataFrame, size: int = 96) -> DataFrame:
 def edited(media: DataFrame, crop: int = 14, contrast: float = 0.8, brightness: float = 20.0) -> DataFrame:
     """(media_id, content): cropped on all sides (by different amounts) and changed in contrast and brightness."""
 
+    @forgetting
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in batches(frames, "content", BYTES_AT_ONCE):
             images = [decode_image(c) for c in frame["content"]]
             cut = [None if i is None else encode_image(i[crop : -(crop // 2), crop // 2 : -crop] * contrast + brightness) for i in images]
             yield frame.assign(content=cut)
