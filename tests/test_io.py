@@ -2,9 +2,11 @@
 
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import evidence
+from tracemill.operators import evidence, ontology
+from tracemill.operators import jobs as jobs_of
 from tracemill.sources import readers, sinks
 from tracemill.streaming import jobs
 
@@ -71,3 +73,69 @@ def test_streams(spark, tmp_path):
     assert {r.user_id: r.changes for r in batch.collect()} == {0: 24, 1: 24, 2: 24}
     done = spark.read.parquet(str(tmp_path / "out")).filter("start = '2024-01-01'").collect()
     assert {(r.event_type, r.n) for r in done} <= {("view", 12), ("click", 12)}
+
+
+def test_evidence_of_mixed_suffixes(spark, tmp_path):
+    make_book(tmp_path / "b.XLSX")
+    files = [("x/a.csv", "p,q\n1,\n".encode()), ("b.XLSX", (tmp_path / "b.XLSX").read_bytes())]
+    found = readers.evidence_cells(spark.createDataFrame(files, "path string, content binary"))
+    assert {(r.file, r.row_number) for r in found.collect()} == {("x/a.csv", 1), ("x/a.csv", 2), ("b.XLSX", 1), ("b.XLSX", 2), ("b.XLSX", 4)}
+    assert {r.text for r in readers.sheet_text(found).collect()} == {"p | q", "1", "Title | Title", "Lot # | Quantity", "tlc-777 | =2+3"}
+    with pytest.raises(Exception, match="unsupported evidence file: c.pdf"):
+        readers.evidence_cells(spark.createDataFrame([("c.pdf", b"")], "path string, content binary")).collect()
+
+
+def test_workbook_export(spark):
+    long = "t" * 40
+    rows = [("r", "Findings", 1, {"z": "<&>"}), ("r", long, 1, {"b": " x ", "a": None}), ("r", long, 2, {"c": "é"}), ("r", "Summary", 1, {"n": "3"}), ("s", "Summary", 1, None)]
+    df = spark.createDataFrame(rows, "run_id string, tab string, n int, fields map<string,string>")
+    books = sinks.export_workbooks(df, ["n"]).select(F.col("run_id").alias("path"), "content")
+    got = [(r.file, r.sheet, r.row_number, r.cells) for r in readers.workbook_cells(books).orderBy("file").collect()]
+    assert [g for g in got if g[0] == "r"] == [
+        ("r", "Summary", 1, ["n"]), ("r", "Summary", 2, ["3"]), ("r", "t" * 31, 1, ["a", "b", "c"]), ("r", "t" * 31, 2, [None, " x ", None]), ("r", "t" * 31, 3, [None, None, "é"]),
+        ("r", "Findings", 1, ["z"]), ("r", "Findings", 2, ["<&>"]),
+    ]
+    parts = sinks.export_workbooks(df.filter("run_id = 'r'"), ["n"], part_rows=3)
+    assert sorted(r.part for r in parts.collect()) == [0, 1]
+    assert sinks.export_workbooks(df.limit(0), ["n"]).count() == 0
+
+
+def test_artifacts_and_registry(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2, None), ("a", 1, "x")], "kind string, z int, a string")
+    sinks.write_artifacts(rows, str(tmp_path / "out"), "kind")
+    sinks.write_artifacts(rows.filter("kind = 'b'"), str(tmp_path / "out"), "kind")
+    assert {(r.kind, r.value) for r in spark.read.text(str(tmp_path / "out")).collect()} == {("b", '{"a":null,"z":2}'), ("a", '{"a":"x","z":1}')}
+    (tmp_path / "reg/one/normalized").mkdir(parents=True)
+    (tmp_path / "reg/one/normalized/c.json").write_text('[{"sourceId": "s", "x": 1},\n {"x": 2}]')
+    found = readers.read_registry(spark, str(tmp_path / "reg"), "sourceId string, x int")
+    assert {tuple(r) for r in found.collect()} == {("one", "c.json", "s", 1), ("one", "c.json", "one", 2)}
+
+
+def test_legacy_workbook(spark):
+    rows = [
+        ("w", ontology.PRODUCTS, 1, {"product_id": "p", "is_ftl_maybe": "maybe"}), ("w", ontology.PLAN, 2, {"plan_item": "point_of_contact", "answer": "late"}),
+        ("w", ontology.PLAN, 1, {"plan_item": "point_of_contact", "answer": None}), ("v", ontology.VALUES, 3, {"kde_name": "Lot", "kde_value": None}), ("v", ontology.EVENTS, 1, None),
+    ]
+    made = ontology.ontology(spark.createDataFrame(rows, "workbook string, sheet string, position int, fields map<string,string>"))
+    assert [(r.status, r.reason) for r in made["product_scope"].collect()] == [("not_determined", "needs_review")]
+    assert {(r.workbook, r.plan_exists, r.point_of_contact) for r in made["plans"].collect()} == {("w", True, None), ("v", False, None)}
+    assert [(r.kde_id, r.cte, r.field_key, r.status) for r in made["kde_values"].collect()] == [("kde-3", "receiving", "Lot", "missing")]
+    assert [(r.event_id, r.event_type) for r in made["events"].collect()] == [(None, "receiving")]
+    assert made["lineage"].count() == 0
+
+
+def test_name_facts(spark):
+    rows = [("in/Farm North_batch #AB-12_05-06-2024.csv", "Melon Salad"), ("in/Farm North_batch #AB-12_05-06-2024.csv", None), (None, "")]
+    found = ontology.inferred_facts(spark.createDataFrame(rows, "file string, sheet string")).filter("field_key <> 'source_document_type'")
+    assert {(r.source_kind, r.field_key, r.raw_value) for r in found.collect()} == {
+        ("filename", "traceability_lot_code", "AB-12"), ("filename", "event_datetime", "05 06 2024"), ("sheet_name", "product_name", "Melon"), ("sheet_name", "product_name", "Salad"), ("filename", "location_name", "Farm North"),
+    }
+
+
+def test_follow_ups(spark):
+    columns = "job_id string, run_id string, job_type string, status string, priority int, package_id string, previous_job_id string"
+    parse = "parse_customer_workbook"
+    rows = [("a", "r", parse, "succeeded", None, "p", None), ("b", "r", parse, "succeeded", 5, "", None), ("c", "r", parse, "failed", 5, "p", None), ("d", "r", parse, "succeeded", 5, "p", None), ("e", "r", "execute_approved_rules", "queued", 15, "p", "d")]
+    found = jobs_of.follow_ups(spark.createDataFrame(rows, columns))
+    assert [(r.job_id, r.priority, r.previous_job_id) for r in found.collect()] == [("execute_approved_rules:a", 110, "a")]
+    assert jobs_of.follow_ups(spark.createDataFrame(rows, columns).unionByName(found)).count() == 0

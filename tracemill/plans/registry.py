@@ -32,6 +32,7 @@ def _load() -> None:
         queries_checks,
         queries_corpus,
         queries_extract,
+        queries_io,
         queries_joins,
         queries_review,
         queries_scalars,

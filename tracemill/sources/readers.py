@@ -12,13 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions.scalars import strip
+
 _ROWS = "file string, sheet string, row_number int, cells array<string>"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sheet, row_number, cells) of CSV files: every row in file order, header or not; a byte-order mark goes.
+def raw_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of whole files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def csv_cells(files: DataFrame) -> DataFrame:
+    """(file, sheet, row_number, cells) of CSV files (path, content): every row in file order, header or not; a byte-order mark goes.
 
     A file is one record, as row order matters and quotes may hold line ends; many files make many tasks.
     """
@@ -33,8 +40,11 @@ def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out, columns=["file", "sheet", "row_number", "cells"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, _ROWS)
+    return files.select("path", "content").mapInPandas(run, _ROWS)
+
+
+def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    return csv_cells(raw_files(spark, path))
 
 
 def _column(ref: str) -> int:
@@ -86,8 +96,8 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list]]:
                 yield sheet.get("name"), at, [grid[at].get(k) for k in shown]
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sheet, row_number, cells) of .xlsx files, one task record a file. Row numbers are the sheet's own."""
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """(file, sheet, row_number, cells) of .xlsx files (path, content), one task record a file. Row numbers are the sheet's own."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -96,7 +106,25 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out, columns=["file", "sheet", "row_number", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _ROWS)
+    return files.select("path", "content").mapInPandas(run, _ROWS)
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    return workbook_cells(raw_files(spark, path))
+
+
+def sheet_text(rows: DataFrame, gap: str = " | ") -> DataFrame:
+    """(file, sheet, row_number, text) of rows of cells: the filled cells, joined; rows without any go."""
+    filled = F.filter(F.transform("cells", strip), lambda c: c != "")
+    return rows.select("file", "sheet", "row_number", F.array_join(filled, gap).alias("text")).filter("text <> ''")
+
+
+def evidence_cells(files: DataFrame) -> DataFrame:
+    """Rows of cells of files (path, content) of any mix of suffixes: .csv, .xlsx and .xlsm; another suffix is an error in the row's task."""
+    suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
+    kind = F.when(suffix == "csv", "csv").when(suffix.isin("xlsx", "xlsm"), "book").otherwise(F.raise_error(F.concat(F.lit("unsupported evidence file: "), "path")))
+    kinds = files.select("path", "content", kind.alias("_kind"))
+    return csv_cells(kinds.filter("_kind = 'csv'")).unionByName(workbook_cells(kinds.filter("_kind = 'book'")))
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
@@ -109,10 +137,16 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported evidence file: {path}")
 
 
+_SECTION = "_N string, _TYPE string, HEAD string, P array<string>"
+
+
 def read_xml_sections(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
     """(section, heading, text) of regulation XML: DIV8 elements of type SECTION whose number 1.N lies in low..high."""
-    schema = "_N string, _TYPE string, HEAD string, P array<string>"
-    rows = spark.read.format("xml").option("rowTag", "DIV8").schema(schema).load(path)
+    return xml_sections(spark.read.format("xml").option("rowTag", "DIV8").schema(_SECTION).load(path), low, high)
+
+
+def xml_sections(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """As read_xml_sections, of DIV8 elements that are parsed already."""
     number = F.try_to_number(F.regexp_extract("_N", r"1\.(\d{4})", 1), F.lit("9999")).cast("int")
     kept = rows.filter((F.col("_TYPE") == "SECTION") & number.between(low, high))
     return kept.select(F.concat(F.lit("1."), number.cast("string")).alias("section"), F.col("HEAD").alias("heading"), F.concat_ws("\n", "P").alias("text"))
@@ -126,3 +160,11 @@ def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], schema)
         raise
+
+
+def read_registry(spark: SparkSession, folder: str, schema: str, source: str = "sourceId") -> DataFrame:
+    """(source_dir, file, and the schema's columns) of every <source>/normalized/*.json list below a folder, in one scan; a source named in the path stands in for a missing one."""
+    path = F.col("_metadata.file_path")
+    rows = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/normalized/*.json")
+    rows = rows.select(F.regexp_extract(path, r"([^/]+)/normalized/[^/]+$", 1).alias("source_dir"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file"), *rows.columns)
+    return rows.withColumn(source, F.coalesce(source, "source_dir"))

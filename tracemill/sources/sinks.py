@@ -1,10 +1,21 @@
-"""Sinks on plain Parquet: idempotent run rewrites, upserts, hashed snapshots and workbook tabs."""
+"""Sinks on plain Parquet and JSON: idempotent run rewrites, upserts, hashed snapshots, artifacts and workbooks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import json
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACK = "http://schemas.openxmlformats.org/package/2006"
+_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
 
 def replace_run(df: DataFrame, path: str, run_column: str = "run_id") -> None:
     """Write rows under their run; a run's earlier rows go, other runs stay."""
@@ -32,5 +43,72 @@ def write_tabs(df: DataFrame, path: str, tab: str) -> None:
     df.write.mode("overwrite").partitionBy(tab).json(path)
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def write_artifacts(df: DataFrame, path: str, kind: str) -> None:
+    """JSON lines with sorted keys, one folder for each kind of artifact; a rewrite replaces the kinds that it holds."""
+    names = sorted(c for c in df.columns if c != kind)
+    writer = df.select(kind, *names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
+    writer.partitionBy(kind).json(path)
+
+
+def workbook_bytes(tabs: list[tuple[str, list[list[str | None]]]]) -> bytes:
+    """An .xlsx file of text cells: (name, rows) for each tab, names cut to the 31 characters that the format allows."""
+    out = io.BytesIO()
+    sheet = lambda rows: "".join(
+        f'<row r="{k}">' + "".join(f'<c r="{_letters(j)}{k}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for j, v in enumerate(row, 1) if v is not None) + "</row>"
+        for k, row in enumerate(rows, 1)
+    )
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        parts = [f"xl/worksheets/sheet{k}.xml" for k in range(1, len(tabs) + 1)]
+        kinds = "".join(f'<Override PartName="/{p}" ContentType="{_TYPE}.worksheet+xml"/>' for p in parts)
+        book.writestr(
+            "[Content_Types].xml",
+            f'<Types xmlns="{_PACK}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+            f'<Override PartName="/xl/workbook.xml" ContentType="{_TYPE}.sheet.main+xml"/>{kinds}</Types>',
+        )
+        book.writestr("_rels/.rels", f'<Relationships xmlns="{_PACK}/relationships"><Relationship Id="r1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        names = "".join(f'<sheet name="{escape(name[:31], {chr(34): "&quot;"})}" sheetId="{k}" r:id="r{k}"/>' for k, (name, _) in enumerate(tabs, 1))
+        book.writestr("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="{_REL}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{k}" Type="{_REL}/worksheet" Target="{p.removeprefix("xl/")}"/>' for k, p in enumerate(parts, 1))
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACK}/relationships">{links}</Relationships>')
+        for part, (_, rows) in zip(parts, tabs, strict=True):
+            book.writestr(part, f"<worksheet {_MAIN}><sheetData>{sheet(rows)}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n:
+        n, k = divmod(n - 1, 26)
+        out = chr(65 + k) + out
+    return out
+
+
+def export_workbooks(rows: DataFrame, order: list[str], part_rows: int = 50_000) -> DataFrame:
+    """(run_id, part, content): .xlsx files of rows (run_id, tab, fields map<string,string>), tabs by name but Summary first and Findings last.
+
+    A tab's headers are the sorted union of its rows' keys in the file. A run of more than part_rows rows makes several files, so
+    that no task holds more than one file's rows; nothing is cut.
+    """
+    place = F.when(F.col("tab") == "Summary", 0).when(F.col("tab") == "Findings", 2).otherwise(1)
+    placed = rows.withColumn("_place", place).withColumn("fields", F.to_json("fields"))
+    n = F.row_number().over(Window.partitionBy("run_id").orderBy("_place", "tab", *order))
+    parts = placed.withColumn("_n", n).withColumn("part", F.floor((F.col("_n") - 1) / part_rows).cast("int"))
+
+    def make(frame: pd.DataFrame) -> pd.DataFrame:
+        tabs: dict[str, list[dict]] = {}
+        for tab, fields in frame.sort_values("_n")[["tab", "fields"]].itertuples(index=False):
+            tabs.setdefault(tab, []).append(json.loads(fields) if fields else {})
+        heads = {tab: sorted({k for row in held for k in row}) for tab, held in tabs.items()}
+        book = workbook_bytes([(tab, [heads[tab], *([row.get(k) for k in heads[tab]] for row in held)]) for tab, held in tabs.items()])
+        return pd.DataFrame({"run_id": frame["run_id"].iloc[:1], "part": frame["part"].iloc[:1], "content": [book]})
+
+    kept = parts.select("run_id", "part", "tab", "fields", "_n")
+    return kept.groupBy("run_id", "part").applyInPandas(make, f"run_id {dict(rows.dtypes)['run_id']}, part int, content binary")
+
+
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
