@@ -205,3 +205,12 @@ def test_record_diff_and_scores(spark):
     rows = spark.createDataFrame([(["x"], ["x", "y"]), ([], []), (["y"], [])], "e array<string>, a array<string>")
     scores = {r.label: (r.tp, r.fp, r.fn, r.precision, r.recall) for r in relational.micro_scores(rows, "e", "a").collect()}
     assert scores == {"x": (1, 0, 0, 1.0, 1.0), "y": (0, 1, 1, 0.0, 0.0)}
+
+
+def test_numbers_across_ranges(spark):
+    from tracemill.operators.relational import numbered_across
+
+    rows = spark.range(12000).select((11999 - F.col("id")).alias("x"), F.lit(1).alias("y"))
+    got = {r.x: r.id for r in numbered_across(rows, [F.col("x")], "e-", "id").collect()}
+    assert got == {x: f"e-{x + 1:04d}" for x in range(12000)}
+    assert numbered_across(rows.limit(0), [F.col("x")], "e-", "id").count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import is_answered, lookup, match_token, real_value, strip
-from tracemill.operators.relational import numbered
+from tracemill.operators.relational import numbered_across
 from tracemill.plans import cards
 
 _TEXTS = "array<string>"
@@ -152,10 +152,10 @@ def claim_findings(claims: DataFrame) -> DataFrame:
 
 
 def exception_queue(findings: DataFrame, run: str) -> DataFrame:
-    """One item per finding, numbered within the run."""
+    """One item per finding of a run, numbered in order of events (those of no event last)."""
     queue = F.coalesce(lookup(F.col("finding_type"), cards.QUEUES), F.lit("review_item"))
     out = findings.select(F.lit(run).alias("run_id"), "event_id", "finding_type", queue.alias("queue_type"), F.when(F.col("severity") == "high", "high").otherwise("medium").alias("priority"))
-    return numbered(out, ["run_id"], [F.col("event_id").asc_nulls_last(), F.col("finding_type")], "exception-", "exception_id")
+    return numbered_across(out, [F.col("event_id").asc_nulls_last(), F.col("finding_type")], "exception-", "exception_id")
 
 
 def readiness(findings: DataFrame) -> DataFrame:

@@ -51,10 +51,31 @@ def best_with_ties(df: DataFrame, keys: list[str], score: Column, least: float)
     return ranked.filter((F.col("_n") == 1) & (F.col("_s") >= least)).drop("_n", "_s")
 
 
+def _padded(n: Column) -> Column:
+    """Four digits at least, never fewer than the number has."""
+    text = n.cast("string")
+    return F.when(n < 1000, F.lpad(text, 4, "0")).otherwise(text)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], prefix: str, name: str) -> DataFrame:
-    """Ids such as prefix0001, counted in order within each key (a run), never over the whole table."""
+    """Ids such as prefix0001, counted in order within each key, whose rows one task sorts. For a whole table see numbered_across."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, F.concat(F.lit(prefix), F.lpad(n.cast("string"), 4, "0")))
+    return df.withColumn(name, F.concat(F.lit(prefix), _padded(n)))
+
+
+def numbered_across(df: DataFrame, order: list[Column], prefix: str, name: str) -> DataFrame:
+    """Ids such as prefix0001 over all rows in order: ranges of the order are counted, and each row is numbered from its range's offset.
+
+    No task sorts more than a range. Rows that tie in order are numbered as they come. An empty table stays empty.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    # the ranges are fixed once, so that counts and numbers agree
+    held = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a shuffle partition
+    n = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return held.join(F.broadcast(offsets), "_range").withColumn(name, F.concat(F.lit(prefix), _padded(n))).drop("_range", "_before")
 
 
 def segments(df: DataFrame, keys: list[str], order: list[Column], opens: Column) -> DataFrame:

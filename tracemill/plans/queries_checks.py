@@ -133,12 +133,12 @@ def findings(spark, d):
 
 @register(
     "C10_exception_queue",
-    """SELECT queue_type, priority, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'tlc_gap' ELSE 'missing_kde' END AS queue_type,
-       CASE WHEN o_orderstatus = 'P' THEN 'high' ELSE 'medium' END AS priority FROM orders) GROUP BY ALL""",
+    """SELECT 'exception-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS exception_id, event_id, queue_type, priority FROM (
+       SELECT o_orderkey::VARCHAR AS event_id, CASE WHEN o_orderstatus = 'P' THEN 'tlc_gap' ELSE 'missing_kde' END AS queue_type,
+         CASE WHEN o_orderstatus = 'P' THEN 'high' ELSE 'medium' END AS priority, row_number() OVER (ORDER BY o_orderkey::VARCHAR) AS n FROM orders)""",
 )
 def exception_queue(spark, d):
-    queued = checks.exception_queue(findings(spark, d), "run-1")
-    return queued.groupBy("queue_type", "priority").agg(F.count(F.lit(1)).alias("n"))
+    return checks.exception_queue(findings(spark, d), "run-1").select("exception_id", "event_id", "queue_type", "priority")
 
 
 @register("C12_readiness", "SELECT CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN 'blocked' ELSE 'needs_review' END AS status, count(*) AS findings FROM orders")

@@ -22,12 +22,16 @@ def exact_duplicates(spark, d):
     return docs.join(first, "digest").select("doc_id", status.alias("status"))
 
 
-@register("W7_marker_paths", "SELECT o_custkey, count(*) AS markers FROM orders GROUP BY o_custkey")
+@register(
+    "W7_marker_paths",
+    """SELECT o_custkey, string_agg(k || ',' || k || '/' || p || ',' || k || '/' || p || '/ii', ',' ORDER BY o_orderkey) AS paths
+       FROM (SELECT o_custkey, o_orderkey, lower(o_orderstatus) AS k, left(o_orderpriority, 1) AS p FROM orders) GROUP BY o_custkey""",
+)
 def marker_paths(spark, d):
-    """Paths of each customer's priorities as markers; the number of paths is the number of markers."""
-    marks = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda s: F.substring(s["o_orderpriority"], 1, 1))
-    rows = table(spark, d, "orders").groupBy("o_custkey").agg(R.marker_paths(marks).alias("paths"))
-    return rows.select("o_custkey", F.size("paths").cast("long").alias("markers"))
+    """Paths of each customer's orders (some dozens at every scale) as nested markers: a letter, a number and a roman numeral each."""
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
+    marks = F.flatten(F.transform("orders", lambda o: F.array(F.lower(o["o_orderstatus"]), F.substring(o["o_orderpriority"], 1, 1), F.lit("ii"))))
+    return rows.select("o_custkey", F.array_join(R.marker_paths(marks), ",").alias("paths"))
 
 
 @register(

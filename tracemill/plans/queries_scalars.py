@@ -86,10 +86,18 @@ def field_types(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.field_type(F.lit("remark"), value).alias("kind"))
 
 
-@register("F9_inferred_facts", "SELECT page_id, m AS fact FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(url, '[a-z-]+\\.example\\.(?:com|net|org)'))) AS m FROM pages)")
+@register(
+    "F9_inferred_facts",
+    """SELECT o_orderkey, unnest(['traceability_lot_code', 'event_datetime', 'source_document_type', 'product_name', 'product_name', 'location_name']) AS field_key,
+         unnest(['T' || o_orderkey || '-Z', '2024 11 0' || (1 + o_custkey % 9), 'transformation_batch_record', 'Lettuce', 'Melon', 'dock 0' || o_custkey]) AS raw_value FROM orders""",
+)
 def inferred_facts(spark, d):
-    found = F.array_distinct(F.regexp_extract_all("url", F.lit(r"[a-z-]+\.example\.(?:com|net|org)"), 0))
-    return table(spark, d, "pages").select("page_id", F.explode(found).alias("fact"))
+    """Six facts in a name for each order; of two kinds of document with a word each the first counts."""
+    from tracemill.operators.ontology import name_facts
+
+    key = F.col("o_orderkey").cast("string")
+    name = F.concat(F.lit("melon and Lettuce BATCH # t"), key, F.lit("-z 2024_11-0"), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit(" @ dock 0"), F.col("o_custkey").cast("string"), F.lit("_q"))
+    return table(spark, d, "orders").select("o_orderkey", F.inline(name_facts(name))).select("o_orderkey", "field_key", "raw_value")
 
 
 @register(
