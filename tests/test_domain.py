@@ -214,3 +214,23 @@ def test_numbers_across_ranges(spark):
     got = {r.x: r.id for r in numbered_across(rows, [F.col("x")], "e-", "id").collect()}
     assert got == {x: f"e-{x + 1:04d}" for x in range(12000)}
     assert numbered_across(rows.limit(0), [F.col("x")], "e-", "id").count() == 0
+
+
+def test_review_operators(spark):
+    from tracemill.operators import review
+
+    columns = "finding_id string, status string, card_id string, chunk_id string, evidence array<string>, review_state string, requirement_id string"
+    findings = spark.createDataFrame([("a", "pass", None, None, None, None, None), ("b", None, None, "c", ["e"], "approved", None), ("c", "needs_expert_review", "k", "c", None, None, "")], columns)
+    cards_ = spark.createDataFrame([("k", None), ("k", None)], "card_id string, finalized boolean")
+    scenarios = spark.createDataFrame([("approved", ["k", "k"])], "status string, card_ids array<string>")
+    none = spark.createDataFrame([], "requirement_id string, status string")
+    found = {(r.finding_id, r.blocker) for r in review.finding_blockers(findings, cards_, scenarios, none).collect()}
+    assert found == {("b", "no approved card"), ("c", "no evidence"), ("c", "no review state"), ("c", "review not approved")}
+    drafts = spark.createDataFrame([("a", 0.9, [], "draft"), ("b", 0.9, ["?"], "draft"), ("c", None, None, None)], "draft_id string, confidence double, questions array<string>, review_status string")
+    assert {(r.draft_id, r.after_status) for r in review.auto_review(drafts).collect()} == {("a", "approved"), ("b", "needs_review"), ("c", "needs_review")}
+    columns = "draft_id string, collection string, record_id string, source_phase string, confidence string, review_status string, citation_count int"
+    records = spark.createDataFrame([("a", "x", "1", None, "HIGH", None, None), ("b", "x", "2", "p", "", "needs_review", 2)], columns)
+    assert [r.draft_id for r in review.import_drafts(records, only_ready=True).collect()] == ["b"]
+    assert {(r.source_phase, r.review_status, r.citation_count) for r in review.import_drafts(records).collect()} == {("unknown", "draft", 0), ("p", "needs_review", 2)}
+    with pytest.raises(Exception, match="draft without record_id"):
+        review.import_drafts(spark.createDataFrame([("a", "x", " ", None, None, None, None)], columns)).collect()

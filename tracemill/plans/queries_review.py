@@ -84,10 +84,31 @@ def trace_rows(spark, d):
     return review.trace_rows(table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey")
 
 
-@register("C16_finding_gate", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity > 5 AND l_discount < 0.09 AND l_returnflag <> 'A' AS ready FROM lineitem")
+@register(
+    "C16_finding_gate",
+    """WITH f AS (SELECT *, 'K' || p_partkey % 4 AS card FROM part WHERE p_size % 6 <> 0)
+       SELECT p_partkey::VARCHAR AS finding_id, 'no approved card' AS blocker FROM f WHERE card = 'K3'
+       UNION ALL SELECT p_partkey::VARCHAR, b FROM (SELECT *, unnest([CASE WHEN card <> 'K0' THEN 'no approved scenario' END, CASE WHEN p_size % 5 = 0 THEN 'no source chunk' END, CASE WHEN p_size > 40 THEN 'no evidence' END,
+         CASE WHEN p_size % 7 = 0 THEN 'no review state' END, CASE WHEN p_size % 7 <= 1 THEN 'review not approved' END, CASE WHEN p_size % 9 = 0 THEN 'no approved requirement' END, CASE WHEN card = 'K1' THEN 'source not final' END]) AS b
+         FROM f WHERE card <> 'K3') WHERE b IS NOT NULL""",
+)
 def finding_gate(spark, d):
-    ready = (F.col("l_quantity") > 5) & (F.col("l_discount") < 0.09) & (F.col("l_returnflag") != "A")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ready.alias("ready"))
+    """Parts as findings of four cards, of which one is unknown, one isn't final and one is covered by an approved scenario."""
+    size = F.col("p_size")
+    seventh = size % 7
+    findings = table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("finding_id"),
+        F.when(size % 6 == 0, "pass").otherwise("fail").alias("status"),
+        F.concat(F.lit("K"), (F.col("p_partkey") % 4).cast("string")).alias("card_id"),
+        F.when(size % 5 == 0, "").otherwise("chunk").alias("chunk_id"),
+        F.when(size > 40, F.array().cast("array<string>")).otherwise(F.array("p_brand")).alias("evidence"),
+        F.when(seventh == 1, "draft").when(seventh > 1, "approved").alias("review_state"),
+        F.when(size % 9 == 0, "R2").when(size % 9 == 1, "R1").alias("requirement_id"),
+    )
+    cards = spark.createDataFrame([("K0", True), ("K1", False), ("K2", True)], "card_id string, finalized boolean")
+    scenarios = spark.createDataFrame([("approved", ["K0"]), ("draft", ["K1", "K2"])], "status string, card_ids array<string>")
+    requirements = spark.createDataFrame([("R1", "approved"), ("R2", "draft")], "requirement_id string, status string")
+    return review.finding_blockers(findings, cards, scenarios, requirements)
 
 
 @register(
@@ -141,10 +162,15 @@ def routing(spark, d):
     return table(spark, d, "documents").select("doc_id", review.ladder([(a & b, "auto"), (a | b, "route")], "abstain").alias("way"))
 
 
-@register("C24_mapping_auto_review", "SELECT p_brand, count(*) AS n, min(p_size) >= 3 AND count(*) > 1 AS auto FROM part GROUP BY p_brand")
+@register(
+    "C24_mapping_auto_review",
+    """SELECT p_partkey AS draft_id, CASE WHEN p_size >= 45 AND p_type <> 'PROMO' THEN 'approve' ELSE 'hold_for_review' END AS action, 'draft' AS before_status,
+       CASE WHEN p_size >= 45 AND p_type <> 'PROMO' THEN 'approved' ELSE 'needs_review' END AS after_status FROM part""",
+)
 def auto_review(spark, d):
-    out = table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_size").alias("least"))
-    return out.select("p_brand", "n", ((F.col("least") >= 3) & (F.col("n") > 1)).alias("auto"))
+    questions = F.array_compact(F.array(F.when(F.col("p_type") == "PROMO", F.lit("which type?"))))
+    drafts = table(spark, d, "part").select(F.col("p_partkey").alias("draft_id"), (F.col("p_size") / 50).alias("confidence"), questions.alias("questions"), F.lit("draft").alias("review_status"))
+    return review.auto_review(drafts)
 
 
 @register("C25_registry_triage", "SELECT doc_id, CASE WHEN n_chars = 0 THEN 'blocking' WHEN n_chars < 100 THEN 'accepted' WHEN lang <> 'en' THEN 'remediation' ELSE 'none' END AS triage FROM documents")
@@ -187,9 +213,20 @@ def seed_import(spark, d):
     return out.select("c_custkey", F.when(F.col("chunks") == 0, "skipped").otherwise("imported").alias("fate"), "chunks")
 
 
-@register("X24_draft_import", "SELECT o_orderkey, 'draft' AS status FROM orders WHERE o_orderstatus = 'F'")
+@register(
+    "X24_draft_import",
+    """SELECT o_orderkey::VARCHAR AS draft_id, o_orderpriority AS collection, 'r' || o_orderkey AS record_id, 'unknown' AS source_phase, 'unknown' AS confidence,
+       CASE o_orderstatus WHEN 'F' THEN 'needs_review' ELSE 'draft' END AS review_status, 0::BIGINT AS citation_count FROM orders WHERE o_orderstatus <> 'P'""",
+)
 def draft_import(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("draft").alias("status"))  # an import never approves
+    """Orders as draft records; those that are pending were rejected and stay out."""
+    state = F.when(F.col("o_orderstatus") == "F", "needs_review").when(F.col("o_orderstatus") == "P", "rejected").otherwise(" ")
+    key = F.col("o_orderkey").cast("string")
+    records = table(spark, d, "orders").select(
+        key.alias("draft_id"), F.col("o_orderpriority").alias("collection"), F.concat(F.lit("r"), key).alias("record_id"), F.lit("").alias("source_phase"), F.lit(None).cast("string").alias("confidence"),
+        state.alias("review_status"), F.lit(None).cast("long").alias("citation_count"),
+    )
+    return review.import_drafts(records, with_rejected=False)
 
 
 @register("X26_reviewer_questions", "SELECT p_partkey::VARCHAR AS ref, 'size' AS question FROM part WHERE p_size < 3 UNION ALL SELECT p_partkey::VARCHAR, 'type' FROM part WHERE p_type = 'PROMO' UNION ALL SELECT 'all', 'unmapped columns'")
