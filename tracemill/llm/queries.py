@@ -19,6 +19,9 @@ from tracemill.llm.op07_byte_bpe import round_trip_digests
 from tracemill.llm.op08_language_id import document_evidence, identify, page_evidence, train_trigrams
 from tracemill.llm.op09_media_copies import edited, find_copies, pictures
 from tracemill.llm.op10_toxicity import score, train
+from tracemill.llm.op11_line_dedup import kept_digests
+from tracemill.llm.op12_centroid_clustering import clustered
+from tracemill.llm.op13_vector_codes import codes_with_errors
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -97,6 +100,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes_with_errors(table(spark, sf_dir, "embeddings"))
+
+
 OP3_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -147,6 +162,75 @@ SELECT doc_id, n AS n_shingles, least(doc_id, min(other)) AS component_id
 FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
 """
 
+OP11_SQL = """
+WITH lines AS (
+  SELECT doc_id, row, unnest(l) AS line, generate_subscripts(l, 1) AS place
+  FROM (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), held AS (
+  SELECT key, min(doc_id) AS first, count(DISTINCT doc_id) AS documents FROM keyed WHERE length(key) >= 10 GROUP BY key
+), judged AS (
+  SELECT k.*, coalesce(h.documents > 1 AND h.first <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN held h USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row, doc_id
+"""
+
+
+def _floor_mean(values: str, counts: str) -> str:
+    """floor(sum / count) of whole numbers; DuckDB's // cuts towards zero."""
+    return f"(({values}) - ((({values}) % ({counts})) + ({counts})) % ({counts})) // ({counts})"
+
+
+def _op12_sql(clusters: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    squared = "list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x)"  # whole and far below 2**53, so exact
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS x FROM embeddings WHERE len(embedding) = 64"
+        " AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o, x) - 1 AS k, x FROM (SELECT sha256('{seed}:' || vec_id) AS o, x FROM v WHERE vec_id IS NOT NULL ORDER BY o, x LIMIT {clusters}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, x, (m).k AS k, (m).d AS d FROM (SELECT v.vec_id, v.x, min(struct_pack(d := ({squared})::BIGINT, k := c.k)) AS m FROM v, c{r} c GROUP BY v.vec_id, v.x))"
+        )
+        if r < rounds:
+            mean = _floor_mean("sum(e)::BIGINT", "count(*)")
+            steps.append(
+                f"m{r} AS (SELECT k, list(f::DOUBLE ORDER BY i) AS x FROM (SELECT k, i, {mean} AS f FROM (SELECT k, unnest(x)::BIGINT AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY k, i) GROUP BY k)"
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (k))")
+    last = f"a{rounds}"
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,"
+        f" sha256(array_to_string(list_transform(c.x, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM {last} JOIN c{rounds} c USING (k)"
+    )
+
+
+def _op13_sql(entries: int = 256, parts: int = 4, rounds: int = 4) -> str:
+    squared = "list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x)"
+    cut = "x[(p * (len(x) // {0}) + 1):((p + 1) * (len(x) // {0}))]".format(parts)
+    steps = [
+        "w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS x FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"v AS MATERIALIZED (SELECT r, vec_id, label, p, {cut} AS x FROM w, range({parts}) t(p))",
+        f"c0 AS MATERIALIZED (SELECT p, r - 1 AS k, x FROM v WHERE r <= {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT r, p, x, (m).k AS k, (m).d AS d FROM (SELECT v.r, v.p, v.x, min(struct_pack(d := ({squared})::BIGINT, k := c.k)) AS m FROM v JOIN c{r} c ON v.p = c.p GROUP BY v.r, v.p, v.x))"
+        )
+        if r < rounds:
+            mean = _floor_mean("sum(e)::BIGINT", "count(*)")
+            steps.append(
+                f"m{r} AS (SELECT p, k, list(f::DOUBLE ORDER BY i) AS x FROM (SELECT p, k, i, {mean} AS f FROM (SELECT p, k, unnest(x)::BIGINT AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY p, k, i) GROUP BY p, k)"
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.p = c.p AND m.k = c.k)")
+    steps.append(f"done AS (SELECT r, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)")
+    steps.append(f"book AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda e: e::BIGINT::VARCHAR), ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM done JOIN w USING (r), book"
+
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -160,8 +244,17 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op7_byte_bpe": op7_byte_bpe,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
+    return {
+        "op3_embedding_near_dedup": OP3_SQL,
+        "op5_ngram_jaccard_join": OP5_SQL,
+        "op11_line_dedup": OP11_SQL,
+        "op12_centroid_clustering": _op12_sql(),
+        "op13_vector_codes": _op13_sql(),
+    }
