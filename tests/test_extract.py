@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from tracemill.operators import extract, readside
+from tracemill.operators import extract, markup, readside
 
 
 def rows(df, *columns):
@@ -42,23 +42,15 @@ def test_missing_chunks_are_errors(spark):
     assert rows(extract.cited_specs(specs.filter("section = 1"), chunks, ["section"]), "spec", "chunk_id") == [("a", 7)]
 
 
-def test_subparagraphs(spark):
-    cited = spark.createDataFrame([("o1", ["(a)", "(b)(1)"], ["(a)", "(b)", "(b)(1)"]), ("o2", ["(c)"], ["(a)"]), ("o3", None, None)], "obligation_id string, targets array<string>, anchors array<string>")
-    found = extract.resolve_subparagraphs(cited)
-    assert rows(found, "obligation_id", "resolution_status", "candidates") == [("o1", "resolved", 3), ("o2", "unresolved", 1), ("o3", "section_only", 0)]
-    assert extract.resolution_summary(found).first().asDict() == {"citations": 3, "resolved": 1, "section_only": 1, "unresolved": 1, "status": "review_required"}
-    assert extract.resolution_summary(found.limit(0)).first().status == "pass"
-
-
 def test_sections_and_rows(spark):
     html = "<p>before<h1 class=x>21 CFR 1.1340 Shipping</h1><p>one <b>bold</b></p><ul><li>two</ul><h4>no</h4><h2>Other</h2><div>three<span>four</span></div><script>x</script>"
     pages = spark.createDataFrame([(1, html), (2, "bare"), (3, None)], "page_id long, html string")
-    assert rows(extract.html_sections(pages), "page_id", "ordinal", "section_label", "section", "text") == [
+    assert rows(markup.html_sections(pages), "page_id", "ordinal", "section_label", "section", "text") == [
         (1, 1, "Document", "Document", "before"), (1, 2, "21 CFR 1.1340 Shipping", "21 CFR 1.1340", "one two"), (1, 3, "Other", "Other", "three four"),
         (2, 1, "Document", "document", "bare"), (3, 1, "Document", "document", ""),
     ]
     listing = "<table><tr><th>Rule<th>Docket<tr><td>Trace <i>rule</i> <a href=/a>x</a><td>FDA-2014-N-0053</table>"
-    assert extract.rules_rows(spark.createDataFrame([(1, listing), (2, None)], "page_id long, html string")).collect()[0][:] == (1, 2, "Trace rule x", "FDA-2014-N-0053", ["/a"])
+    assert markup.rules_rows(spark.createDataFrame([(1, listing), (2, None)], "page_id long, html string")).collect()[0][:] == (1, 2, "Trace rule x", "FDA-2014-N-0053", ["/a"])
 
 
 def test_nested_events(spark):
@@ -81,3 +73,19 @@ def test_read_side(spark):
     titled = spark.createDataFrame([("r1", "f2", "low", "b"), ("r1", "f1", "critical", "a")], "run_id string, finding_id string, severity string, title string")
     report = readside.report_lines(readside.readiness(runs), titled).filter("run_id = 'r1'")
     assert [r.line for r in report.orderBy("line_number").collect()] == ["# Audit r1", "Status: ready", "- [critical] a", "- [low] b"]
+
+
+def test_sections_survive_odd_markup(spark):
+    cases = {
+        "<h1>A</h1><p>one<br>two<img>three</p><p>four</p>": [("A", "A", "one two three four")],
+        "<h1>A<p>inside the heading</h1></p><p>one": [("A inside the heading", "A inside the heading", "one")],
+        "<p>x</span></div>y<h2></h2><p>z": [("Document", "Document", "x y"), ("Document", "Document", "z")],
+        "<ul><li>a<ul><li>b</ul>c<li>d</ul>": [("Document", "Document", "a b c d")],
+        "<table><tr><td>a<td>b<tr><th>c<table><tr><td>d</table>e</table>f": [("Document", "Document", "a b c d e")],
+        "<script>x</script>bare <b>text</b>": [("Document", "document", "bare text")],
+        "<div>" * 5000 + "deep": [("Document", "Document", "deep")],
+        "<h3>21 cfr 1.1455</h3><p>see 1.1340": [("21 cfr 1.1455", "21 cfr 1.1455", "see 1.1340")],
+    }
+    for html, want in cases.items():
+        assert markup.sections_of(html) == want, html
+    assert markup.rows_of("<table><tr><td>a <a href=/x>b</a><table><tr><td>c</table>d<td>e</table><tr><td>stray") == [(["a b d", "e"], ["/x"]), (["c"], []), (["stray"], [])]

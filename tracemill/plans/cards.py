@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 
 # --- Fixed values: header words and the field that each means (field: words).
@@ -89,11 +91,12 @@ CLASSIFIER_CTE = {
 }
 
 # --- Fixed values: words of transformation, of movement documents that don't prove shipping, and of the classifier's rules.
-TRANSFORMATION_WORDS = (
-    "transform transforms transformed transforming transformation process processing processed manufacture manufacturing manufactured repack repacking "
-    "repacked blend blending blended mix mixing mixed commingle commingling commingled cut cutting fresh-cut slice slicing sliced dice dicing diced "
-    "shred shredding shredded"
-).split() + ["fresh cut"]
+TRANSFORMATION_WORDS = [
+    "transform", "transforms", "transformed", "transforming", "transformation", "process", "processing", "processed", "manufacture", "manufacturing",
+    "manufactured", "repack", "repacking", "repacked", "blend", "blending", "blended", "mix", "mixing", "mixed", "commingle", "commingling",
+    "commingled", "cut", "cutting", "fresh-cut", "slice", "slicing", "sliced", "dice", "dicing", "diced", "shred", "shredding", "shredded",
+    "fresh cut",
+]
 WEAK_MOVEMENT = [
     "delivery note", "delivery notification", "dispatch advice", "movement record", "transfer order", "inventory movement", "stock movement",
     "goods movement", "carrier manifest", "freight bill", "waybill", "proof of delivery", "delivery receipt",
@@ -169,77 +172,67 @@ FORM_WORDS = [
 UNLISTED_FORMS = ["canned", "shelf_stable", "aseptic"]
 FRESH_PRODUCE = ["basil", "lettuce", "cucumber", "sprout", "tomato", "melon", "pepper"]
 
-# --- Fixed values: contracts, one line for each required record element: name; label; fields, any of which meets it; "?" if conditional.
-CONTRACT_SECTIONS = {
-    "shipping": "21 CFR 1.1340", "receiving": "21 CFR 1.1345", "transformation": "21 CFR 1.1350", "initial_packing": "21 CFR 1.1330",
-    "first_land_based_receiving": "21 CFR 1.1335", "harvesting": "21 CFR 1.1325", "cooling": "21 CFR 1.1325",
-}
-CONTRACT_LINES = {
-    "shipping": """
-        traceability_lot_code; Traceability Lot Code (TLC); traceability_lot_code
-        quantity; quantity and unit of measure; quantity
-        product_description; product description; product_name
-        ship_to_location; location of the immediate subsequent recipient (ship-to); to_partner_id
-        ship_from_location; location the food was shipped from; from_partner_id actor_location_id
-        ship_date; date you shipped the food; event_datetime
-        reference_document_type; reference document type; reference_record_type
-        reference_document_number; reference document number; reference_record_no reference_document_number
-        tlc_source; traceability lot code source / source reference; tlc_source source_lot_or_tlc reference_record_no reference_document_number; ?""",
-    "receiving": """
-        traceability_lot_code; Traceability Lot Code (TLC); traceability_lot_code
-        quantity; quantity and unit of measure; quantity
-        product_description; product description; product_name
-        previous_source_location; location of the immediate previous source; from_partner_id
-        received_location; location where the food was received; actor_location_id to_partner_id
-        received_date; date you received the food; event_datetime
-        reference_document_type; reference document type; reference_record_type
-        reference_document_number; reference document number; reference_record_no reference_document_number
-        tlc_source; traceability lot code source / source reference; tlc_source source_lot_or_tlc reference_record_no reference_document_number; ?""",
-    "transformation": """
-        output_lot_or_tlc; new Traceability Lot Code for the transformed food; output_lot_or_tlc
-        source_lot_or_tlc; Traceability Lot Code of each input lot; source_lot_or_tlc
-        product_description; product description; product_name
-        quantity; quantity and unit of measure; quantity
-        transformation_location; location where you transformed the food (TLC source); actor_location_id
-        transformation_date; date transformation was completed; event_datetime
-        reference_document_type; reference document type; reference_record_type
-        reference_document_number; reference document number; reference_record_no""",
-    "initial_packing": """
-        traceability_lot_code; Traceability Lot Code assigned at packing; traceability_lot_code output_lot_or_tlc
-        product_description; product description of the packed food; product_name
-        quantity; quantity and unit of measure; quantity
-        packing_date; date of initial packing; event_datetime
-        reference_document_type; reference document type; reference_record_type
-        reference_document_number; reference document number; reference_record_no
-        harvest_farm_location; farm where the food was harvested; harvest_farm_location farm_location
-        harvest_field_or_container; field/growing-area or aquaculture container name; harvest_field_or_container growing_area container_name; ?
-        harvester_contact; harvester business name and phone; harvester_contact harvester_name harvester_phone""",
-    "first_land_based_receiving": """
-        traceability_lot_code; Traceability Lot Code assigned at first land-based receiving; traceability_lot_code
-        product_description; species / acceptable market name / product description; product_name
-        quantity; quantity and unit of measure; quantity
-        landed_date; date the food was landed; event_datetime
-        reference_document_type; reference document type; reference_record_type
-        reference_document_number; reference document number; reference_record_no
-        harvest_range_and_locations; harvest date range and geographic catch locations; harvest_range_and_locations catch_location harvest_date_range""",
-    "harvesting": """
-        product_description; commodity / product description; product_name
-        quantity; quantity and unit of measure; quantity
-        subsequent_recipient_location; location of the immediate subsequent recipient; to_partner_id
-        harvest_date; date of harvesting; event_datetime
-        reference_document_type; reference document type; reference_record_type
-        reference_document_number; reference document number; reference_record_no
-        harvest_farm_location; farm where the food was harvested; harvest_farm_location farm_location
-        harvest_field_or_container; field/growing-area or aquaculture container name; harvest_field_or_container growing_area container_name; ?""",
-    "cooling": """
-        product_description; commodity / product description; product_name
-        quantity; quantity and unit of measure; quantity
-        subsequent_recipient_location; location of the immediate subsequent recipient; to_partner_id
-        cooling_location; location where you cooled the food; actor_location_id
-        cooling_date; date of cooling; event_datetime
-        reference_document_type; reference document type; reference_record_type
-        reference_document_number; reference document number; reference_record_no""",
-}
+# --- Fixed values: contracts. For each required record element: event type, section, name, label, fields (any of which meets it), requirement, severity.
+CONTRACT_ROWS = [
+    ("shipping", "21 CFR 1.1340", "traceability_lot_code", "Traceability Lot Code (TLC)", ["traceability_lot_code"], "required", "high"),
+    ("shipping", "21 CFR 1.1340", "quantity", "quantity and unit of measure", ["quantity"], "required", "medium"),
+    ("shipping", "21 CFR 1.1340", "product_description", "product description", ["product_name"], "required", "medium"),
+    ("shipping", "21 CFR 1.1340", "ship_to_location", "location of the immediate subsequent recipient (ship-to)", ["to_partner_id"], "required", "medium"),
+    ("shipping", "21 CFR 1.1340", "ship_from_location", "location the food was shipped from", ["from_partner_id", "actor_location_id"], "required", "medium"),
+    ("shipping", "21 CFR 1.1340", "ship_date", "date you shipped the food", ["event_datetime"], "required", "medium"),
+    ("shipping", "21 CFR 1.1340", "reference_document_type", "reference document type", ["reference_record_type"], "required", "medium"),
+    ("shipping", "21 CFR 1.1340", "reference_document_number", "reference document number", ["reference_record_no", "reference_document_number"], "required", "medium"),
+    ("shipping", "21 CFR 1.1340", "tlc_source", "traceability lot code source / source reference", ["tlc_source", "source_lot_or_tlc", "reference_record_no", "reference_document_number"], "conditional", "medium"),
+    ("receiving", "21 CFR 1.1345", "traceability_lot_code", "Traceability Lot Code (TLC)", ["traceability_lot_code"], "required", "high"),
+    ("receiving", "21 CFR 1.1345", "quantity", "quantity and unit of measure", ["quantity"], "required", "medium"),
+    ("receiving", "21 CFR 1.1345", "product_description", "product description", ["product_name"], "required", "medium"),
+    ("receiving", "21 CFR 1.1345", "previous_source_location", "location of the immediate previous source", ["from_partner_id"], "required", "medium"),
+    ("receiving", "21 CFR 1.1345", "received_location", "location where the food was received", ["actor_location_id", "to_partner_id"], "required", "medium"),
+    ("receiving", "21 CFR 1.1345", "received_date", "date you received the food", ["event_datetime"], "required", "medium"),
+    ("receiving", "21 CFR 1.1345", "reference_document_type", "reference document type", ["reference_record_type"], "required", "medium"),
+    ("receiving", "21 CFR 1.1345", "reference_document_number", "reference document number", ["reference_record_no", "reference_document_number"], "required", "medium"),
+    ("receiving", "21 CFR 1.1345", "tlc_source", "traceability lot code source / source reference", ["tlc_source", "source_lot_or_tlc", "reference_record_no", "reference_document_number"], "conditional", "medium"),
+    ("transformation", "21 CFR 1.1350", "output_lot_or_tlc", "new Traceability Lot Code for the transformed food", ["output_lot_or_tlc"], "required", "high"),
+    ("transformation", "21 CFR 1.1350", "source_lot_or_tlc", "Traceability Lot Code of each input lot", ["source_lot_or_tlc"], "required", "high"),
+    ("transformation", "21 CFR 1.1350", "product_description", "product description", ["product_name"], "required", "medium"),
+    ("transformation", "21 CFR 1.1350", "quantity", "quantity and unit of measure", ["quantity"], "required", "medium"),
+    ("transformation", "21 CFR 1.1350", "transformation_location", "location where you transformed the food (TLC source)", ["actor_location_id"], "required", "medium"),
+    ("transformation", "21 CFR 1.1350", "transformation_date", "date transformation was completed", ["event_datetime"], "required", "medium"),
+    ("transformation", "21 CFR 1.1350", "reference_document_type", "reference document type", ["reference_record_type"], "required", "medium"),
+    ("transformation", "21 CFR 1.1350", "reference_document_number", "reference document number", ["reference_record_no"], "required", "medium"),
+    ("initial_packing", "21 CFR 1.1330", "traceability_lot_code", "Traceability Lot Code assigned at packing", ["traceability_lot_code", "output_lot_or_tlc"], "required", "high"),
+    ("initial_packing", "21 CFR 1.1330", "product_description", "product description of the packed food", ["product_name"], "required", "medium"),
+    ("initial_packing", "21 CFR 1.1330", "quantity", "quantity and unit of measure", ["quantity"], "required", "medium"),
+    ("initial_packing", "21 CFR 1.1330", "packing_date", "date of initial packing", ["event_datetime"], "required", "medium"),
+    ("initial_packing", "21 CFR 1.1330", "reference_document_type", "reference document type", ["reference_record_type"], "required", "medium"),
+    ("initial_packing", "21 CFR 1.1330", "reference_document_number", "reference document number", ["reference_record_no"], "required", "medium"),
+    ("initial_packing", "21 CFR 1.1330", "harvest_farm_location", "farm where the food was harvested", ["harvest_farm_location", "farm_location"], "required", "medium"),
+    ("initial_packing", "21 CFR 1.1330", "harvest_field_or_container", "field/growing-area or aquaculture container name", ["harvest_field_or_container", "growing_area", "container_name"], "conditional", "medium"),
+    ("initial_packing", "21 CFR 1.1330", "harvester_contact", "harvester business name and phone", ["harvester_contact", "harvester_name", "harvester_phone"], "required", "medium"),
+    ("first_land_based_receiving", "21 CFR 1.1335", "traceability_lot_code", "Traceability Lot Code assigned at first land-based receiving", ["traceability_lot_code"], "required", "high"),
+    ("first_land_based_receiving", "21 CFR 1.1335", "product_description", "species / acceptable market name / product description", ["product_name"], "required", "medium"),
+    ("first_land_based_receiving", "21 CFR 1.1335", "quantity", "quantity and unit of measure", ["quantity"], "required", "medium"),
+    ("first_land_based_receiving", "21 CFR 1.1335", "landed_date", "date the food was landed", ["event_datetime"], "required", "medium"),
+    ("first_land_based_receiving", "21 CFR 1.1335", "reference_document_type", "reference document type", ["reference_record_type"], "required", "medium"),
+    ("first_land_based_receiving", "21 CFR 1.1335", "reference_document_number", "reference document number", ["reference_record_no"], "required", "medium"),
+    ("first_land_based_receiving", "21 CFR 1.1335", "harvest_range_and_locations", "harvest date range and geographic catch locations", ["harvest_range_and_locations", "catch_location", "harvest_date_range"], "required", "medium"),
+    ("harvesting", "21 CFR 1.1325", "product_description", "commodity / product description", ["product_name"], "required", "medium"),
+    ("harvesting", "21 CFR 1.1325", "quantity", "quantity and unit of measure", ["quantity"], "required", "medium"),
+    ("harvesting", "21 CFR 1.1325", "subsequent_recipient_location", "location of the immediate subsequent recipient", ["to_partner_id"], "required", "medium"),
+    ("harvesting", "21 CFR 1.1325", "harvest_date", "date of harvesting", ["event_datetime"], "required", "medium"),
+    ("harvesting", "21 CFR 1.1325", "reference_document_type", "reference document type", ["reference_record_type"], "required", "medium"),
+    ("harvesting", "21 CFR 1.1325", "reference_document_number", "reference document number", ["reference_record_no"], "required", "medium"),
+    ("harvesting", "21 CFR 1.1325", "harvest_farm_location", "farm where the food was harvested", ["harvest_farm_location", "farm_location"], "required", "medium"),
+    ("harvesting", "21 CFR 1.1325", "harvest_field_or_container", "field/growing-area or aquaculture container name", ["harvest_field_or_container", "growing_area", "container_name"], "conditional", "medium"),
+    ("cooling", "21 CFR 1.1325", "product_description", "commodity / product description", ["product_name"], "required", "medium"),
+    ("cooling", "21 CFR 1.1325", "quantity", "quantity and unit of measure", ["quantity"], "required", "medium"),
+    ("cooling", "21 CFR 1.1325", "subsequent_recipient_location", "location of the immediate subsequent recipient", ["to_partner_id"], "required", "medium"),
+    ("cooling", "21 CFR 1.1325", "cooling_location", "location where you cooled the food", ["actor_location_id"], "required", "medium"),
+    ("cooling", "21 CFR 1.1325", "cooling_date", "date of cooling", ["event_datetime"], "required", "medium"),
+    ("cooling", "21 CFR 1.1325", "reference_document_type", "reference document type", ["reference_record_type"], "required", "medium"),
+    ("cooling", "21 CFR 1.1325", "reference_document_number", "reference document number", ["reference_record_no"], "required", "medium"),
+]
+CONTRACT_SECTIONS = {cte: section for cte, section, *_ in CONTRACT_ROWS}
 
 # --- Fixed values: exemption types, their other names, and what an exemption does.
 EXEMPTIONS = [
@@ -284,12 +277,11 @@ def field_aliases(spark: SparkSession) -> DataFrame:
 
 def contracts(spark: SparkSession) -> DataFrame:
     """(cte, section, ordinal, kde, label, satisfied_by, requirement, severity): one row per record element."""
+    seen = Counter()
     rows = []
-    for cte, lines in CONTRACT_LINES.items():
-        for ordinal, line in enumerate(lines.strip().splitlines(), 1):
-            kde, label, fields, *conditional = (part.strip() for part in line.split(";"))
-            severity = "high" if kde in LOT_FIELDS else "medium"
-            rows.append((cte, CONTRACT_SECTIONS[cte], ordinal, kde, label, fields.split(), "conditional" if conditional else "required", severity))
+    for cte, section, *element in CONTRACT_ROWS:
+        seen[cte] += 1
+        rows.append((cte, section, seen[cte], *element))
     return spark.createDataFrame(
         rows, "cte string, section string, ordinal int, kde string, label string, satisfied_by array<string>, requirement string, severity string"
     )

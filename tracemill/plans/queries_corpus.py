@@ -47,20 +47,6 @@ def greedy_packing(spark, d):
     return R.pack_parts(pieces, "conv_id", ["turn", "role"], "size", 1800, 2).select("conv_id", "turn", "part")
 
 
-@register("X9_citation_anchor", "SELECT doc_id, lang || ' ' || source || ' ' || doc_id AS anchor FROM documents")
-def citation_anchor(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "lang", "source", F.col("doc_id").cast("string")).alias("anchor"))
-
-
-@register(
-    "X8_chunking_with_rejects",
-    "SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 'blank' WHEN length(text) <= 120 THEN 'short' ELSE 'chunk' END AS side, sha256(source || text) AS digest FROM documents",
-)
-def chunking(spark, d):
-    side = F.when(F.length(F.trim("text")) == 0, "blank").when(F.length("text") <= 120, "short").otherwise("chunk")
-    return table(spark, d, "documents").select("doc_id", side.alias("side"), sha256(F.concat("source", "text")).alias("digest"))
-
-
 @register(
     "X12_source_authority",
     "SELECT page_id, CASE WHEN contains(url, '.example.org') THEN 'primary' WHEN contains(url, 'blog.') THEN 'commentary' ELSE 'secondary' END AS authority FROM pages",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import extract, readside
+from tracemill.operators import extract, markup, readside
 from tracemill.plans.registry import register, table
 
 
@@ -102,28 +102,28 @@ def scenario_benchmarks(spark, d):
     return extract.scenario_events(specs, chunks)
 
 
-@register(
-    "C22_subparagraphs",
-    """SELECT o_orderkey AS obligation_id, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '(a),(b)(1)' ELSE '(a)' END AS resolved, CASE o_orderkey % 3 WHEN 2 THEN '(z)' ELSE '' END AS unresolved,
-       3 AS candidates, CASE o_orderkey % 3 WHEN 0 THEN 'section_only' WHEN 1 THEN 'resolved' ELSE 'unresolved' END AS resolution_status FROM orders""",
-)
-def subparagraphs(spark, d):
-    third = F.col("o_orderkey") % 3
-    named = lambda *names: F.array(*map(F.lit, names))
-    targets = F.when(third == 1, named("(a)", "(b)(1)")).when(third == 2, named("(a)", "(z)"))
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("obligation_id"), targets.alias("targets"), named("(a)", "(b)", "(b)(1)").alias("anchors"))
-    found = extract.resolve_subparagraphs(rows)
-    return found.withColumns({c: F.array_join(c, ",") for c in ("resolved", "unresolved")})
-
-
-@register("C22_subparagraph_summary", "SELECT count(*) AS citations, count(*) FILTER (WHERE o_orderkey % 3 = 1) AS resolved, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS section_only, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS unresolved, 'review_required' AS status FROM orders")
-def subparagraph_summary(spark, d):
-    return extract.resolution_summary(subparagraphs(spark, d))
-
-
 @register("S4_html_sections")
 def html_sections(spark, d):
-    return extract.html_sections(table(spark, d, "pages"))
+    """The sections of raw pages; markup that SQL can't read, tested on fixtures."""
+    return markup.html_sections(table(spark, d, "pages"))
+
+
+@register(
+    "S4_built_sections",
+    """SELECT c_custkey AS page_id, n AS ordinal, CASE n WHEN 1 THEN 'Document' WHEN 2 THEN 'Customer ' || c_custkey ELSE '21 CFR 1.1340 Shipping' END AS section_label,
+         CASE n WHEN 1 THEN 'Document' WHEN 2 THEN CASE WHEN c_custkey % 2 = 0 THEN '1.1325' ELSE 'Customer ' || c_custkey END ELSE '21 CFR 1.1340' END AS section,
+         CASE n WHEN 1 THEN 'before' WHEN 2 THEN c_name || ' second third' || CASE WHEN c_custkey % 2 = 0 THEN ' see 1.1325' ELSE '' END || ' & fourth' ELSE c_mktsegment || ' last' END AS text
+       FROM customer, (VALUES (1), (2), (3)) t(n)""",
+)
+def built_sections(spark, d):
+    """A page for each customer, with void tags, end tags that are missing or too many, entities and markup within headings."""
+    key = F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit("<div>before</b></div><h1 class=x>Customer <i>"), key, F.lit("</i></h1><p>"), F.col("c_name"), F.lit("<br>second<img src=x>third<p>"),
+        F.when(F.col("c_custkey") % 2 == 0, "see 1.1325").otherwise(""), F.lit("<ul><li>&amp;<li>fourth</ul></section><h4>no</h4><h2>21 CFR 1.1340 Shipping</h2><table><tr><td>"),
+        F.col("c_mktsegment"), F.lit("<td><span>last</table><script>var x = '<p>no</p>';</script>bare"),
+    )
+    return markup.html_sections(table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")))
 
 
 @register(
@@ -135,7 +135,7 @@ def rules_rows(spark, d):
         F.lit("<table><tr><th>Title<th>Docket</tr><tr><td><a href='/r/"), nation_key(), F.lit("'>"), F.col("n_name"), F.lit("</a></td><td><b>FDA-2020-N-"), F.lpad(nation_key(), 4, "0"), F.lit("</b> <a href=/d>docket</a></td></tr></table><p>FDA-2020-N-9999"),
     )
     pages = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), html.alias("html"))
-    return extract.rules_rows(pages).withColumn("links", F.array_join("links", "|"))
+    return markup.rules_rows(pages).withColumn("links", F.array_join("links", "|"))
 
 
 @register(

@@ -128,16 +128,6 @@ def match_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", S.match_token(F.concat_ws("--", "p_name", "p_brand")).alias("token"))
 
 
-@register(
-    "F13_chunk_guard",
-    "SELECT doc_id, CASE WHEN length(text) <= 120 AND regexp_matches(lower(text), '(the|les|der)') AND NOT regexp_matches(lower(text), '(and|und|que)') THEN 'rejected' ELSE 'kept' END AS side FROM documents",
-)
-def chunk_guard(spark, d):
-    text = F.lower("text")
-    short = (F.length("text") <= 120) & text.rlike("(the|les|der)") & ~text.rlike("(and|und|que)")
-    return table(spark, d, "documents").select("doc_id", F.when(short, "rejected").otherwise("kept").alias("side"))
-
-
 @register("F14_summary", "SELECT doc_id, CASE WHEN length(text) > 180 THEN left(text, 177) || '...' ELSE text END AS summary FROM documents")
 def summary(spark, d):
     return table(spark, d, "documents").select("doc_id", S.shortened("text").alias("summary"))

@@ -30,6 +30,7 @@ def _load() -> None:
     from tracemill.plans import (  # noqa: F401
         queries_aggregates,
         queries_checks,
+        queries_citations,
         queries_corpus,
         queries_extract,
         queries_io,
