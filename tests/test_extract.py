@@ -60,6 +60,17 @@ def test_nested_events(spark):
     assert len(found) == 2 and {r.event_id for r in found} >= {"e1"} and all(len(r.event_id) in (2, 64) for r in found)
 
 
+def test_events_of_xml(spark):
+    inner = "<AggregationEvent><eventID>in</eventID></AggregationEvent>"
+    xml = f"<d xmlns:e='urn:e'><e:ObjectEvent><eventID>out</eventID><bizStep>urn:epcglobal:cbv:bizstep:shipping</bizStep><l><a> x </a>{inner}</l></e:ObjectEvent><Other/></d>"
+    lines = spark.createDataFrame([("\ufeff<?xml version='1.0' encoding='latin-1'?>" + xml,), (xml + "<",), ("<d>" * 3000 + "<ObjectEvent/>" + "</d>" * 3000,), (None,), ("",)], "content string")
+    found = sorted(tuple(r) for r in extract.visibility_events(lines, ("ObjectEvent", "AggregationEvent")).collect())
+    assert [(i, k, s, json.loads(b).get("l")) for i, k, s, b in found if len(i) < 64] == [("in", "AggregationEvent", "", None), ("out", "ObjectEvent", "shipping", "x in")]
+    assert [(k, json.loads(b)) for i, k, _, b in found if len(i) == 64] == [("ObjectEvent", {"type": "ObjectEvent"})]
+    line = json.dumps({"epcisBody": {"eventList": [{"@type": "epcis:ObjectEvent", "id": "j", "bizStep": "shipping"}]}})
+    assert extract.nested_events(line, ("ObjectEvent",))[0][:3] == ("j", "ObjectEvent", "shipping")
+
+
 def test_read_side(spark):
     runs = spark.createDataFrame(
         [("r1", "succeeded", None, "p", "e"), ("r2", "succeeded", "blocked", None, None), ("r3", "failed", None, None, None), ("r4", "queued", None, None, None)],

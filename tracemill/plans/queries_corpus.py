@@ -141,11 +141,6 @@ def readiness_fallback(spark, d):
     return table(spark, d, "customer").join(latest, "c_custkey", "left").select("c_custkey", F.coalesce("s", F.lit("unknown")).alias("readiness"))
 
 
-@register("S13_early_stop_scan", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 500")
-def early_stop(spark, d):
-    return table(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(500).select("l_orderkey", "l_linenumber")  # a target row count
-
-
 @register("S14_template_columns", "SELECT col AS missing FROM (VALUES ('o_orderkey'), ('o_shipmode'), ('o_custkey'), ('o_carrier')) t(col) WHERE col NOT IN ('o_orderkey', 'o_custkey', 'o_orderstatus')")
 def template_columns(spark, d):
     wanted = spark.createDataFrame([(c,) for c in ("o_orderkey", "o_shipmode", "o_custkey", "o_carrier")], "missing string")

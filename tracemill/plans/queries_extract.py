@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill.operators import extract, markup, readside
@@ -150,6 +151,28 @@ def visibility_events(spark, d):
     return extract.visibility_events(rows, ("ObjectEvent",)).select("event_id", "kind", F.col("body").isNotNull().alias("found"))
 
 
+@register(
+    "S12_xml_events",
+    """SELECT 'e' || (event_id // 2) AS event_id, 'ObjectEvent' AS kind, 'shipping' AS biz_step, 'e' || (event_id // 2) || '|' || min(user_id) || ' urn:x' AS said FROM events WHERE event_type <> 'error' GROUP BY event_id // 2
+       UNION ALL SELECT 'a' || event_id, 'AggregationEvent', '', 'a' || event_id || '|' FROM events WHERE event_type <> 'error' AND event_id % 5 = 0""",
+)
+def xml_events(spark, d):
+    """The same as XML, namespaced, with an event inside another one for every fifth; errors are broken documents."""
+    key, text = F.col("event_id"), lambda c: c.cast("string")
+    inner = F.when(key % 5 == 0, F.concat(F.lit("<AggregationEvent><eventID>a"), text(key), F.lit("</eventID></AggregationEvent>"))).otherwise("")
+    first = F.min("user_id").over(Window.partitionBy(F.floor(key / 2), F.col("event_type") != "error"))  # both of a pair say the same
+    xml = F.concat(
+        F.lit("<?xml version='1.0' encoding='UTF-8'?><e:EPCISDocument xmlns:e='urn:epcglobal:epcis:xsd:2'><EPCISBody><EventList><ObjectEvent><eventID>e"), text(F.floor(key / 2)),
+        F.lit("</eventID><bizStep>urn:epcglobal:cbv:bizstep:shipping</bizStep><sourceList><s> "), text(F.col("first")), F.lit(" </s><t>urn:x</t></sourceList></ObjectEvent>"),
+        inner, F.when(F.col("event_type") == "error", "</wrong>").otherwise("</EventList></EPCISBody></e:EPCISDocument>"),
+    )
+    rows = table(spark, d, "events").withColumn("first", first).select(xml.alias("content"))
+    found = extract.visibility_events(rows, ("ObjectEvent", "AggregationEvent"))
+    said = F.concat_ws("|", "event_id", F.coalesce(F.get_json_object("body", "$.sourceList"), F.lit("")))
+    return found.select("event_id", "kind", "biz_step", said.alias("said"))
+
+
+
 @register(
     "X15_spec_obligations",
     "SELECT spec || '-' || r_regionkey AS obligation_id, r_name AS section FROM region JOIN (VALUES ('keep', 0), ('give', 4)) t(spec, r_regionkey) USING (r_regionkey)",

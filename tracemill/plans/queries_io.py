@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import jobs, ontology
 from tracemill.plans.registry import register, table
-from tracemill.sources import readers, sinks
+from tracemill.sources import early_stop, readers, sinks
 
 
 def scratch(spark) -> str:
@@ -247,3 +247,18 @@ def chained_jobs(spark, d):
     parses = orders.select(*row(key, "parse_customer_workbook", status, none))
     followed = orders.filter(key % 3 == 0).select(*row(-key, "execute_approved_rules", F.lit("queued"), key))
     return jobs.follow_ups(parses.unionByName(followed)).select("job_id", "run_id", "priority", "previous_job_id")
+
+
+@register(
+    "S13_early_stop_scan",
+    """SELECT o_orderstatus AS status, o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_custkey % 3 <> 0
+       QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 40""",
+)
+def early_stop_scan(spark, d):
+    """The orders as packed tab-separated files by ranges of their keys; each file is read only as far as two classes need it."""
+    name = F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(" customer "), F.col("o_custkey").cast("string")))
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), name.alias("name"))
+    folder = scratch(spark)
+    rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).option("sep", "\t").option("compression", "gzip").csv(folder)
+    found = early_stop.first_rows(spark, folder, 40, "status", ("F", "P"), ("o_orderkey", "name"))
+    return found.select(F.col("class").alias("status"), F.element_at("values", "o_orderkey").cast("long").alias("o_orderkey"))

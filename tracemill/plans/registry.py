@@ -37,6 +37,7 @@ def _load() -> None:
         queries_joins,
         queries_review,
         queries_scalars,
+        queries_streams,
     )
 
 
