@@ -82,13 +82,6 @@ def scenarios(spark, d):
     return pairs.select((F.col("r_regionkey") * 25 + F.col("n_nationkey") + 1).alias("scenario"), F.concat_ws("/", "r_name", "n_name").alias("name"))
 
 
-@register("X19_drift_monitor", "SELECT lang, sha256(count(*) || ':' || sum(doc_id) || ':' || sum(n_chars)) AS digest FROM documents GROUP BY lang")
-def drift_monitor(spark, d):
-    """A digest of each language's documents from sums that combine before the shuffle."""
-    sums = F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum("doc_id").cast("string"), F.sum("n_chars").cast("string"))
-    return table(spark, d, "documents").groupBy("lang").agg(sha256(sums).alias("digest"))
-
-
 @register(
     "X20_parser_harness",
     """SELECT parser, count(*) AS n, count(*) FILTER (WHERE guess = toxic) AS right_ FROM (SELECT 'never' AS parser, 0 AS guess, toxic FROM labels

@@ -156,12 +156,6 @@ def publish_gate(spark, d):
     return review.publishable(rows)
 
 
-@register("C23_two_stage_routing", "SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') AND contains(lower(text), 'moron') THEN 'auto' WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'moron') THEN 'route' ELSE 'abstain' END AS way FROM documents")
-def routing(spark, d):
-    a, b = (F.contains(F.lower("text"), F.lit(w)) for w in ("idiot", "moron"))
-    return table(spark, d, "documents").select("doc_id", review.ladder([(a & b, "auto"), (a | b, "route")], "abstain").alias("way"))
-
-
 @register(
     "C24_mapping_auto_review",
     """SELECT p_partkey AS draft_id, CASE WHEN p_size >= 45 AND p_type <> 'PROMO' THEN 'approve' ELSE 'hold_for_review' END AS action, 'draft' AS before_status,

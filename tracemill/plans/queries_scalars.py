@@ -185,28 +185,6 @@ def signatures(spark, d):
     return table(spark, d, "part").groupBy(key.alias("signature")).agg(F.count_distinct("p_size").alias("variants")).filter("variants > 1")
 
 
-@register(
-    "F22_regex_inference",
-    """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), '\\bthe\\b') THEN 'en' END, CASE WHEN regexp_matches(lower(text), '\\b(les|une)\\b') THEN 'fr' END,
-       CASE WHEN regexp_matches(lower(text), '\\bder\\b') THEN 'de' END) AS kinds FROM documents""",
-)
-def regex_inference(spark, d):
-    text = F.lower("text")
-    kinds = [F.when(text.rlike(p), F.lit(k)) for k, p in (("en", r"\bthe\b"), ("fr", r"\b(les|une)\b"), ("de", r"\bder\b"))]
-    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", *kinds).alias("kinds"))
-
-
-@register(
-    "F23_signal_families",
-    """SELECT family, count(*) AS docs FROM (SELECT doc_id, 'strong' AS family FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'moron')
-       UNION ALL SELECT doc_id, 'weak' FROM documents WHERE contains(lower(text), 'loser') OR contains(lower(text), 'clown')) GROUP BY family""",
-)
-def families(spark, d):
-    text = F.lower("text")
-    found = F.array_compact(F.array(F.when(S.contains_any(text, ["idiot", "moron"]), F.lit("strong")), F.when(S.contains_any(text, ["loser", "clown"]), F.lit("weak"))))
-    return table(spark, d, "documents").select(F.explode(found).alias("family")).groupBy("family").agg(F.count(F.lit(1)).alias("docs"))
-
-
 @register(
     "F24_grounding",
     """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ws FROM benchmark), c AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ds FROM documents)

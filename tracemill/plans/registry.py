@@ -31,6 +31,7 @@ def _load() -> None:
         queries_aggregates,
         queries_checks,
         queries_citations,
+        queries_evaluation,
         queries_corpus,
         queries_extract,
         queries_io,
