@@ -111,15 +111,6 @@ def finding_gate(spark, d):
     return review.finding_blockers(findings, cards, scenarios, requirements)
 
 
-@register(
-    "C17_draft_gates",
-    "SELECT doc_id, CASE WHEN length(text) = 0 THEN 'schema' WHEN n_chars < 50 THEN 'unsupported' WHEN source = 'src0' THEN 'self_approved' ELSE 'accepted' END AS gate FROM documents",
-)
-def draft_gates(spark, d):
-    steps = [(F.length("text") == 0, "schema"), (F.col("n_chars") < 50, "unsupported"), (F.col("source") == "src0", "self_approved")]
-    return table(spark, d, "documents").select("doc_id", review.ladder(steps, "accepted").alias("gate"))
-
-
 @register(
     "C18_review_status",
     "SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'conflict' WHEN p_size % 5 = 0 THEN 'rejected' WHEN p_size > 25 THEN 'ready_for_review' ELSE 'needs_review' END AS status FROM part",
@@ -136,16 +127,6 @@ def approval_ready(spark, d):
     return table(spark, d, "part").filter(ready).select("p_partkey")
 
 
-@register(
-    "C20_scenario_regression",
-    """SELECT o_orderkey, (o_orderstatus = 'F') AND NOT (o_orderpriority = '5-LOW') AS passed, CASE WHEN o_orderkey % 9 = 0 THEN 'accepted risk' ELSE '' END AS reason FROM orders WHERE o_orderstatus <> 'O'""",
-)
-def regression(spark, d):
-    passed = (F.col("o_orderstatus") == "F") & ~(F.col("o_orderpriority") == "5-LOW")
-    rows = table(spark, d, "orders").filter("o_orderstatus <> 'O'")
-    return rows.select("o_orderkey", passed.alias("passed"), F.when(F.col("o_orderkey") % 9 == 0, "accepted risk").otherwise("").alias("reason"))
-
-
 @register(
     "C21_publish_gate",
     """SELECT count(*) AS checks, count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderkey % 9 <> 0) AS failed,
@@ -258,13 +239,6 @@ def coverage_areas(spark, d):
     return areas.join(seen, "area", "left").select("area", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
-@register("X37_regression_benchmarks", "SELECT r_name, string_agg(DISTINCT left(n_name, 8), ',' ORDER BY left(n_name, 8)) AS expected FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
-def regression_benchmarks(spark, d):
-    region = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    rows = table(spark, d, "nation").join(region, "n_regionkey")
-    return rows.groupBy("r_name").agg(F.concat_ws(",", F.array_sort(F.collect_set(F.substring("n_name", 1, 8)))).alias("expected"))
-
-
 @register("K4_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders")
 def upsert(spark, d):
     from tracemill.sources.sinks import upserted

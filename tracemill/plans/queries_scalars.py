@@ -143,12 +143,6 @@ def row_ids(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.row_hash_id("run-", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("row_id"))
 
 
-@register("F17_canonical_hash", """SELECT n_nationkey, sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '"}') AS digest FROM nation""")
-def canonical(spark, d):
-    text = F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))  # fields in name order
-    return table(spark, d, "nation").select("n_nationkey", S.sha256(text).alias("digest"))
-
-
 @register("F18_sentence_split", "SELECT item_id, len(regexp_split_to_array(text, '\\.\\s+')) AS sentences FROM benchmark")
 def sentences(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(F.split("text", r"(?<=\.)\s+")).cast("long").alias("sentences"))
@@ -185,17 +179,6 @@ def signatures(spark, d):
     return table(spark, d, "part").groupBy(key.alias("signature")).agg(F.count_distinct("p_size").alias("variants")).filter("variants > 1")
 
 
-@register(
-    "F24_grounding",
-    """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ws FROM benchmark), c AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ds FROM documents)
-       SELECT item_id, len(list_filter(ws, lambda x: NOT list_contains(ds, x))) AS stray, list_has_any(ws, ds) AS grounded FROM w JOIN c ON doc_id = item_id""",
-)
-def grounding(spark, d):
-    words = lambda: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
-    joined = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), words().alias("ws")).join(table(spark, d, "documents").select("doc_id", words().alias("ds")), "doc_id")
-    return joined.select(F.col("doc_id").alias("item_id"), F.size(F.array_except("ws", "ds")).cast("long").alias("stray"), F.arrays_overlap("ws", "ds").alias("grounded"))
-
-
 @register("F25_cell_pointer", "SELECT s_suppkey, split_part(s_name, '#', 1) AS sheet, split_part(s_name, '#', 2)::BIGINT AS row_no FROM supplier")
 def pointers(spark, d):
     part = lambda k: F.regexp_extract("s_name", r"^([A-Za-z]+)#(\d+)$", k)

@@ -32,6 +32,7 @@ def _load() -> None:
         queries_checks,
         queries_citations,
         queries_evaluation,
+        queries_governance,
         queries_corpus,
         queries_extract,
         queries_io,
