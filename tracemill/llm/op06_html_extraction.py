@@ -53,14 +53,16 @@ WIDEST = 48
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 
 class Node:
-    __slots__ = ("children", "hidden", "lines", "number", "span", "tag")
+    __slots__ = ("children", "hidden", "lines", "number", "shown", "span", "tag")
 
     def __init__(self, tag: str):
         self.tag, self.children, self.hidden = tag, [], False
+        self.shown = True  # by visibility, which elements inside may take back, as they can't for hidden
         self.lines: list[str] = []  # of a table, once it is rendered
         self.span, self.number = (1, 1), None
 
@@ -103,12 +105,15 @@ class TreeBuilder(HTMLParser):
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
         node = Node(tag)
+        node.shown = self.stack[-1].shown
         if attrs:
             held = dict(attrs)
+            style = held.get("style")
+            if style and (said := _VISIBILITY.findall(style)):
+                node.shown = said[-1].lower() == "visible"
             if tag == "input":
                 node.hidden = (held.get("type") or "").lower() not in ("submit", "button", "reset")
-                node.children = [held.get("value") or ""]
-            style = held.get("style")
+                node.children = [(held.get("value") or "") if node.shown else ""]
             node.hidden = node.hidden or "hidden" in held or bool(style and _HIDING.search(style))
             if tag in ("td", "th"):
                 node.span = (_whole(held.get("colspan"), 1, MOST_COLUMNS, 1), _whole(held.get("rowspan"), 1, MOST_ROWS, 1))
@@ -144,7 +149,8 @@ class TreeBuilder(HTMLParser):
             if not data.strip():
                 return
             self._close({"head"}, ())
-        self.stack[-1].children.append(data)
+        if self.stack[-1].shown:
+            self.stack[-1].children.append(data)
 
 
 class Lines:
@@ -378,7 +384,7 @@ def render(children: list) -> list[str]:
                     else:
                         mark = "- "
                     ending = ("item", out.prefix)
-                    out.prefix = mark
+                    out.prefix = mark if child.shown else ""
                 elif tag in ("dd", "blockquote"):
                     ending = ("indent", spaced, out.indent)
                     out.indent += "  "
