@@ -347,6 +347,9 @@ def test_embedding_links_of_repeated_ids(spark):
         ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>", "- a\n- b\n  3. x\n  4. y\n- c"),
         ("<table><tr><th>Name<th>Qty<tr><td>Basil leaves<td>3<tr><td>Dill<td>14</table>", "Name          Qty\nBasil leaves  3\nDill          14"),
         ("a<script>no</script><div hidden>no</div><p style='display: none'>no</p>b", "ab"),
+        ("<p style=visibility:hidden>x<b style=visibility:visible>shown</b>y<i>z</i>", "shown"),
+        ("<ul><li>a<li style='visibility: hidden'>b<li>c</ul><table><tr style=visibility:collapse><td>d<td style=visibility:visible>e</table>", "- a\n- c\n\ne"),
+        ("<div hidden><b style=visibility:visible>no</b></div><p style='visibility:visible; visibility:hidden'>no</p>yes", "yes"),
         ("<pre>  x\n    y</pre>&amp;&lt;", "  x\n    y\n\n&<"),
         ("<div>" * 3000 + "deep", "deep"),
         ("", ""),
@@ -378,6 +381,14 @@ def test_language(spark):
     pages = spark.createDataFrame([(1, "https://a.x.bb/", f'<html lang="bb"><p>{rows[1][1]}'), (2, None, None)], "page_id long, url string, html string")
     found = {r.page_id: r for r in op08_language_id.identify(op08_language_id.page_evidence(pages), model).collect()}
     assert (found[1].lang, found[1].declared, found[1].host, found[1].suffix, found[2].rejected) == ("bb", "bb", "a.x.bb", "bb", True)
+    names = ["lang", "scores", "post", "trigrams", "host_rows", "of_host", "confidence", "key_0", "n.o"]  # clashes: results replace, others stay
+    evidence = op08_language_id.document_evidence(docs)
+    clashing = op08_language_id.identify(evidence.withColumns({n: F.lit(n) for n in names}), model)
+    assert clashing.columns == ["doc_id", "declared", "host", "domain", "suffix", "scores", "post", "host_rows", "of_host", "key_0", "n.o", "trigrams", "lang", "confidence", "rejected"]
+    for r in clashing.collect():
+        assert (r.lang, r.rejected, r.trigrams) == (got[r.doc_id].lang, got[r.doc_id].rejected, got[r.doc_id].trigrams)
+        assert all(r[n] == n for n in ("scores", "post", "host_rows", "of_host", "key_0", "n.o"))
+    assert op08_language_id.identify(evidence.filter("false"), model).count() == 0
     assert op08_language_id.identify(op08_language_id.document_evidence(docs.limit(0)), model).count() == 0
 
 

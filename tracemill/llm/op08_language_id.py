@@ -210,12 +210,21 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     )
 
 
+_EVIDENCE = ["declared", "host", "domain", "suffix"]
+_RESULTS = ["trigrams", "lang", "confidence", "rejected"]
+
+
 def identify(rows: DataFrame, model: TrigramModel) -> DataFrame:
     """Each row's other columns with trigrams, lang, confidence and rejected in place of the text.
 
     rows: any keys, text, declared, host, domain, suffix. A null or empty text, or one without letters,
     has no trigrams: it gets the language that its other evidence favours and is rejected. Repeated rows
-    count and return each. An empty table gives an empty one.
+    count and return each. An empty table gives an empty one. Columns of rows that are named as a result are replaced by it;
+    others keep their values whatever their names.
     """
-    keys = [c for c in rows.columns if c != "text"]
-    return fuse(text_evidence(rows, model, keys), model.languages)
+    known = [*_EVIDENCE, *_RESULTS, "text"]
+    own = {c: f"key_{n}" for n, c in enumerate(rows.columns) if c.lower() not in known}
+    inner = rows.select("text", *_EVIDENCE, *(F.col(f"`{c}`").alias(k) for c, k in own.items()))  # names of our own, so that none can clash
+    found = fuse(text_evidence(inner, model, inner.columns[1:]), model.languages)
+    kept = [F.col(own.get(c, c.lower())).alias(c) for c in rows.columns if c in own or c.lower() in _EVIDENCE]
+    return found.select(*kept, *_RESULTS)
