@@ -52,7 +52,9 @@ class Neighbours:
             if not len(active):
                 break
             which = self.order[start[active], low : low + READ]
-            found = ((x[active, None, :] - self.entries[which]) ** 2).sum(2)
+            gap = np.take(self.entries, which, axis=0)
+            np.subtract(x[active, None, :], gap, out=gap)
+            found = np.einsum("mkw,mkw->mk", gap, gap)
             computed += found.size
             near = found.min(1)
             index = np.where(found == near[:, None], which, len(self.entries)).min(1)
