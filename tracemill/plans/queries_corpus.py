@@ -56,14 +56,6 @@ def source_authority(spark, d):
     return table(spark, d, "pages").select("page_id", rank.alias("authority"))
 
 
-@register(
-    "X16_source_versions",
-    "SELECT source, count(*) AS cited, min(doc_id) AS first_chunk, max(doc_id) AS last_chunk FROM documents GROUP BY source",
-)
-def source_versions(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("cited"), F.min("doc_id").alias("first_chunk"), F.max("doc_id").alias("last_chunk"))
-
-
 @register(
     "X17_source_version_diff",
     """WITH a AS (SELECT source, count(*) AS h FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1), b AS (SELECT source, count(*) AS h FROM documents WHERE source <> 'src3' GROUP BY 1)

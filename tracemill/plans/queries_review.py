@@ -54,31 +54,6 @@ def obligations(spark, d):
     return checks.map_obligations(events, wanted)
 
 
-@register("C5_scope_uncertainty", "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'conflict' WHEN p_size < 5 THEN 'review' ELSE 'clear' END AS scope FROM part")
-def scope(spark, d):
-    return table(spark, d, "part").select("p_partkey", review.ladder([(F.col("p_size") % 7 == 0, "conflict"), (F.col("p_size") < 5, "review")], "clear").alias("scope"))
-
-
-@register(
-    "C7_records_readiness",
-    """SELECT 'linked' AS kind, CASE WHEN count(*) > 0 THEN 'present' ELSE 'missing' END AS status FROM lineitem UNION ALL
-       SELECT 'response', CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') = 0 THEN 'present' ELSE 'needs_review' END FROM orders UNION ALL
-       SELECT 'export', CASE WHEN count(*) > 0 THEN 'present' ELSE 'missing' END FROM orders""",
-)
-def records_readiness(spark, d):
-    lines = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))
-    orders = table(spark, d, "orders").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("o_orderstatus") == "P").alias("p"))
-    there = lambda c: F.when(F.col(c) > 0, "present").otherwise("missing")
-    row = lambda k, s: F.struct(F.lit(k).alias("kind"), s.alias("status"))
-    three = F.array(row("linked", there("n")), row("response", F.when(F.col("p") == 0, "present").otherwise("needs_review")), row("export", there("m")))
-    return lines.crossJoin(orders).select(F.inline(three))  # one row each
-
-
-@register("C11_export_tabs", "SELECT o_orderstatus AS tab, count(*) AS row_count, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS blockers FROM orders GROUP BY 1")
-def export_tabs(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("tab")).agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("blockers"))
-
-
 @register("C13_trace_rows", "SELECT o_orderkey, step, kind FROM orders, (VALUES (1, 'evidence'), (2, 'rule'), (3, 'decision')) t(step, kind) WHERE o_orderstatus = 'P'")
 def trace_rows(spark, d):
     return review.trace_rows(table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey")
@@ -175,19 +150,6 @@ def drop_or_annotate(spark, d):
     return review.drop_or_annotate(docs, "text", F.col("source") == "src1", F.contains(F.lower("text"), F.lit("!!"))).select("doc_id", "fate")
 
 
-@register("X14_action_log", "SELECT p_partkey, 'draft' AS action FROM part UNION ALL SELECT p_partkey, 'reject' FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, 'conflict' FROM part WHERE p_size % 11 = 0")
-def action_log(spark, d):
-    actions = F.array_compact(F.array(F.lit("draft"), F.when(F.col("p_size") % 5 == 0, F.lit("reject")), F.when(F.col("p_size") % 11 == 0, F.lit("conflict"))))
-    return table(spark, d, "part").select("p_partkey", F.explode(actions).alias("action"))
-
-
-@register("X23_seed_import", "SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'skipped' ELSE 'imported' END AS fate, count(o_orderkey) AS chunks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
-def seed_import(spark, d):
-    chunks = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("k"))
-    out = table(spark, d, "customer").select("c_custkey").join(chunks, "c_custkey", "left").withColumn("chunks", F.coalesce("k", F.lit(0)))
-    return out.select("c_custkey", F.when(F.col("chunks") == 0, "skipped").otherwise("imported").alias("fate"), "chunks")
-
-
 @register(
     "X24_draft_import",
     """SELECT o_orderkey::VARCHAR AS draft_id, o_orderpriority AS collection, 'r' || o_orderkey AS record_id, 'unknown' AS source_phase, 'unknown' AS confidence,
@@ -204,41 +166,6 @@ def draft_import(spark, d):
     return review.import_drafts(records, with_rejected=False)
 
 
-@register("X26_reviewer_questions", "SELECT p_partkey::VARCHAR AS ref, 'size' AS question FROM part WHERE p_size < 3 UNION ALL SELECT p_partkey::VARCHAR, 'type' FROM part WHERE p_type = 'PROMO' UNION ALL SELECT 'all', 'unmapped columns'")
-def reviewer_questions(spark, d):
-    asked = F.array_compact(F.array(F.when(F.col("p_size") < 3, F.lit("size")), F.when(F.col("p_type") == "PROMO", F.lit("type"))))
-    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("ref"), F.explode(asked).alias("question"))
-    return rows.unionByName(spark.createDataFrame([("all", "unmapped columns")], "ref string, question string"))
-
-
-@register("X28_mapping_drafts", "SELECT p_brand, array_to_string(list_sort(list_distinct(list(p_name)))[1:10], ',') AS examples, max(p_size) < 40 AS question FROM part GROUP BY p_brand")
-def mapping_drafts(spark, d):
-    examples = F.slice(F.array_sort(F.collect_set("p_name")), 1, 10)  # ten examples make a draft
-    out = table(spark, d, "part").groupBy("p_brand").agg(examples.alias("x"), F.max("p_size").alias("m"))
-    return out.select("p_brand", F.concat_ws(",", "x").alias("examples"), (F.col("m") < 40).alias("question"))
-
-
-@register("X29_profile_hash", "SELECT p_type, count(*) AS n, sum(p_partkey)::BIGINT AS ids, sha256(p_type || ':' || count(*) || ':' || sum(p_partkey)) AS digest FROM part GROUP BY p_type")
-def profile_hash(spark, d):
-    """A profile's digest from sums that combine before the shuffle, so no list of ids is gathered."""
-    out = table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("ids"))
-    return out.withColumn("digest", F.sha2(F.concat_ws(":", "p_type", F.col("n").cast("string"), F.col("ids").cast("string")).cast("binary"), 256))
-
-
-@register("X30_finding_messages", "SELECT l_orderkey, 'Record is missing ' || count(*) || ' field' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || '.' AS message FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey")
-def finding_messages(spark, d):
-    n = F.count(F.lit(1))
-    text = F.concat(F.lit("Record is missing "), n.cast("string"), F.lit(" field"), F.when(n == 1, "").otherwise("s"), F.lit("."))
-    return table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(text.alias("message"))
-
-
-@register("X32_coverage_areas", "SELECT area, EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = area) AS covered FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) t(area)")
-def coverage_areas(spark, d):
-    areas = spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("9-NONE",)], "area string")
-    seen = table(spark, d, "orders").select(F.col("o_orderpriority").alias("area")).distinct().withColumn("covered", F.lit(True))
-    return areas.join(seen, "area", "left").select("area", F.coalesce("covered", F.lit(False)).alias("covered"))
-
-
 @register("K4_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders")
 def upsert(spark, d):
     from tracemill.sources.sinks import upserted

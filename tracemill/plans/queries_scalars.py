@@ -206,13 +206,6 @@ def field_mapping(spark, d):
     return rows.select("p_partkey", "m.field_key", F.col("m.confidence").alias("confidence"))
 
 
-@register("P6_confidence_filters", "SELECT CASE WHEN p_size >= 30 THEN 'mapped' WHEN p_size >= 25 THEN 'low' ELSE 'question' END AS side, count(*) AS n FROM part GROUP BY 1")
-def confidence_filters(spark, d):
-    sure = F.col("p_size") / 50
-    side = F.when(sure >= 0.6, "mapped").when(sure >= 0.5, "low").otherwise("question")
-    return table(spark, d, "part").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("P7_placeholders", f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN ' TBD ' WHEN 1 THEN o_orderstatus ELSE '' END AS raw, lower(trim(CASE o_orderkey % 3 WHEN 0 THEN ' TBD ' WHEN 1 THEN o_orderstatus ELSE '' END)) NOT IN ({_PLACEHOLDERS}) AS answered FROM orders")
 def placeholders(spark, d):
     n = F.col("o_orderkey") % 3
@@ -220,13 +213,6 @@ def placeholders(spark, d):
     return table(spark, d, "orders").select("o_orderkey", raw.alias("raw"), S.is_answered(raw).alias("answered"))
 
 
-@register("P8_event_rows", "SELECT event_id FROM events WHERE event_type IN ('purchase', 'click') AND json_extract_string(props, '$.k') IS NOT NULL AND user_id % 2 = 0")
-def event_rows(spark, d):
-    keys = F.array_compact(F.array(F.when(F.col("event_type").isin("purchase", "click"), F.lit("event")), F.when(F.col("user_id") % 2 == 0, F.lit("item"))))
-    both = F.arrays_overlap(keys, F.array(F.lit("event"))) & F.arrays_overlap(keys, F.array(F.lit("item")))
-    return table(spark, d, "events").filter(both & F.get_json_object("props", "$.k").isNotNull()).select("event_id")
-
-
 @register("P9_first_present", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE c_name END AS value FROM customer")
 def first_present(spark, d):
     values = F.array(F.lit(""), F.lit("None"), F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), F.lit("null"), F.col("c_name"))

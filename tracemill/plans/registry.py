@@ -37,6 +37,7 @@ def _load() -> None:
         queries_extract,
         queries_io,
         queries_joins,
+        queries_normalized,
         queries_review,
         queries_scalars,
         queries_streams,
