@@ -71,6 +71,16 @@ def _joined(fields: Column) -> Column:
     return F.array_join(F.transform(fields, value), "|")
 
 
+def conflict_key() -> Column:
+    """What two drafts of one matter share, from their fields."""
+    return _joined(_by_collection(KEYS))
+
+
+def conflict_content() -> Column:
+    """What two drafts of one matter must not differ in."""
+    return _joined(_by_collection(CONTENTS))
+
+
 def gate_drafts(drafts: DataFrame, citations: DataFrame, chunks: DataFrame, schemas: DataFrame) -> DataFrame:
     """drafts with issues (code, fields), outcome, confidence and review_status.
 
@@ -113,7 +123,7 @@ def gate_drafts(drafts: DataFrame, citations: DataFrame, chunks: DataFrame, sche
     rows = rows.withColumn("issues", F.when(F.size("_broken") > 0, schema).otherwise(gates).cast(_ISSUES))
 
     passed = F.size("issues") == 0
-    rows = rows.withColumns({"_key": F.when(passed, _joined(_by_collection(KEYS))), "_content": F.when(passed, _joined(_by_collection(CONTENTS)))})
+    rows = rows.withColumns({"_key": F.when(passed, conflict_key()), "_content": F.when(passed, conflict_content())})
     said = rows.filter(passed).groupBy("collection", "_key").agg(F.min("_content").alias("_least"), F.max("_content").alias("_most"))
     torn = said.filter("_least <> _most").select("collection", "_key", F.lit(True).alias("_torn"))
     rows = rows.join(torn, ["collection", "_key"], "left").withColumn("_torn", F.coalesce("_torn", F.lit(False)))

@@ -47,15 +47,6 @@ def greedy_packing(spark, d):
     return R.pack_parts(pieces, "conv_id", ["turn", "role"], "size", 1800, 2).select("conv_id", "turn", "part")
 
 
-@register(
-    "X12_source_authority",
-    "SELECT page_id, CASE WHEN contains(url, '.example.org') THEN 'primary' WHEN contains(url, 'blog.') THEN 'commentary' ELSE 'secondary' END AS authority FROM pages",
-)
-def source_authority(spark, d):
-    rank = F.when(F.contains("url", F.lit(".example.org")), "primary").when(F.contains("url", F.lit("blog.")), "commentary").otherwise("secondary")
-    return table(spark, d, "pages").select("page_id", rank.alias("authority"))
-
-
 @register(
     "X17_source_version_diff",
     """WITH a AS (SELECT source, count(*) AS h FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1), b AS (SELECT source, count(*) AS h FROM documents WHERE source <> 'src3' GROUP BY 1)
@@ -74,29 +65,6 @@ def scenarios(spark, d):
     return pairs.select((F.col("r_regionkey") * 25 + F.col("n_nationkey") + 1).alias("scenario"), F.concat_ws("/", "r_name", "n_name").alias("name"))
 
 
-@register(
-    "X20_parser_harness",
-    """SELECT parser, count(*) AS n, count(*) FILTER (WHERE guess = toxic) AS right_ FROM (SELECT 'never' AS parser, 0 AS guess, toxic FROM labels
-       UNION ALL SELECT 'keyword', CASE WHEN contains(lower(text), 'idiot') THEN 1 ELSE 0 END, toxic FROM labels JOIN documents USING (doc_id)
-       UNION ALL SELECT 'length', CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END, toxic FROM labels JOIN documents USING (doc_id)) GROUP BY parser""",
-)
-def parser_harness(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    guesses = F.array(
-        F.struct(F.lit("never").alias("parser"), F.lit(0).alias("guess")),
-        F.struct(F.lit("keyword").alias("parser"), F.contains(F.lower("text"), F.lit("idiot")).cast("int").alias("guess")),
-        F.struct(F.lit("length").alias("parser"), (F.col("n_chars") > 2000).cast("int").alias("guess")),
-    )
-    each = rows.select("toxic", F.inline(guesses))  # one read for all parsers; none sees the label
-    return each.groupBy("parser").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("guess") == F.col("toxic")).alias("right_"))
-
-
-@register("X22_event_labeling", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'shipping' WHEN 'signup' THEN 'receiving' WHEN 'error' THEN 'abstain' ELSE '' END AS label FROM events")
-def event_labeling(spark, d):
-    label = F.when(F.col("event_type") == "purchase", "shipping").when(F.col("event_type") == "signup", "receiving").when(F.col("event_type") == "error", "abstain").otherwise("")
-    return table(spark, d, "events").select("event_id", label.alias("label"))
-
-
 @register(
     "X34_tenant_projects",
     """SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) OR o_custkey = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""",
@@ -107,12 +75,6 @@ def tenant_projects(spark, d):
     return mine.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey")  # a page of twenty
 
 
-@register("X39_source_dispatch", "SELECT CASE WHEN starts_with(lower(html), '<!doctype html') THEN 'html' WHEN starts_with(html, '<?xml') THEN 'xml' ELSE 'text' END AS parser, count(*) AS n FROM pages GROUP BY 1")
-def source_dispatch(spark, d):
-    parser = F.when(F.lower("html").startswith("<!doctype html"), "html").when(F.col("html").startswith("<?xml"), "xml").otherwise("text")
-    return table(spark, d, "pages").groupBy(parser.alias("parser")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("X40_template_rows", "SELECT n_nationkey * 5 + r_regionkey AS id, replace('ship {food} now', '{food}', lower(n_name)) || ' ' || r_name AS text FROM nation, region")
 def template_rows(spark, d):
     rows = table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region")))  # five regions at every scale

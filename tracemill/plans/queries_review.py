@@ -123,27 +123,6 @@ def auto_review(spark, d):
     return review.auto_review(drafts)
 
 
-@register("C25_registry_triage", "SELECT doc_id, CASE WHEN n_chars = 0 THEN 'blocking' WHEN n_chars < 100 THEN 'accepted' WHEN lang <> 'en' THEN 'remediation' ELSE 'none' END AS triage FROM documents")
-def triage(spark, d):
-    steps = [(F.col("n_chars") == 0, "blocking"), (F.col("n_chars") < 100, "accepted"), (F.col("lang") != "en", "remediation")]
-    return table(spark, d, "documents").select("doc_id", review.ladder(steps, "none").alias("triage"))
-
-
-@register("C15_single_filters", "SELECT kind, count(*) AS n FROM (SELECT 'scope' AS kind FROM part WHERE p_size > 45 UNION ALL SELECT 'assignment' FROM part WHERE p_type = 'PROMO' UNION ALL SELECT 'preservation' FROM part WHERE p_retailprice > 1500) GROUP BY kind")
-def single_filters(spark, d):
-    kinds = F.array_compact(
-        F.array(
-            F.when(F.col("p_size") > 45, F.lit("scope")), F.when(F.col("p_type") == "PROMO", F.lit("assignment")), F.when(F.col("p_retailprice") > 1500, F.lit("preservation"))
-        )
-    )
-    return table(spark, d, "part").select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # one read for all filters
-
-
-@register("X10_registry_projection", "SELECT doc_id, coalesce(nullif(lang, 'de'), source) AS label, coalesce(n_chars, 0) AS size FROM documents")
-def registry_projection(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif("lang", F.lit("de")), "source").alias("label"), F.coalesce("n_chars", F.lit(0)).alias("size"))
-
-
 @register("X11_drop_or_annotate", "SELECT doc_id, CASE WHEN contains(lower(text), '!!') AND source <> 'src1' THEN 'dropped' WHEN length(text) < 40 THEN 'citation_only' ELSE 'kept' END AS fate FROM documents")
 def drop_or_annotate(spark, d):
     docs = table(spark, d, "documents")
@@ -173,9 +152,3 @@ def upsert(spark, d):
     old = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     new = old.filter("o_orderkey % 4 = 0").withColumn("status", F.lit("new"))
     return upserted(old, new, ["o_orderkey"])
-
-
-@register("K8_package_metrics", "SELECT 'orders' AS metric, count(*) AS n FROM orders UNION ALL SELECT 'urgent', count(*) FILTER (WHERE o_orderpriority = '1-URGENT') FROM orders UNION ALL SELECT 'partial', count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders")
-def package_metrics(spark, d):
-    total = table(spark, d, "orders").agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"))
-    return total.unpivot([], ["orders", "urgent", "partial"], "metric", "n")

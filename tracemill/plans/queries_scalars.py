@@ -143,18 +143,6 @@ def row_ids(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.row_hash_id("run-", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("row_id"))
 
 
-@register("F18_sentence_split", "SELECT item_id, len(regexp_split_to_array(text, '\\.\\s+')) AS sentences FROM benchmark")
-def sentences(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.size(F.split("text", r"(?<=\.)\s+")).cast("long").alias("sentences"))
-
-
-@register("F19_inference", "SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'required' WHEN contains(lower(o_orderpriority), 'not') THEN 'conditional' ELSE 'optional' END AS need FROM orders")
-def inference(spark, d):
-    text = F.lower("o_orderpriority")
-    need = F.when(S.contains_any(text, ["urgent"]), "required").when(S.contains_any(text, ["not"]), "conditional").otherwise("optional")
-    return table(spark, d, "orders").select("o_orderkey", need.alias("need"))
-
-
 @register(
     "F20_token_support",
     """WITH w AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark), c AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ds FROM documents)
@@ -170,33 +158,12 @@ def token_support(spark, d):
     return joined.select(F.col("doc_id").alias("item_id"), overlap.cast("long").alias("overlap"), (overlap >= need).alias("supported"))
 
 
-@register(
-    "F21_conflict_signature",
-    "SELECT lower(p_brand) || '|' || lower(p_type) AS signature, count(DISTINCT p_size) AS variants FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1",
-)
-def signatures(spark, d):
-    key = F.concat_ws("|", F.lower("p_brand"), F.lower("p_type"))
-    return table(spark, d, "part").groupBy(key.alias("signature")).agg(F.count_distinct("p_size").alias("variants")).filter("variants > 1")
-
-
-@register("F25_cell_pointer", "SELECT s_suppkey, split_part(s_name, '#', 1) AS sheet, split_part(s_name, '#', 2)::BIGINT AS row_no FROM supplier")
-def pointers(spark, d):
-    part = lambda k: F.regexp_extract("s_name", r"^([A-Za-z]+)#(\d+)$", k)
-    return table(spark, d, "supplier").select("s_suppkey", part(1).alias("sheet"), part(2).cast("long").alias("row_no"))
-
-
 @register("F26_boolean", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS answer FROM lineitem")
 def booleans(spark, d):
     said = F.when(F.col("l_returnflag") == "R", " Yes").when(F.col("l_returnflag") == "A", "N").otherwise("perhaps")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.tri_state(said).alias("answer"))
 
 
-@register("F28_json", "SELECT (json_extract_string(props, '$.k'))::BIGINT % 10 AS digit, count(*) AS n FROM events GROUP BY 1")
-def json_values(spark, d):
-    digit = F.get_json_object("props", "$.k").cast("long") % 10
-    return table(spark, d, "events").groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("P5_field_mapping", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'quantity' WHEN p_size % 3 = 1 THEN 'traceability_lot_code' ELSE trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') END AS field_key, CASE WHEN p_size % 3 = 0 THEN 0.98 WHEN p_size % 3 = 1 THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence FROM part")
 def field_mapping(spark, d):
     from tracemill.operators.evidence import map_field
@@ -219,22 +186,6 @@ def first_present(spark, d):
     return table(spark, d, "customer").select("c_custkey", S.first_present(values).alias("value"))
 
 
-@register("P10_source_selection", "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en' ORDER BY doc_id LIMIT 10")
-def source_selection(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("source").isin("src1", "src2") & (F.col("lang") == "en"))
-    return rows.select("doc_id", "source").orderBy("doc_id").limit(10)  # ten chunks a prompt is the feature
-
-
-@register("P11_approved_only", "SELECT event_id FROM events WHERE (json_extract_string(props, '$.k'))::BIGINT >= 50")
-def approved_only(spark, d):
-    return table(spark, d, "events").withColumn("meta", F.from_json("props", "k bigint")).filter("meta.k >= 50").select("event_id")
-
-
-@register("P12_active", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
-def active(spark, d):
-    return table(spark, d, "nation").filter("n_regionkey = 1").select("n_nationkey", "n_name")
-
-
 @register(
     "P4_unpivot",
     """SELECT o_orderkey AS k, 1 AS column_index, 'status' AS column_name, o_orderstatus AS raw_value FROM orders

@@ -38,6 +38,7 @@ def _load() -> None:
         queries_io,
         queries_joins,
         queries_normalized,
+        queries_registry,
         queries_review,
         queries_scalars,
         queries_streams,
