@@ -139,3 +139,37 @@ def test_follow_ups(spark):
     found = jobs_of.follow_ups(spark.createDataFrame(rows, columns))
     assert [(r.job_id, r.priority, r.previous_job_id) for r in found.collect()] == [("execute_approved_rules:a", 110, "a")]
     assert jobs_of.follow_ups(spark.createDataFrame(rows, columns).unionByName(found)).count() == 0
+
+
+def test_template_scan(spark):
+    from tracemill.sources import template
+
+    cells = spark.createDataFrame(
+        [("a", "One", 1, [" Key ", "Name!", "Key"]), ("a", "One", 2, ["k", " n ", "last"]), ("a", "One", 4, [None]), ("a", "Other", 1, ["x"]), ("b", "Two", 3, ["Date"]), ("b", "One", 1, None)],
+        "file string, sheet string, row_number int, cells array<string>",
+    )
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "file string")
+    records, errors = template.template_scan(files, cells, {"One": ["key", "name"], "Two": ["date", "place"]})
+    assert sorted((r.file, r.sheet, r.row_number, tuple(sorted(r["values"].items()))) for r in records.collect()) == [
+        ("a", "One", 2, (("key", "last"), ("name", "n"))), ("a", "One", 4, (("key", ""), ("name", ""))),
+    ]
+    assert sorted(map(tuple, errors.collect()), key=str) == sorted(
+        [
+            ("a", "Two", None, template.NO_SHEET), ("b", "One", None, template.NO_SHEET), ("b", "Two", "place", template.NO_COLUMN), ("c", "One", None, template.NO_SHEET),
+            ("c", "Two", None, template.NO_SHEET),
+        ], key=str,
+    )
+
+
+def test_places_within_keys(spark):
+    from pyspark.sql import functions as F
+
+    from tracemill.operators.relational import first_rows_of, place_across
+
+    rows = [("a", k) for k in range(500)] + [("b", 3), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows[::-1], "g string, k int").repartition(7)
+    got = place_across(df, ["g"], [F.col("k")], "n").collect()
+    assert sorted(((r.g, r.k, r.n) for r in got), key=str) == sorted([("a", k, k + 1) for k in range(500)] + [("b", 3, 1), (None, 1, 1), (None, 2, 2)], key=str)
+    assert sorted(r.n for r in place_across(df, [], [F.col("k"), F.col("g")], "n").collect()) == list(range(1, 504))
+    assert place_across(df.filter("false"), ["g"], [F.col("k")], "n").count() == 0
+    assert sorted((r.g or "", r._n) for r in first_rows_of(df, ["g"], [F.col("k")], 2).collect()) == [("", 1), ("", 2), ("a", 1), ("a", 2), ("b", 1)]

@@ -63,19 +63,42 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], prefix: str, n
     return df.withColumn(name, F.concat(F.lit(prefix), _padded(n)))
 
 
-def numbered_across(df: DataFrame, order: list[Column], prefix: str, name: str) -> DataFrame:
-    """Ids such as prefix0001 over all rows in order: ranges of the order are counted, and each row is numbered from its range's offset.
+def place_across(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """The rows' places from 1, in order, within each key (in the whole table without keys): ranges of the order are counted, and each row is placed from its range's offset.
 
-    No task sorts more than a range. Rows that tie in order are numbered as they come. An empty table stays empty.
+    No task sorts more than a range, however many rows a key has. Rows that tie are placed as they come. The ranges are fixed once by a checkpoint, so that a lost executor's rows
+    get the same places again; a cluster without a checkpoint folder is refused.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    # the ranges are fixed once, so that counts and numbers agree
-    held = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
-    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a shuffle partition
-    n = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
-    return held.join(F.broadcast(offsets), "_range").withColumn(name, F.concat(F.lit(prefix), _padded(n))).drop("_range", "_before")
+    context = df.sparkSession.sparkContext
+    by = [*(F.col(k) for k in keys), *order]
+    ranged = df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
+    if context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise ValueError("set a checkpoint folder that the driver and all executors share")
+    held = ranged.checkpoint() if context.getCheckpointDir() else ranged.persist()
+    sizes = held.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", *keys, F.coalesce(before, F.lit(0)).alias("_before"))
+    if keys:
+        later = offsets.filter(F.col("_before") > 0).withColumnsRenamed({k: f"_{k}" for k in keys})  # keys that go on from an earlier range, one a range at most
+    else:
+        later = offsets
+    same = [held["_range"] == F.col("r")] + [held[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
+    condition = same[0]
+    for more in same[1:]:
+        condition = condition & more
+    rows = held.join(F.broadcast(later.withColumnRenamed("_range", "r")), condition, "left")  # as many rows as ranges
+    n = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)) + F.coalesce("_before", F.lit(0))
+    return rows.withColumn(name, n).drop("_range", "r", "_before", *(f"_{k}" for k in keys))
+
+
+def numbered_across(df: DataFrame, order: list[Column], prefix: str, name: str) -> DataFrame:
+    """Ids such as prefix0001 over all rows in order, as place_across counts them. An empty table stays empty."""
+    return place_across(df, [], order, name).withColumn(name, F.concat(F.lit(prefix), _padded(F.col(name))))
+
+
+def first_rows_of(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each key, with their places as _n; each task keeps so many before the shuffle."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= most)
 
 
 def segments(df: DataFrame, keys: list[str], order: list[Column], opens: Column) -> DataFrame:

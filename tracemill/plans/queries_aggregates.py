@@ -30,8 +30,11 @@ def multimap(spark, d):
     """SELECT p_brand, p_type, max(p_size) AS confidence, array_to_string(list_sort(list(p_partkey))[1:25], ',') AS examples FROM part GROUP BY ALL""",
 )
 def mapping_summary(spark, d):
-    ids = F.slice(F.array_sort(F.collect_list("p_partkey")), 1, 25)  # at most 25 examples is the feature
-    grouped = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.max("p_size").alias("confidence"), ids.alias("ids"))
+    keys = ["p_brand", "p_type"]
+    part = table(spark, d, "part")
+    first = R.first_rows_of(part.select(*keys, "p_partkey"), keys, [F.col("p_partkey")], 25)  # at most 25 examples is the feature
+    ids = first.groupBy(*keys).agg(F.array_sort(F.collect_list("p_partkey")).alias("ids"))
+    grouped = part.groupBy(*keys).agg(F.max("p_size").alias("confidence")).join(ids, keys)
     return grouped.select("p_brand", "p_type", "confidence", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("examples"))
 
 
@@ -48,8 +51,8 @@ def conflict_detection(spark, d):
     """SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS roles, count(*) AS turns FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) <= 100) GROUP BY conv_id""",
 )
 def document_profile(spark, d):
-    first = F.slice(F.sort_array(F.collect_list(F.struct("turn", "role"))), 1, 100)  # the first hundred make a profile
-    grouped = table(spark, d, "conversations").groupBy("conv_id").agg(first.alias("x"))
+    first = R.first_rows_of(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn"), F.col("role")], 100)  # the first hundred make a profile
+    grouped = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"))
     return grouped.select("conv_id", F.concat_ws(" ", F.transform("x", lambda r: r["role"])).alias("roles"), F.size("x").cast("long").alias("turns"))
 
 

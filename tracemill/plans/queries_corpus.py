@@ -80,16 +80,3 @@ def template_rows(spark, d):
     rows = table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region")))  # five regions at every scale
     text = F.concat_ws(" ", F.replace(F.lit("ship {food} now"), F.lit("{food}"), F.lower("n_name")), "r_name")
     return rows.select((F.col("n_nationkey") * 5 + F.col("r_regionkey")).alias("id"), text.alias("text"))
-
-
-@register("X41_readiness_fallback", "SELECT c_custkey, coalesce(max(o_orderstatus), 'unknown') AS readiness FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY c_custkey")
-def readiness_fallback(spark, d):
-    latest = table(spark, d, "orders").filter("o_totalprice > 200000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderstatus").alias("s"))
-    return table(spark, d, "customer").join(latest, "c_custkey", "left").select("c_custkey", F.coalesce("s", F.lit("unknown")).alias("readiness"))
-
-
-@register("S14_template_columns", "SELECT col AS missing FROM (VALUES ('o_orderkey'), ('o_shipmode'), ('o_custkey'), ('o_carrier')) t(col) WHERE col NOT IN ('o_orderkey', 'o_custkey', 'o_orderstatus')")
-def template_columns(spark, d):
-    wanted = spark.createDataFrame([(c,) for c in ("o_orderkey", "o_shipmode", "o_custkey", "o_carrier")], "missing string")
-    actual = spark.createDataFrame([(c,) for c in table(spark, d, "orders").columns], "missing string")
-    return R.without_match(wanted, actual, ["missing"])

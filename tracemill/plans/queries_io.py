@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import jobs, ontology
 from tracemill.plans.registry import register, table
-from tracemill.sources import early_stop, readers, sinks
+from tracemill.sources import early_stop, readers, sinks, template
 
 
 def scratch(spark) -> str:
@@ -262,3 +262,34 @@ def early_stop_scan(spark, d):
     rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).option("sep", "\t").option("compression", "gzip").csv(folder)
     found = early_stop.first_rows(spark, folder, 40, "status", ("F", "P"), ("o_orderkey", "name"))
     return found.select(F.col("class").alias("status"), F.element_at("values", "o_orderkey").cast("long").alias("o_orderkey"))
+
+
+#: A template: a tab of the exported workbooks, a column that they don't have, and a tab that is missing in some of them.
+TEMPLATE = {"shipping": ["key", "a_priority", "carrier"], "Findings": ["finding"], "Summary": ["events"]}
+
+
+def template_parts(spark, d):
+    files = workbook_files(spark, d)
+    return template.template_scan(files.select(F.col("path").alias("file")), readers.workbook_cells(files), TEMPLATE)
+
+
+@register(
+    "S14_template_rows",
+    """SELECT o_custkey || '.xlsx' AS file, 'shipping' AS sheet, (1 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS row_number, o_orderkey || '|' || o_orderpriority AS said FROM orders WHERE o_orderstatus = 'O'
+       UNION ALL SELECT o_custkey || '.xlsx', 'Findings', (1 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT, '<' || o_orderkey || '>' FROM orders WHERE o_orderpriority = '1-URGENT'
+       UNION ALL SELECT o_custkey || '.xlsx', 'Summary', 2, count(*)::VARCHAR FROM orders GROUP BY o_custkey""",
+)
+def template_rows(spark, d):
+    """Records of the sheets that the template names, of each customer's workbook."""
+    get = lambda k: F.try_element_at("values", F.lit(k))
+    return template_parts(spark, d)[0].select("file", "sheet", "row_number", F.concat_ws("|", get("key"), get("a_priority"), get("finding"), get("events")).alias("said"))
+
+
+@register(
+    "S14_template_columns",
+    """WITH c AS (SELECT o_custkey || '.xlsx' AS file, bool_or(o_orderstatus = 'O') AS s, bool_or(o_orderpriority = '1-URGENT') AS f FROM orders GROUP BY o_custkey)
+       SELECT file, 'shipping' AS sheet, CASE WHEN s THEN 'carrier' END AS "column", CASE WHEN s THEN 'Required column is missing.' ELSE 'Required sheet is missing.' END AS reason FROM c
+       UNION ALL SELECT file, 'Findings', NULL, 'Required sheet is missing.' FROM c WHERE NOT f""",
+)
+def template_columns(spark, d):
+    return template_parts(spark, d)[1]

@@ -8,9 +8,11 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.relational import place_across
+
 _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACK = "http://schemas.openxmlformats.org/package/2006"
@@ -95,8 +97,8 @@ def export_workbooks(rows: DataFrame, order: list[str], part_rows: int = 50_000)
     """
     place = F.when(F.col("tab") == "Summary", 0).when(F.col("tab") == "Findings", 2).otherwise(1)
     placed = rows.withColumn("_place", place).withColumn("fields", F.to_json("fields"))
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("_place", "tab", *order))
-    parts = placed.withColumn("_n", n).withColumn("part", F.floor((F.col("_n") - 1) / part_rows).cast("int"))
+    numbered = place_across(placed, ["run_id"], [F.col("_place"), F.col("tab"), *map(F.col, order)], "_n")
+    parts = numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_rows).cast("int"))
 
     def make(frame: pd.DataFrame) -> pd.DataFrame:
         tabs: dict[str, list[dict]] = {}
