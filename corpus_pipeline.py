@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without letters, go; a null doc_id stays; rows that repeat a doc_id go together if one of
     them is rejected. All columns are kept as they are; an empty table stays empty.
     """
-    small_batches(spark)
+    small_batches(spark, 300)
     found = identify(document_evidence(docs), train_trigrams(docs))
     return without(docs, found.filter("rejected"))
 
@@ -47,7 +47,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is judged by its own text, whatever its id; null and empty texts stay. All columns are kept as
     they are; an empty table stays empty, and without labels nothing goes.
     """
-    small_batches(spark)
+    small_batches(spark, 300)
     return clean(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -57,7 +57,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows that repeat a doc_id are one document, kept or dropped together; null ids and null or empty texts stay. All columns are kept
     as they are; an empty table stays empty.
     """
-    small_batches(spark)
+    small_batches(spark, 300)
     classes = jaccard_classes(docs)
     return without(docs, classes.filter(F.col("component_id") != F.col("doc_id")))
 
@@ -68,14 +68,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     n_chars, where it is a column, is counted anew; other columns are kept as they are. Null texts and null ids stay as they
     are; rows that repeat a doc_id lose the same word places. An empty table stays empty.
     """
-    small_batches(spark)
+    small_batches(spark, 300)
     out = remove_passages(docs, durable(passages(docs)))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the pieces of every row's text. Null and empty texts are one end id; rows that repeat are packed each; an empty table gives none."""
-    small_batches(spark)
+    small_batches(spark, 300)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
