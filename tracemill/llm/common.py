@@ -145,7 +145,7 @@ _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text hashed at once; a longer word is hashed alone.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 @functools.lru_cache(1)

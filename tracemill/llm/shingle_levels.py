@@ -25,7 +25,7 @@ from tracemill.llm.common import batches, forgetting, shingle_sequences
 CELLS_LOG2 = 25
 #: Shingles that one reducing group holds, about, and the fewest ranges (as a power of two).
 PER_RANGE, LEAST_RANGES_LOG2 = 2_000_000, 8
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def _blocks(ranges_log2: int, column: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
