@@ -99,3 +99,12 @@ def test_drift_and_gate(spark):
     assert E.publication_gate(calm, results, approved=True).first().publication_gate == "pass"
     assert E.publication_gate(calm, results, approved=False).first().publication_gate == "blocked"
     assert E.publication_gate(calm, results.unionByName(spark.createDataFrame([("fail",)], "status string")), approved=True).first().status == "needs_review"
+
+
+def test_templates(spark):
+    contexts = spark.createDataFrame([(0, "basil", None), (3, "{lot}", "L1")], "n long, food string, lot string")
+    templates = [{"text": "ship {food} of {lot}", "expected_ctes": ["shipping"]}, {"text": "{food} rejected, {food}", "expected_abstentions": ["shipping"]}]
+    rows = E.expand_templates(contexts, templates, "n", ["lot", "food"])
+    assert sorted((r.case_id, r.observed_text, r.expected_ctes, r.expected_abstentions) for r in rows.collect()) == [
+        (1, "ship basil of ", ["shipping"], []), (2, "basil rejected, basil", [], ["shipping"]), (7, "ship {lot} of L1", ["shipping"], []), (8, "{lot} rejected, {lot}", [], ["shipping"]),
+    ]

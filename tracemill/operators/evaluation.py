@@ -18,6 +18,25 @@ _TEXTS = "array<string>"
 ERRORS = ["over_triggered_cte", "missed_cte", "missing_abstention", "unexpected_abstention"]
 
 
+def expand_templates(contexts: DataFrame, templates: list[dict], number: str, names: list[str], text: str = "observed_text") -> DataFrame:
+    """Cases of every context by every template: case_id, template (from 0), the text with {name} filled in, and what the template expects.
+
+    contexts: a number from 0 and columns that the texts name. templates: text, expected_ctes, expected_abstentions. Ids count templates within contexts, from 1, so that a case keeps its id when contexts are added. Templates are a short list in each row's expression; nothing is joined.
+    A null value leaves its place empty.
+    """
+    labels = lambda found: F.array(*map(F.lit, found or ())).cast(_TEXTS)
+
+    def filled(template: str) -> Column:
+        out = F.lit(template)
+        for name in names:
+            out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+        return out
+
+    made = F.array(*(F.struct(filled(t["text"]).alias(text), labels(t.get("expected_ctes")).alias("expected_ctes"), labels(t.get("expected_abstentions")).alias("expected_abstentions")) for t in templates))
+    rows = contexts.select("*", F.posexplode(made).alias("template", "_case"))
+    return rows.withColumn("case_id", F.col(number) * len(templates) + F.col("template") + 1).select(*contexts.columns, "case_id", "template", "_case.*")
+
+
 def evaluate(cases: DataFrame, predict: Predictor, text: str = "observed_text") -> DataFrame:
     """cases (expected_ctes, expected_abstentions, ...) with predicted_ctes, predicted_abstentions, errors in the order of ERRORS, and status.
 

@@ -59,12 +59,6 @@ def version_diff(spark, d):
     return R.record_diff(count(docs.filter("doc_id % 3 <> 0")), count(docs.filter("source <> 'src3'")), ["source"], "h")
 
 
-@register("X18_scenario_generator", "SELECT r_regionkey * 25 + n_nationkey + 1 AS scenario, r_name || '/' || n_name AS name FROM region, nation")
-def scenarios(spark, d):
-    pairs = table(spark, d, "region").crossJoin(F.broadcast(table(spark, d, "nation")))  # 25 nations at every scale
-    return pairs.select((F.col("r_regionkey") * 25 + F.col("n_nationkey") + 1).alias("scenario"), F.concat_ws("/", "r_name", "n_name").alias("name"))
-
-
 @register(
     "X34_tenant_projects",
     """SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) OR o_custkey = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""",
@@ -73,10 +67,3 @@ def tenant_projects(spark, d):
     members = table(spark, d, "customer").filter("c_nationkey = 3 or c_custkey = 1").select(F.col("c_custkey").alias("o_custkey"))
     mine = R.with_match(table(spark, d, "orders"), members, ["o_custkey"])
     return mine.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey")  # a page of twenty
-
-
-@register("X40_template_rows", "SELECT n_nationkey * 5 + r_regionkey AS id, replace('ship {food} now', '{food}', lower(n_name)) || ' ' || r_name AS text FROM nation, region")
-def template_rows(spark, d):
-    rows = table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region")))  # five regions at every scale
-    text = F.concat_ws(" ", F.replace(F.lit("ship {food} now"), F.lit("{food}"), F.lower("n_name")), "r_name")
-    return rows.select((F.col("n_nationkey") * 5 + F.col("r_regionkey")).alias("id"), text.alias("text"))

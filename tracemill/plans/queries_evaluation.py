@@ -194,3 +194,38 @@ def drift_monitor(spark, d):
     rules = spark.createDataFrame(rules, "measure string, kind string, most double, suites array<string>")
     before = docs.filter("doc_id % 20 <> 0 and not (lang = 'es' and source = 'src1') and lang <> 'fr'")
     return E.drift(measured(docs), measured(before), rules).select("input", "measure", "before", "now", "change", "alert", F.array_join("rerun", ",").alias("rerun"))
+
+
+TEMPLATES = [
+    {"text": "{food} in cases, outbound to retail customer by {brand}", "expected_ctes": ["shipping"]},
+    {"text": "{brand} received {food} from supplier", "expected_ctes": ["receiving"]},
+    {"text": "Credit memo for {food}", "expected_abstentions": ["shipping"]},
+    {"text": "Recipe transforms input lot of {food} into a new product", "expected_ctes": ["transformation"]},
+]
+_TEMPLATES = "[" + ", ".join(f"struct_pack(t := '{t['text']}', e := {_sql_list(t.get('expected_ctes', []))}::VARCHAR[], a := {_sql_list(t.get('expected_abstentions', []))}::VARCHAR[])" for t in TEMPLATES) + "]"
+
+
+def expanded(spark, d):
+    """Every part in every template."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("n"), F.col("p_name").alias("food"), F.when(F.col("p_size") > 5, F.col("p_brand")).alias("brand"))
+    return E.expand_templates(parts, TEMPLATES, "n", ["food", "brand"])
+
+
+_CASES = f"""SELECT n * 4 + i AS case_id, (i - 1)::INTEGER AS template, replace(replace(s.t, '{{food}}', food), '{{brand}}', brand) AS observed_text, s.e AS expected_ctes, s.a AS expected_abstentions
+  FROM (SELECT p_partkey AS n, coalesce(p_name, '') AS food, CASE WHEN p_size > 5 THEN p_brand ELSE '' END AS brand, unnest({_TEMPLATES}) AS s, generate_subscripts({_TEMPLATES}, 1) AS i FROM part)"""
+
+
+@register("X18_scenario_generator", f"SELECT case_id, template, array_to_string(expected_ctes, ',') AS expected, array_to_string(expected_abstentions, ',') AS abstain FROM ({_CASES})")
+def scenario_generator(spark, d):
+    return expanded(spark, d).select("case_id", "template", F.array_join("expected_ctes", ",").alias("expected"), F.array_join("expected_abstentions", ",").alias("abstain"))
+
+
+@register("X40_template_rows", f"SELECT case_id AS id, observed_text AS text FROM ({_CASES})")
+def template_rows(spark, d):
+    return expanded(spark, d).select(F.col("case_id").alias("id"), F.col("observed_text").alias("text"))
+
+
+@register("X40_template_scores", "SELECT i::INTEGER AS template, n AS record_count, n AS pass_count FROM (SELECT count(*) AS n FROM part), range(4) t(i)")
+def template_scores(spark, d):
+    """The predictor over all expanded cases, by template: every one is right."""
+    return E.scores(E.evaluate(expanded(spark, d), predictor), ["template"]).select("template", "record_count", "pass_count")
