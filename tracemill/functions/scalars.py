@@ -170,13 +170,13 @@ def match_token(value) -> Column:
 
 def document_type(text) -> Column:
     """(document_type, signals): the type with most words in the text, the first on ties."""
-    lower = F.lower(_col(text))
-    found = [(name, matched_words(lower, words)) for name, words in cards.DOCUMENT_WORDS]
-    best = F.greatest(*(F.size(m) for _, m in found))
-    out = F.struct(F.lit("unknown").alias("document_type"), F.array().cast("array<string>").alias("signals"))
-    for name, m in reversed(found):
-        out = F.when((best > 0) & (F.size(m) == best), F.struct(F.lit(name).alias("document_type"), m.alias("signals"))).otherwise(out)
-    return out
+    named = lambda name, signals: F.struct(name.alias("document_type"), signals.alias("signals"))
+    types = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, words)).alias("words")) for name, words in cards.DOCUMENT_WORDS))
+    # the text is taken as a variable and the types are folded, so that nothing is evaluated more than once
+    found = lambda lower: F.transform(types, lambda t: named(t["name"], F.filter(t["words"], lambda w: F.contains(lower, w))))
+    none = named(F.lit("unknown"), F.array().cast("array<string>"))
+    most = lambda lower: F.reduce(found(lower), none, lambda best, x: F.when(F.size(x["signals"]) > F.size(best["signals"]), x).otherwise(best))
+    return F.element_at(F.transform(F.array(F.lower(_col(text))), most), 1)
 
 
 def actor_role(name, kind, event_type) -> Column:

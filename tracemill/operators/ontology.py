@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.scalars import document_type, slug, strip, title, tri_state
+from tracemill.functions.scalars import document_type, slug, strip, tri_state
 
 # Sheets of the legacy template, and the states and event kinds that its cells may name.
 BUSINESS, PRODUCTS, PLAN = "00_Business_Profile", "01_Product_Master", "04_Traceability_Plan"
@@ -24,6 +24,7 @@ PLAN_ITEMS = ["record_maintenance_procedure", "ftl_identification_procedure", "t
 PRODUCT_TERMS = ["basil", "tuna", "cucumber", "cheese", "sprouts", "lettuce", "tomato", "melon", "pepper", "salad"]
 LOT_IN_NAME = r"(?i)\b(?:tlc|lot|batch)\s*#?\s*([A-Z0-9][A-Z0-9.-]{2,})\b"
 DATE_IN_NAME = r"\b(20\d{2}[-_/ ]\d{1,2}[-_/ ]\d{1,2}|\d{1,2}[-_/ ]\d{1,2}[-_/ ]20\d{2})\b"
+PRODUCT_IN_NAME = rf"(?i)\b({'|'.join(PRODUCT_TERMS)})\b"
 PLACE_IN_NAME = r"(?i)(\b(?:farm|warehouse|facility|plant|restaurant|store|vessel|dock)\s+[A-Z0-9][A-Za-z0-9 .-]{1,30})"
 
 
@@ -136,19 +137,24 @@ def ontology(rows: DataFrame) -> dict[str, DataFrame]:
 
 def name_facts(name: Column) -> Column:
     """Facts that a file's or sheet's name states, in order: lots, dates, kind of document, products, place."""
-    name = F.coalesce(name, F.lit(""))
+    # a variable of one function: however the name is made, it is made once
+    return F.element_at(F.transform(F.array(F.coalesce(name, F.lit(""))), _facts_of), 1)
+
+
+def _facts_of(name: Column) -> Column:
     spaced = F.replace(name, F.lit("_"), F.lit(" "))
     plain = F.replace(spaced, F.lit("-"), F.lit(" "))
     fact = lambda key, value, sure: F.struct(F.lit(key).alias("field_key"), value.alias("raw_value"), F.lit(sure).alias("confidence"))
     each = lambda text, pattern, key, sure, change=lambda v: v: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda v: fact(key, change(v), sure))
-    kind = document_type(name)
+    kind = F.filter(F.array(document_type(name)), lambda k: F.size(k["signals"]) > 0)
+    products = F.transform(F.regexp_extract_all(plain, F.lit(PRODUCT_IN_NAME), 1), F.lower)
     place = F.regexp_extract(name, PLACE_IN_NAME, 1)
     return F.concat(
         each(spaced, LOT_IN_NAME, "traceability_lot_code", 0.82, F.upper),
         each(plain, DATE_IN_NAME, "event_datetime", 0.78),
-        F.array_compact(F.array(F.when(F.size(kind["signals"]) > 0, fact("source_document_type", kind["document_type"], 0.86)))),
-        F.array_compact(F.array(*(F.when(plain.rlike(rf"(?i)\b{t}\b"), fact("product_name", title(F.lit(t)), 0.62)) for t in PRODUCT_TERMS))),
-        F.array_compact(F.array(F.when(place != "", fact("location_name", strip(place), 0.66)))),
+        F.transform(kind, lambda k: fact("source_document_type", k["document_type"], 0.86)),
+        F.transform(F.array_intersect(F.array(*map(F.lit, PRODUCT_TERMS)), products), lambda t: fact("product_name", F.initcap(t), 0.62)),
+        F.transform(F.filter(F.array(place), lambda p: p != ""), lambda p: fact("location_name", strip(p), 0.66)),
     )
 
 
