@@ -173,3 +173,18 @@ def test_places_within_keys(spark):
     assert sorted(r.n for r in place_across(df, [], [F.col("k"), F.col("g")], "n").collect()) == list(range(1, 504))
     assert place_across(df.filter("false"), ["g"], [F.col("k")], "n").count() == 0
     assert sorted((r.g or "", r._n) for r in first_rows_of(df, ["g"], [F.col("k")], 2).collect()) == [("", 1), ("", 2), ("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_files_pass_in_few_batches(spark):
+    """Small files share batches and no group is made for a file; a long run beside short ones is still cut into files."""
+    rows = [(f"r{k}", "Summary", 0, {"n": str(k)}) for k in range(40)] + [("long", f"t{k % 2}", k, {"k": str(k)}) for k in range(25)] + [(None, "Summary", 0, {"n": None})]
+    df = spark.createDataFrame(rows, "run_id string, tab string, n int, fields map<string,string>").repartition(5)
+    made = sinks.export_workbooks(df, ["n"], part_rows=10)
+    assert sorted(((r.run_id or "", r.part) for r in made.select("run_id", "part").collect())) == sorted([("", 0), *((f"r{k}", 0) for k in range(40)), *(("long", p) for p in range(3))])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    cells = readers.workbook_cells(made.filter("run_id = 'long'").select(F.col("part").cast("string").alias("path"), "content"))
+    assert sorted(int(r.cells[0]) for r in cells.filter("row_number > 1").collect()) == list(range(25))
+    found = readers.evidence_cells(made.select(F.concat_ws(".", F.coalesce("run_id", F.lit("none")), F.lit("xlsx")).alias("path"), "content"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # files are made once and read once
+    assert found.filter("row_number = 2").count() == 40 + 4  # a tab has its header again in each file, a row without filled cells isn't there
