@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- Fixed values: what is said of a missing sheet or column.
@@ -25,13 +25,15 @@ def template_scan(files: DataFrame, cells: DataFrame, template: dict[str, list[s
     spark = cells.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(s, c) for s, c in template.items()], "sheet string, columns array<string>"))  # a template's own size
     inside = cells.join(wanted.select("sheet"), "sheet", "left_semi")
-    first = inside.groupBy("file", "sheet").agg(F.min_by(F.struct("row_number", "cells"), "row_number").alias("h"))
-    heads = first.select("file", "sheet", F.col("h.row_number").alias("at"), F.transform("h.cells", header_name).alias("headers"))
-    rows = inside.join(heads, ["file", "sheet"]).filter(F.col("row_number") > F.col("at"))
+    # records get their header within one pass over the cells, sheet by sheet, as cells may be dear to read
+    header = F.first(F.struct("row_number", F.transform("cells", header_name).alias("headers"))).over(Window.partitionBy("file", "sheet").orderBy(F.asc_nulls_last("row_number")))
+    rows = inside.withColumn("_h", header).filter(F.col("row_number") > F.col("_h.row_number")).withColumn("headers", F.col("_h.headers"))
     value = F.transform("headers", lambda h, i: F.struct(h.alias("h"), F.trim(F.coalesce(F.get("cells", i), F.lit(""))).alias("v"), i.alias("i")))
     last = F.filter(value, lambda x: ~F.exists(value, lambda y: (y["h"] == x["h"]) & (y["i"] > x["i"])))
     records = rows.select("file", "sheet", "row_number", F.map_from_entries(F.transform(last, lambda x: F.struct(x["h"], x["v"]))).alias("values"))
 
+    first = inside.groupBy("file", "sheet").agg(F.min_by(F.struct("row_number", "cells"), "row_number").alias("h"))
+    heads = first.select("file", "sheet", F.transform("h.cells", header_name).alias("headers"))
     due = files.select("file").distinct().crossJoin(wanted).join(heads, ["file", "sheet"], "left")  # each file by the few sheets of the template
     gone = F.when(F.col("headers").isNull(), F.array(F.struct(F.lit(None).cast("string").alias("column"), F.lit(NO_SHEET).alias("reason"))))
     lacking = F.transform(F.array_except("columns", F.coalesce("headers", F.array().cast("array<string>"))), lambda c: F.struct(c.alias("column"), F.lit(NO_COLUMN).alias("reason")))
