@@ -21,6 +21,21 @@ def with_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_semi")
 
 
+def linked_counts(left: DataFrame, right: DataFrame, key: str = "k", left_id: str = "id", right_id: str = "r") -> DataFrame:
+    """(left_id, linked, first): how many distinct ids of the right rows share a key with each left id, and the least of them; ids without any aren't there.
+
+    Rows are (id, key) with repeats. Ids that have all their keys in common make a class, and classes are joined, so a key that very many ids share costs one
+    row for each pair of classes, never one for each pair of ids. Null keys link nothing.
+    """
+    keys = lambda df, i: df.filter(F.col(key).isNotNull()).groupBy(i).agg(F.array_sort(F.collect_set(key)).alias("_keys"))
+    of_left, of_right = keys(left, left_id), keys(right, right_id)
+    counted = of_right.groupBy("_keys").agg(F.count(right_id).alias("_n"), F.min(right_id).alias("_first"))
+    each = of_left.select("_keys").distinct().select(F.col("_keys").alias("_own"), F.explode("_keys").alias(key))
+    pairs = each.join(counted.select("*", F.explode("_keys").alias(key)), key).select("_own", "_keys", "_n", "_first").distinct()  # two classes may share several keys
+    sums = pairs.groupBy(F.col("_own").alias("_keys")).agg(F.sum("_n").alias("linked"), F.min("_first").alias("first"))
+    return of_left.join(sums, "_keys").select(left_id, "linked", "first")
+
+
 def unpivot_cells(table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """One row per non-blank cell: the keys, column_index (from 1), column_name, raw_value."""
     cells = F.array(

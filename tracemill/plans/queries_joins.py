@@ -200,8 +200,7 @@ def linked_records(spark, d):
     fan = lambda df, key, nation, n, name: df.select(
         F.col(key).alias(name), F.explode(F.array_distinct(F.array(F.concat(F.lit("n"), F.col(nation).cast("string")), F.concat(F.lit("m"), (F.col(key) % n).cast("string"))))).alias("k")
     )
-    pairs = fan(supplier, "s_suppkey", "s_nationkey", 10, "id").join(fan(customer, "c_custkey", "c_nationkey", 100, "r"), "k").select("id", "r").distinct()
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("linked"), F.min("r").alias("first"))
+    return R.linked_counts(fan(supplier, "s_suppkey", "s_nationkey", 10, "id"), fan(customer, "c_custkey", "c_nationkey", 100, "r"))
 
 
 @register(
