@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators import jobs, ontology
@@ -183,22 +185,21 @@ def legacy_rows(spark, d):
     fields = lambda **named: F.create_map(*(x for k, v in named.items() for x in (F.lit(k), v))).cast("map<string,string>")
     rows = customer_orders(spark, d).select(F.col("o_custkey").alias("workbook"), F.posexplode("orders").alias("_at", "o"))
     key, status, first = F.col("o.o_orderkey").cast("string"), F.col("o.o_orderstatus"), F.col("_at") == 0
-    row = lambda sheet, values, when=F.lit(True): F.when(when, F.struct(F.lit(sheet).alias("sheet"), values.alias("fields")))
+    # a branch for each sheet, so that a projection of one sheet makes no rows of the others
+    row = lambda sheet, values, when=F.lit(True): rows.filter(when).select("workbook", (F.col("_at") + 1).alias("position"), F.lit(sheet).alias("sheet"), values.alias("fields"))
     flag = F.when(status == "F", "Yes").when(status == "O", " no").otherwise("perhaps")
-    sheets = F.array_compact(
-        F.array(
-            row(ontology.BUSINESS, fields(company_name=F.lit(""), covered_entity_status=F.lit("Covered"), handles_ftl_foods=flag), first),
-            row(ontology.PRODUCTS, fields(product_id=key, is_ftl_maybe=flag)),
-            row(ontology.PLAN, fields(plan_item=F.lit("point_of_contact"), answer=key), first),
-            row(ontology.EVENTS, fields(event_id=key, event_type=F.when(status == "F", "Ship").when(status == "O", " First Land-Based Receiving ").otherwise("unheard of"))),
-            row(ontology.LINES, fields(event_line_id=key, quantity=F.when(status == "P", "some").otherwise("2.5"))),
-            row(ontology.VALUES, fields(event_id=key, kde_name=F.lit("Lot"), field_key=F.when(status == "F", "lot").otherwise(""), kde_value=F.when(status == "P", "").otherwise("x"))),
-            row(ontology.LINEAGE, fields(lineage_id=key, lineage_status=F.when(status == "F", "GAP").otherwise("?"))),
-            row(ontology.DOCUMENTS, fields(evidence_id=key, evidence_status=F.when(status == "O", "Optional"))),
-            row(ontology.CLAIMS, fields(claim_id=key, evidence_provided=flag)),
-        )
-    )
-    return rows.select("workbook", F.col("_at").alias("position0"), F.inline(sheets)).select("workbook", (F.col("position0") + 1).alias("position"), "sheet", "fields")
+    sheets = [
+        row(ontology.BUSINESS, fields(company_name=F.lit(""), covered_entity_status=F.lit("Covered"), handles_ftl_foods=flag), first),
+        row(ontology.PRODUCTS, fields(product_id=key, is_ftl_maybe=flag)),
+        row(ontology.PLAN, fields(plan_item=F.lit("point_of_contact"), answer=key), first),
+        row(ontology.EVENTS, fields(event_id=key, event_type=F.when(status == "F", "Ship").when(status == "O", " First Land-Based Receiving ").otherwise("unheard of"))),
+        row(ontology.LINES, fields(event_line_id=key, quantity=F.when(status == "P", "some").otherwise("2.5"))),
+        row(ontology.VALUES, fields(event_id=key, kde_name=F.lit("Lot"), field_key=F.when(status == "F", "lot").otherwise(""), kde_value=F.when(status == "P", "").otherwise("x"))),
+        row(ontology.LINEAGE, fields(lineage_id=key, lineage_status=F.when(status == "F", "GAP").otherwise("?"))),
+        row(ontology.DOCUMENTS, fields(evidence_id=key, evidence_status=F.when(status == "O", "Optional"))),
+        row(ontology.CLAIMS, fields(claim_id=key, evidence_provided=flag)),
+    ]
+    return reduce(DataFrame.unionByName, sheets)
 
 
 _CASE = "CASE o_orderstatus WHEN 'F' THEN '{}' WHEN 'O' THEN '{}' ELSE '{}' END"
