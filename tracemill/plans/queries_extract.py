@@ -124,7 +124,10 @@ def built_sections(spark, d):
         F.when(F.col("c_custkey") % 2 == 0, "see 1.1325").otherwise(""), F.lit("<ul><li>&amp;<li>fourth</ul></section><h4>no</h4><h2>21 CFR 1.1340 Shipping</h2><table><tr><td>"),
         F.col("c_mktsegment"), F.lit("<td><span>last</table><script>var x = '<p>no</p>';</script>bare"),
     )
-    return markup.html_sections(table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")))
+    # narrow rows are read by a few tasks only, and a shuffle without a number would be merged by its size to a few again, while parsing is what takes time
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(tasks, "c_custkey")
+    return markup.html_sections(rows.select(F.col("c_custkey").alias("page_id"), html.alias("html")))
 
 
 @register(
