@@ -76,3 +76,18 @@ def test_bounded_claims_retries_and_guards(spark, store, tmp_path):
     assert [(r["job_id"], r["attempts"], r["continues"]) for r in rows if r["seq"] == 105] == [("j3", 2, True)]
     assert [(r["job_id"], r["attempts"], r["continues"]) for r in rows if r["seq"] == 107] == [("j1", 2, False)]
     assert [r["status"] for r in rows if r["seq"] == 106] == ["retryable"] and {r["kind"] for r in rows if r["seq"] in (90, 108)} == {"ignored"}
+
+
+def test_a_table_needs_no_state_store(spark):
+    """The rules go through sorted rows: no call of a state store for each job, and the same outcomes, nulls and unknown kinds included."""
+    jobs = [command(0, k, "enqueue", f"j{k}", job_type="parse", priority=k % 3) for k in range(7)] + [command(0, 20, "enqueue", "j1"), command(0, 21, "enqueue", None), command(0, 1, "enqueue", "n", queue=None)]
+    later = [command(3, 30, "claim", worker="w", max_jobs=4, job_types=["parse"]), command(4, 31, "complete", "j0", worker="w"), command(4, 32, "fail", "j3"), command(5, 33, "retry", "j3"), command(5, 34, "odd", "j3")]
+    wave = [command(30, 35, "claim", worker="v", max_jobs=50), command(31, 36, "complete", "j0"), command(31, 1, "claim", worker="v", queue=None), command(32, 2, "claim", worker="v", queue="empty")]
+    df = Q.job_outcomes(spark.createDataFrame([*wave, *later, *jobs], Q.COMMANDS))
+    assert "StateStore" not in df._jdf.queryExecution().executedPlan().toString() and "TransformWithState" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = [r.asDict() for r in df.collect()]
+    first, second = [(3, f"j{k}", "w", 1) for k in (0, 1, 3, 6)], [(30, f"j{k}", "v", 1 + (k in (1, 3, 6))) for k in range(1, 7)]
+    assert sorted(told(rows, "claimed")) == sorted([*first, *second, (31, "n", "v", 1)])
+    assert sorted((r["seq"] for r in rows if r["kind"] == "ignored")) == [20, 21, 34, 36]
+    assert [(r["queue"], r["continues"]) for r in rows if r["kind"] == "nothing_to_claim"] == [("empty", False)]
+    assert {(r["seq"], r["status"], r["attempts"]) for r in rows if r["seq"] in (31, 32, 33)} == {(31, "succeeded", 1), (32, "failed", 1), (33, "retryable", 1)}

@@ -40,8 +40,6 @@ def _commands(spark, d):
 )
 def job_queue(spark, d):
     """What each worker won: leases that ran out and failed jobs come back at the third wave, failed ones not yet at the second."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", Q.STATE_STORE)
-    spark.streams.active  # noqa: B018  starts the coordinator of the state stores, which a table doesn't
     won = Q.job_outcomes(_commands(spark, d)).filter("kind = 'claimed'")
     minute = ((F.unix_timestamp("at") - F.unix_timestamp(F.lit(_START).cast("timestamp"))) / 60).cast("int")
     return won.select("queue", minute.alias("minute"), "job_id", "worker", "attempts", "continues")

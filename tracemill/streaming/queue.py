@@ -5,6 +5,8 @@ whatever the number of workers. Open jobs are a map in the state store, closed o
 timers in event time, so a lease ends on time even if nobody asks. Everything is told in the commands' own time: a stream that
 is read again from its checkpoint gives the same answers.
 
+A table of commands needs no state store: its rows are sorted by queue and time, and the same rules go through each queue's rows in one pass.
+
 A queue is one key. A queue with very many commands should be sharded by its caller (job type and a hash of the job's id);
 a claim then goes to a shard.
 """
@@ -16,7 +18,9 @@ from datetime import datetime, timedelta, timezone
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 COMMANDS = (
@@ -29,6 +33,9 @@ JOB = "job_type string, status string, priority int, available_at timestamp, cre
 LEASE_MINUTES, RETRY_MINUTES, MAX_ATTEMPTS, PRIORITY = 15, 5, 3, 100
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Outcomes that a task holds before it hands them on.
+ROWS_AT_ONCE = 10_000
+
 _FIELDS = [f.split()[0] for f in JOB.split(", ")]
 
 
@@ -43,8 +50,8 @@ def _millis(moment: datetime) -> int:
     return int(moment.replace(tzinfo=timezone.utc).timestamp() * 1000)
 
 
-class Queue(StatefulProcessor):
-    """State and rules of one queue.
+class Rules:
+    """What commands do to the jobs of one queue, all of which are given.
 
     claim: up to max_jobs jobs of the wanted types (none named: all) that are queued or retryable, or whose lease has run out, are available and have attempts
     left, by priority, availability, creation; `continues` tells whether as many as wanted were found. complete: done, from running. fail: retryable after five minutes,
@@ -55,49 +62,17 @@ class Queue(StatefulProcessor):
     def __init__(self, lease_minutes: int = LEASE_MINUTES, retry_minutes: int = RETRY_MINUTES):
         self.lease, self.pause = timedelta(minutes=lease_minutes), timedelta(minutes=retry_minutes)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open_jobs = handle.getMapState("open_jobs", "job_id string", JOB)
-        self.closed_jobs = handle.getMapState("closed_jobs", "job_id string", JOB)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        commands = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")  # as many as a micro-batch has for the queue
-        jobs = {k[0]: dict(zip(_FIELDS, v, strict=True)) for k, v in self.open_jobs.iterator()}
-        before, out = {k: dict(v) for k, v in jobs.items()}, []
-        for command in commands.to_dict("records"):
-            command = {k: _plain(v) for k, v in command.items()}
-            out += getattr(self, f"_{command['kind']}", self._unknown)(jobs, command)
-        self._keep(jobs, before)
-        if out:
-            yield _frame(key[0], out)
+    def tell(self, jobs: dict[str, dict], command: dict) -> list[tuple]:
+        return getattr(self, f"_{command['kind']}", self._unknown)(jobs, command)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        """Leases that end at this timer: their jobs may be claimed again if attempts are left, else they have failed."""
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        jobs = {k[0]: dict(zip(_FIELDS, v, strict=True)) for k, v in self.open_jobs.iterator()}
-        before, out = {k: dict(v) for k, v in jobs.items()}, []
-        for job_id, job in sorted(jobs.items()):
-            if job["status"] == "running" and _millis(job["locked_at"] + self.lease) <= due:
-                job["status"] = "retryable" if job["attempts"] < job["max_attempts"] else "failed"
-                out.append((job["locked_at"] + self.lease, None, "lease_expired", job_id, job["worker"], job["attempts"], job["status"], job["available_at"], None))
-                job["worker"] = job["locked_at"] = None
-        self._keep(jobs, before)
-        if out:
-            yield _frame(key[0], out)
+    def closed(self, job_id: str) -> dict | None:
+        """A job that isn't among the given ones."""
 
-    def close(self) -> None:
+    def reopened(self, job_id: str) -> None:
         pass
 
-    def _keep(self, jobs: dict[str, dict], before: dict[str, dict]) -> None:
-        for job_id, job in jobs.items():
-            if job != before.get(job_id):
-                row = tuple(job[f] for f in _FIELDS)
-                if job["status"] in ("succeeded", "failed"):
-                    self.closed_jobs.updateValue((job_id,), row)
-                    if job_id in before:
-                        self.open_jobs.removeKey((job_id,))
-                else:
-                    self.open_jobs.updateValue((job_id,), row)
+    def leased(self, until: datetime) -> None:
+        pass
 
     def _said(self, command: dict, job_id: str, job: dict | None, kind: str | None = None, continues: bool | None = None) -> tuple:
         seen = job or dict.fromkeys(_FIELDS)
@@ -107,8 +82,8 @@ class Queue(StatefulProcessor):
         return [self._said(command, command["job_id"], None, "ignored")]
 
     def _find(self, jobs: dict, job_id: str) -> dict | None:
-        if job_id not in jobs and self.closed_jobs.containsKey((job_id,)):
-            jobs[job_id] = dict(zip(_FIELDS, self.closed_jobs.getValue((job_id,)), strict=True))
+        if job_id not in jobs and (job := self.closed(job_id)):
+            jobs[job_id] = job
         return jobs.get(job_id)
 
     def _enqueue(self, jobs: dict, command: dict) -> list[tuple]:
@@ -135,7 +110,8 @@ class Queue(StatefulProcessor):
         won = sorted((i for i, job in jobs.items() if may(job)), key=order)[:wanted]
         for job_id in won:
             jobs[job_id].update(status="running", worker=command["worker"], locked_at=now, attempts=jobs[job_id]["attempts"] + 1)
-            self.handle.registerTimer(_millis(now + self.lease))
+        if won:
+            self.leased(now + self.lease)
         told = [self._said(command, i, jobs[i], "claimed", len(won) == wanted) for i in won]
         return told or [self._said(command, None, None, "nothing_to_claim", False)]
 
@@ -163,11 +139,68 @@ class Queue(StatefulProcessor):
         job = self._find(jobs, command["job_id"]) if command["job_id"] is not None else None
         if not job or job["status"] not in ("failed", "retryable") or job["attempts"] >= job["max_attempts"]:
             return self._unknown(jobs, command)
-        self.closed_jobs.removeKey((command["job_id"],))
+        self.reopened(command["job_id"])
         job.update(status="retryable", available_at=command["at"], worker=None, locked_at=None)
         return [self._said(command, command["job_id"], job)]
 
 
+class Queue(Rules, StatefulProcessor):
+    """The rules over a stream: open jobs are read for each micro-batch, closed ones looked up, and what has changed is kept."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open_jobs = handle.getMapState("open_jobs", "job_id string", JOB)
+        self.closed_jobs = handle.getMapState("closed_jobs", "job_id string", JOB)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        commands = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")  # as many as a micro-batch has for the queue
+        jobs = {k[0]: dict(zip(_FIELDS, v, strict=True)) for k, v in self.open_jobs.iterator()}
+        before, out = {k: dict(v) for k, v in jobs.items()}, []
+        for command in commands.to_dict("records"):
+            command = {k: _plain(v) for k, v in command.items()}
+            out += self.tell(jobs, command)
+        self._keep(jobs, before)
+        if out:
+            yield _frame(key[0], out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """Leases that end at this timer: their jobs may be claimed again if attempts are left, else they have failed."""
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        jobs = {k[0]: dict(zip(_FIELDS, v, strict=True)) for k, v in self.open_jobs.iterator()}
+        before, out = {k: dict(v) for k, v in jobs.items()}, []
+        for job_id, job in sorted(jobs.items()):
+            if job["status"] == "running" and _millis(job["locked_at"] + self.lease) <= due:
+                job["status"] = "retryable" if job["attempts"] < job["max_attempts"] else "failed"
+                out.append((job["locked_at"] + self.lease, None, "lease_expired", job_id, job["worker"], job["attempts"], job["status"], job["available_at"], None))
+                job["worker"] = job["locked_at"] = None
+        self._keep(jobs, before)
+        if out:
+            yield _frame(key[0], out)
+
+    def close(self) -> None:
+        pass
+
+    def closed(self, job_id: str) -> dict | None:
+        return dict(zip(_FIELDS, self.closed_jobs.getValue((job_id,)), strict=True)) if self.closed_jobs.containsKey((job_id,)) else None
+
+    def reopened(self, job_id: str) -> None:
+        self.closed_jobs.removeKey((job_id,))
+
+    def leased(self, until: datetime) -> None:
+        self.handle.registerTimer(_millis(until))
+
+    def _keep(self, jobs: dict[str, dict], before: dict[str, dict]) -> None:
+        for job_id, job in jobs.items():
+            if job != before.get(job_id):
+                row = tuple(job[f] for f in _FIELDS)
+                if job["status"] in ("succeeded", "failed"):
+                    self.closed_jobs.updateValue((job_id,), row)
+                    if job_id in before:
+                        self.open_jobs.removeKey((job_id,))
+                else:
+                    self.open_jobs.updateValue((job_id,), row)
+
+
 def _frame(queue: str, rows: list[tuple]) -> pd.DataFrame:
     names = [f.split()[0] for f in OUTCOMES.split(", ")]
     frame = pd.DataFrame([(queue, *r) for r in rows], columns=names)
@@ -175,11 +208,56 @@ def _frame(queue: str, rows: list[tuple]) -> pd.DataFrame:
     return frame.astype(kinds)
 
 
+def _values(column: pa.Array) -> list:
+    """As to_pylist, by way of an array where that keeps the values as they are."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    whole = pa.types.is_timestamp(column.type) or pa.types.is_string(column.type) or (not column.null_count and pa.types.is_primitive(column.type))
+    return column.to_numpy(zero_copy_only=False).tolist() if whole else column.to_pylist()
+
+
+def _of_table(commands: DataFrame, rules: Rules) -> DataFrame:
+    """OUTCOMES of a table: a task goes through its queues one after the other and holds the jobs of one of them."""
+    names = [f.split()[0] for f in OUTCOMES.split(", ")]
+    zoned = ("at", "available_at")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, jobs, out = object(), {}, []
+
+        def told() -> pa.RecordBatch:
+            kinds = {"seq": pa.int64(), "attempts": pa.int32(), "continues": pa.bool_()} | dict.fromkeys(zoned, pa.timestamp("us"))
+            columns = [pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, zip(*out, strict=True), strict=True)]
+            columns = [c.cast(pa.timestamp("us", "UTC")) if n in zoned else c for n, c in zip(names, columns, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for frame in frames:
+            for n in zoned:
+                k = frame.schema.get_field_index(n)
+                frame = frame.set_column(k, n, frame.column(k).cast(pa.timestamp("us")))
+            for command in zip(*map(_values, frame.columns), strict=True):
+                command = dict(zip(frame.schema.names, command, strict=True))
+                if command["queue"] != queue:
+                    queue, jobs = command["queue"], {}
+                out += [(queue, *row) for row in rules.tell(jobs, command)]
+                if len(out) >= ROWS_AT_ONCE:
+                    yield told()
+                    out = []
+        if out:
+            yield told()
+
+    # a number is given, as narrow rows would be merged by their size to a few tasks, while the rules are what takes time
+    tasks = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = commands.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in COMMANDS.split(", "))).repartition(tasks, "queue")
+    return rows.sortWithinPartitions("queue", F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last()).mapInArrow(run, OUTCOMES)
+
+
 def job_outcomes(commands: DataFrame, late: str = "0 seconds", lease_minutes: int = LEASE_MINUTES, retry_minutes: int = RETRY_MINUTES) -> DataFrame:
     """OUTCOMES of a stream or table of COMMANDS, for append mode. Timers fire once the watermark has passed them; a table has none, as nothing follows it.
 
-    The session's state store has to be STATE_STORE and its time zone UTC. Commands that are later than the watermark are dropped by Spark.
+    The session's time zone has to be UTC and, for a stream, its state store STATE_STORE. Commands of a stream that are later than the watermark are dropped by Spark.
     """
+    if not commands.isStreaming:
+        return _of_table(commands, Rules(lease_minutes, retry_minutes))
     keyed = commands.withWatermark("at", late).groupBy("queue")
     return keyed.transformWithStateInPandas(Queue(lease_minutes, retry_minutes), OUTCOMES, "append", "eventTime")
 
