@@ -527,6 +527,34 @@ def test_media(spark):
     assert op09_media_copies.find_copies(clash(asked), clash(media).limit(0)).count() == 0
 
 
+def test_a_group_of_near_copies_costs_its_members(spark, monkeypatch):
+    """Near copies are compared with few queries each, not with all of their group; the classes are those of all links."""
+    rnd = np.random.default_rng(9)
+    encode, op = op09_media_copies.encode_image, op09_media_copies
+    base, other = wavy(rnd, 150, 20), wavy(rnd, 150, 20)
+    near = [base + 2 * rnd.standard_normal(base.shape) for _ in range(40)]
+    media = [(k, encode(i)) for k, i in enumerate(near)] + [(100, encode(other)), (101, encode(np.hstack([base, other])))]
+    asked = [(1000 + k, encode(i[14:-7, 7:-14] * 0.8 + 20)) for k, i in enumerate(near[:20])] + [(2000, encode(other[10:, 10:]))]
+    compared = []
+    verified = op._verified
+    monkeypatch.setattr(op, "_verified", lambda pairs, rows, *more: compared.append(rows) or verified(pairs, rows, *more))
+    frames = (spark.createDataFrame(x, "media_id long, content binary") for x in (asked, media))
+    got = {r.media_id: (r.n_queries, r.query_id) for r in op.find_copies(*frames).collect()}
+    of = lambda rows: {rows[k][0]: (p, c) for k, p, c in op.describe_each([op.decode_image(x) for _, x in rows])}
+    known, wanted = of(media), of(asked)
+    links = [(q, m) for q, a in wanted.items() for m, b in known.items() if op.consensus(*a, *b) >= op.LEAST_INLIERS]
+    assert len(links) > 780
+    part = {n: {n} for n in (*known, *wanted)}
+    for q, m in links:
+        if part[q] is not part[m]:
+            part[q] |= part[m]
+            for n in part[m]:
+                part[n] = part[q]
+    classes = {m: sorted(n for n in part[m] if n >= 1000) for _, m in links}
+    assert got == {m: (len(v), v[0]) for m, v in classes.items()}
+    assert sum(compared) < len(links) / 2
+
+
 def test_small_crop_of_a_large_picture():
     """A crop of a tenth, of a picture that is described tile by tile."""
     rnd = np.random.default_rng(4)

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import batches, durable, forgetting, measured, small
+from tracemill.llm.components import connected_components
 
 #: Strongest corners kept in each cell (side in pixels of its scale) of an image, and the scales as divisors.
 CORNERS, CELL, SCALES = 24, 64, (1.0, 1.25, 1.5625, 1.953, 2.441)
@@ -277,26 +278,10 @@ def _of_class(media: DataFrame) -> DataFrame:
     return known.select(F.col("media_id").cast("long").alias("media_id"), F.unhex(F.md5("content")).alias("mark"), "content")
 
 
-def find_copies(queries: DataFrame, media: DataFrame) -> DataFrame:
-    """(media_id, n_queries, query_id, inliers): images of media (media_id, content) that hold much of some queries' pictures.
-
-    One row for each such image: of how many queries, the least of them, and the most matched corners with one of them.
-    Null, broken or featureless images match nothing; equal images match; repeated rows of an id count
-    once. Empty tables give an empty one. All rows of both tables are searched, and no bucket is cut.
-    """
-    asked, all_media = _of_class(queries), _of_class(media)
-    asking = durable(asked.select("media_id", "mark").distinct().groupBy("mark").agg(F.min("media_id").alias("query_id"), F.count(F.lit(1)).alias("asking")))
-    described = durable(features(asked).dropDuplicates(["mark"]))
-    keys = described.select(F.col("mark").alias("query"), F.posexplode("bands").alias("at", "key"))
-    keys = durable(keys.select("query", F.floor(F.col("at") / BANDS).cast("int").alias("corner"), "key"))
-    marked = _marked(keys)
-    # one row for each query, image and query corner, then the corners that agree
-    shared = _hits(all_media, marked).distinct().join(keys, "key")
-    pairs = shared.groupBy("query", "mark").agg(F.count_distinct("corner").alias("corners")).filter(F.col("corners") >= LEAST_SHARED)
-    pairs, count = measured(pairs.select("query", "mark"))
-    marked.destroy()
+def _verified(pairs: DataFrame, rows: int, described: DataFrame, all_media: DataFrame) -> DataFrame:
+    """(query, mark, inliers) of so many pairs (query, mark) that are copies; each content's corners are found once."""
     found_marks = pairs.select("mark").distinct()
-    first = all_media.select("media_id", "mark").join(small(found_marks, count.rows), "mark", "left_semi").groupBy("mark").agg(F.min("media_id").alias("media_id"))
+    first = all_media.select("media_id", "mark").join(small(found_marks, rows), "mark", "left_semi").groupBy("mark").agg(F.min("media_id").alias("media_id"))
     first, count = measured(first)
     wanted = features(all_media.join(small(first, count.rows), ["mark", "media_id"], "left_semi")).dropDuplicates(["mark"])
 
@@ -312,11 +297,73 @@ def find_copies(queries: DataFrame, media: DataFrame) -> DataFrame:
             yield out[out["inliers"] >= LEAST_INLIERS]
 
     side = lambda df, key, name: df.select(F.col("mark").alias(key), F.col("places").alias(f"places_{name}"), F.col("codes").alias(f"codes_{name}"))
-    verified = pairs.join(side(described, "query", "a"), "query").join(side(wanted, "mark", "b"), "mark")
-    verified = verified.mapInPandas(run, "query binary, mark binary, inliers long").join(asking.withColumnRenamed("mark", "query"), "query")
-    verified = verified.groupBy("mark").agg(F.sum("asking").alias("n_queries"), F.min("query_id").alias("query_id"), F.max("inliers").alias("inliers"))
-    verified, count = measured(verified)
-    return all_media.select("media_id", "mark").distinct().join(small(verified, count.rows), "mark").select("media_id", "n_queries", "query_id", "inliers")
+    both = pairs.join(side(described, "query", "a"), "query").join(side(wanted, "mark", "b"), "mark")
+    return both.mapInPandas(run, "query binary, mark binary, inliers long")
+
+
+def _node(kind: str, mark: str) -> Column:
+    return F.xxhash64(F.lit(kind), mark)
+
+
+def _classes(links: DataFrame) -> DataFrame:
+    return durable(connected_components(links.select(_node("query", "query").alias("a"), _node("image", "mark").alias("b"))))
+
+
+def _classed(df: DataFrame, kind: str, mark: str, classes: DataFrame) -> DataFrame:
+    """df with the class of its query or image; one without a link is a class of its own."""
+    node = _node(kind, mark)
+    return df.withColumn("_node", node).join(classes.withColumnRenamed("id", "_node"), "_node", "left").withColumn("class", F.coalesce("component", "_node")).drop("_node", "component")
+
+
+def _across(lists: DataFrame, hits: DataFrame, classes: DataFrame) -> DataFrame:
+    """(query, mark, corners): all queries and images that share a key and are of different classes."""
+    asking, seen = _classed(lists, "query", "query", classes), _classed(hits, "image", "mark", classes).withColumnRenamed("class", "other")
+    apart = asking.join(seen.select("key", "other").distinct(), "key").filter(F.col("class") != F.col("other"))
+    return apart.join(seen, ["key", "other"]).select("query", "mark", "corners")
+
+
+def find_copies(queries: DataFrame, media: DataFrame) -> DataFrame:
+    """(media_id, n_queries, query_id, inliers): images of media (media_id, content) that hold much of some queries' pictures.
+
+    One row for each such image. Queries and images are linked when their corners match, and linked ones are a class: n_queries is how many queries the image's class has, query_id the
+    least of them, inliers the most matched corners with one of those that the image was compared with. Each image is compared with the least query and each query with the least image that share enough
+    with it, of those that head the lists of equal band keys; what that leaves in different classes is compared pair by pair, so no link between classes is lost and a group of near copies costs as much as it has members.
+    Null, broken or featureless images match nothing; equal images match; repeated rows of an id count
+    once. Empty tables give an empty one. All rows of both tables are searched, and no bucket is cut.
+    """
+    asked, all_media = _of_class(queries), _of_class(media)
+    asking = durable(asked.select("media_id", "mark").distinct().groupBy("mark").agg(F.min("media_id").alias("query_id"), F.count(F.lit(1)).alias("asking")))
+    described = durable(features(asked).dropDuplicates(["mark"]))
+    keys = described.select(F.col("mark").alias("query"), F.posexplode("bands").alias("at", "key"))
+    lists = durable(keys.groupBy("query", "key").agg(F.collect_set(F.floor(F.col("at") / BANDS).cast("int")).alias("corners")))
+    marked = _marked(lists)
+    hits = durable(_hits(all_media, marked).distinct())
+    marked.destroy()
+    heads = durable(lists.groupBy("key").agg(F.min(F.struct("query", "corners")).alias("head"), F.count(F.lit(1)).alias("queries")))
+    # keys that several queries have; in the others' lists all images meet their one query
+    crowded, count = measured(heads.filter("queries > 1").select("key"))
+    lists, crowd = (df.join(small(crowded, count.rows), "key", "left_semi") for df in (lists, hits))
+    stars = hits.join(heads, "key").select("head.query", "mark", "head.corners")
+    stars = stars.unionByName(lists.join(crowd.groupBy("key").agg(F.min("mark").alias("mark")), "key").select("query", "mark", "corners"))
+    corners = F.array_distinct(F.flatten(F.collect_set("corners"))).alias("corners")
+    shared = durable(stars.groupBy("query", "mark").agg(corners))
+    enough = F.size("corners") >= LEAST_SHARED
+    likely = shared.filter(enough)
+    pairs = likely.groupBy("mark").agg(F.min("query").alias("query")).unionByName(likely.groupBy("query").agg(F.min("mark").alias("mark"))).distinct()
+    pairs, count = measured(pairs)
+    links, linked = measured(_verified(pairs, count.rows, described, all_media))
+    classes = _classes(links)
+    apart = _classed(_classed(shared, "query", "query", classes).withColumnRenamed("class", "other"), "image", "mark", classes).filter(F.col("class") != F.col("other"))
+    rest = _across(lists, crowd, classes).unionByName(apart.select("query", "mark", "corners")).groupBy("query", "mark").agg(corners).filter(enough)
+    rest, count = measured(rest.select("query", "mark").join(pairs, ["query", "mark"], "left_anti"))
+    if count.rows:
+        more, added = measured(_verified(rest, count.rows, described, all_media))
+        if added.rows:
+            links, linked = measured(links.unionByName(more))
+            classes = _classes(links)
+    of = _classed(asking.withColumnRenamed("mark", "query"), "query", "query", classes).groupBy("class").agg(F.sum("asking").alias("n_queries"), F.min("query_id").alias("query_id"))
+    found = _classed(links.groupBy("mark").agg(F.max("inliers").alias("inliers")), "image", "mark", classes).join(of, "class")
+    return all_media.select("media_id", "mark").distinct().join(small(found, linked.rows), "mark").select("media_id", "n_queries", "query_id", "inliers")
 
 
 def pictures(vectors: DataFrame, size: int = 96) -> DataFrame:
