@@ -44,3 +44,20 @@ def test_checks_and_overrides(spark):
 
     bare = marks.filter("benchmark_id = 'plan'").withColumns({"expected_plan_ids": F.array().cast("array<string>"), "expected_export_ids": F.array().cast("array<string>")})
     assert ran(spark, bare, every, ["plan"])["plan"].failures == ["sortable export obligations is empty", f"traceability plan obligation lacks {R.PLAN}"]
+
+
+def test_only_failures_are_gathered(spark):
+    """A benchmark gives one row and one for each value that isn't approved, whatever is expected of it, and its wide row isn't shuffled."""
+    marks = built(spark, ("tuna", [("e1", "first_land_based_receiving"), ("e2", "shipping")]), ("odd", [("e1", "flying"), ("e1", "flying")]))
+    every = [R.SCOPE, R.PLAN, R.ASSIGNMENT, *R.RECORDS, R.EXPORT, *R.KDE_BY_CTE.values()]
+    sets = spark.createDataFrame([("approved obligations", a) for a in every if "SHIPPING" not in a], "set_name string, value string")
+    coverage = spark.createDataFrame([("tuna", "complete"), ("tuna", "partial"), ("unknown", "partial"), (None, "partial")], "benchmark_id string, coverage_status string")
+    rows = sorted((r.benchmark_id, r.marked, sorted(f.failure for f in r.failed)) for r in R.failures(marks, coverage, sets).collect())
+    lacks = f"not among approved obligations: {R.KDE_BY_CTE['shipping']}"
+    assert rows == [
+        ("odd", True, ["e1 executable obligation is empty"] * 2), ("tuna", False, []), ("tuna", False, ["citation coverage is partial, not complete"]), ("tuna", True, []),
+        ("tuna", True, [f"e2 obligations {lacks}"]), ("tuna", True, [f"obligations {lacks}"]), ("unknown", False, ["citation coverage is partial, not complete"]),
+    ]
+    got = {r.benchmark_id: r for r in R.run_regression(marks, coverage, sets.selectExpr("value obligation_id")).collect()}
+    assert set(got) == {"tuna", "odd"} and got["odd"].failures == ["citation coverage is missing, not complete", "e1 executable obligation is empty"]
+    assert got["tuna"].failed_checks == ["citations_complete", "event_contract", "expected_obligations_approved"] and len(got["tuna"].failures) == 3

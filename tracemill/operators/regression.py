@@ -1,7 +1,8 @@
 """Scenario regression: benchmarks built from drafts, expectations as rows, and one comparer for all of them.
 
 A benchmark is turned into rows that each expect one thing of one subject. The comparer knows four kinds of expectation and
-nothing of what they are about; what may be approved is joined, so neither benchmarks nor approvals have to fit anywhere.
+nothing of what they are about; what may be approved is joined, so neither benchmarks nor approvals have to fit anywhere. What a benchmark's row
+can tell is told there, and only failures are brought together, by one shuffle of narrow rows.
 """
 
 from __future__ import annotations
@@ -82,20 +83,24 @@ def benchmarks(drafts: DataFrame, kde_fields: DataFrame) -> DataFrame:
     return rows.withColumn("expected_obligation_ids", F.array_distinct(every)).drop("_fields")
 
 
-def expectations(marks: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(benchmark_id, check_id, kind, subject, actual, wanted): everything that is expected of benchmarks.
+def what(check: str, kind: str, subject: Column, actual: Column, wanted: Column) -> Column:
+    """An expectation. Kinds: equals (actual is wanted), in_set (each of actual is in the set that wanted names), present (actual isn't empty), has (wanted is among actual)."""
+    return F.struct(F.lit(check).alias("check_id"), F.lit(kind).alias("kind"), subject.alias("subject"), actual.alias("actual"), wanted.cast("string").alias("wanted"))
 
-    Kinds: equals (actual is wanted), in_set (each of actual is in the set that wanted names), present (actual isn't empty), has (wanted is among actual). coverage:
-    benchmark_id, coverage_status of its citations.
-    """
-    what = lambda check, kind, subject, actual, wanted: F.struct(
-        F.lit(check).alias("check_id"), F.lit(kind).alias("kind"), subject.alias("subject"), actual.alias("actual"), wanted.cast("string").alias("wanted")
-    )
+
+def _one(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) != "", F.array(text)).otherwise(_texts())
+
+
+def covered(status: Column) -> Column:
+    """What is expected of the status of a benchmark's citations; null stands for none."""
+    return F.array(what("citations_complete", "equals", F.lit("citation coverage"), _one(status), F.lit("complete")))
+
+
+def expectations() -> Column:
+    """Everything that is expected of a benchmark itself, as an array of expectations over its columns."""
     none, name = F.lit(None), F.lit
-    one = lambda text: F.when(F.coalesce(text, F.lit("")) != "", F.array(text)).otherwise(_texts())
-    rows = marks.join(coverage.select("benchmark_id", "coverage_status"), "benchmark_id", "left")
     whole = F.array(
-        what("citations_complete", "equals", name("citation coverage"), one(F.col("coverage_status")), name("complete")),
         what("expected_obligations_approved", "in_set", name("obligations"), F.col("expected_obligation_ids"), name("approved obligations")),
         what("traceability_plan_contract", "has", name("traceability plan obligation"), F.col("expected_plan_ids"), name(PLAN)),
         what("traceability_plan_contract", "present", name("records obligations"), F.col("expected_records_ids"), none),
@@ -110,30 +115,48 @@ def expectations(marks: DataFrame, coverage: DataFrame) -> DataFrame:
                 F.when(e["cte_type"] != PLAN_EVENT, what(event, "present", about("executable obligation"), e["expected_obligation_ids"], none)),
                 what(event, "in_set", about("obligations"), e["expected_obligation_ids"], name("approved obligations")),
                 F.when(e["cte_type"].isin(list(KDE_BY_CTE)), what(event, "present", about("KDE fields"), e["expected_kde_field_keys"], none)),
-                what(event, "present", about("TLC behavior"), one(e["expected_tlc_behavior"]), none),
+                what(event, "present", about("TLC behavior"), _one(e["expected_tlc_behavior"]), none),
             )
         )
 
-    return rows.select("benchmark_id", F.inline(F.concat(whole, F.flatten(F.transform("events", of_event)))))
+    return F.concat(whole, F.flatten(F.transform("events", of_event)))
+
 
+def plain_failures(expected: Column) -> Column:
+    """(check_id, failure) of the expectations that need no set."""
 
-def compare(expected: DataFrame, sets: DataFrame) -> DataFrame:
-    """(benchmark_id, check_id, failures): the failures of each check in order, none if it passes. sets: set_name, value."""
-    kinds = ["equals", "has", "present"]
-    plain = expected.filter(F.col("kind").isin(kinds))
-    first = F.coalesce(F.get("actual", F.lit(0)), F.lit("missing"))
-    message = (
-        F.when((F.col("kind") == "equals") & (first != F.col("wanted")), F.concat(F.lit("is "), first, F.lit(", not "), "wanted"))
-        .when((F.col("kind") == "has") & ~F.array_contains("actual", F.col("wanted")), F.concat(F.lit("lacks "), "wanted"))
-        .when((F.col("kind") == "present") & (F.size("actual") == 0), F.lit("is empty"))
+    def message(x: Column) -> Column:
+        first = F.coalesce(F.get(x["actual"], F.lit(0)), F.lit("missing"))
+        kind, wanted = x["kind"], x["wanted"]
+        told = (
+            F.when((kind == "equals") & (first != wanted), F.concat(F.lit("is "), first, F.lit(", not "), wanted))
+            .when((kind == "has") & ~F.array_contains(x["actual"], wanted), F.concat(F.lit("lacks "), wanted))
+            .when((kind == "present") & (F.size(x["actual"]) == 0), F.lit("is empty"))
+        )
+        return F.when(told.isNotNull(), F.struct(x["check_id"].alias("check_id"), F.concat_ws(" ", x["subject"], told).alias("failure")))
+
+    return F.array_compact(F.transform(expected, message))
+
+
+def failures(marks: DataFrame, coverage: DataFrame, sets: DataFrame) -> DataFrame:
+    """(benchmark_id, marked, covered, checks, failed): rows to be brought together, with the failures that each part tells. sets: set_name, value.
+
+    A benchmark gives one row and another for each value that a set lacks; a coverage gives one.
+    """
+    value = lambda x: F.transform(
+        x["actual"], lambda v: F.struct(F.lit(None).cast("array<struct<check_id:string,failure:string>>").alias("failed"), x["check_id"].alias("check_id"), x["subject"].alias("subject"), x["wanted"].alias("set_name"), v.alias("value"))
     )
-    told = plain.select("benchmark_id", "check_id", "subject", message.alias("what"))
-    each = expected.filter("kind = 'in_set'").select("benchmark_id", "check_id", "subject", F.explode_outer("actual").alias("value"), F.col("wanted").alias("set_name"))
+    asked = F.flatten(F.transform(F.filter("expected", lambda x: x["kind"] == "in_set"), value))
+    text = F.lit(None).cast("string")
+    own = F.struct(plain_failures(F.col("expected")).alias("failed"), text.alias("check_id"), text.alias("subject"), text.alias("set_name"), text.alias("value"))
+    rows = marks.select("benchmark_id", expectations().alias("expected")).select("benchmark_id", F.inline(F.concat(F.array(own), F.array_distinct(asked))))
     known = sets.select("set_name", "value").distinct().withColumn("_in", F.lit(True))
-    absent = F.when(F.col("value").isNotNull() & F.col("_in").isNull(), F.concat(F.lit("not among "), "set_name", F.lit(": "), "value"))
-    told = told.unionByName(each.join(known, ["set_name", "value"], "left").select("benchmark_id", "check_id", "subject", absent.alias("what")))
-    failure = F.when(F.col("what").isNotNull(), F.concat_ws(" ", "subject", "what"))
-    return told.groupBy("benchmark_id", "check_id").agg(F.array_sort(F.collect_set(failure)).alias("failures"))  # a benchmark's own events
+    rows = rows.join(known, ["set_name", "value"], "left").filter(F.col("failed").isNotNull() | (F.col("value").isNotNull() & F.col("_in").isNull()))
+    absent = F.array(F.struct("check_id", F.concat_ws(" ", "subject", F.concat(F.lit("not among "), "set_name", F.lit(": "), "value")).alias("failure")))
+    told = rows.select("benchmark_id", F.lit(True).alias("marked"), F.lit(False).alias("covered"), F.coalesce("failed", absent).alias("failed"))
+    status = coverage.filter(F.col("benchmark_id").isNotNull())
+    told = told.unionByName(status.select("benchmark_id", F.lit(False).alias("marked"), F.lit(True).alias("covered"), plain_failures(covered(F.col("coverage_status"))).alias("failed")))
+    return told.withColumn("checks", F.array_distinct(F.transform("failed", lambda f: f["check_id"])))
 
 
 def run_regression(marks: DataFrame, coverage: DataFrame, approved: DataFrame, override_reason: str | None = None) -> DataFrame:
@@ -142,10 +165,17 @@ def run_regression(marks: DataFrame, coverage: DataFrame, approved: DataFrame, o
     approved: obligation_id. Benchmarks are known by their ids, which have to be unique.
     """
     sets = approved.select(F.lit("approved obligations").alias("set_name"), F.col("obligation_id").alias("value"))
-    checks = compare(expectations(marks, coverage), sets)
-    bad = F.size("failures") > 0
-    rows = checks.groupBy("benchmark_id").agg(
-        F.array_sort(F.collect_set(F.when(bad, F.col("check_id")))).alias("failed_checks"), F.array_sort(F.flatten(F.collect_list("failures"))).alias("failures")
+    told = failures(marks, coverage, sets)
+    # rows are dealt before they are gathered, by a number that isn't lowered by their size: a task would else sort all rows that it reads
+    dealt = told.repartition(int(told.sparkSession.conf.get("spark.sql.shuffle.partitions")), "benchmark_id")
+    rows = dealt.groupBy("benchmark_id").agg(
+        F.max("marked").alias("marked"), F.max("covered").alias("covered"), F.array_distinct(F.flatten(F.collect_list("checks"))).alias("checks"), F.array_distinct(F.flatten(F.collect_list("failed"))).alias("failed")
+    )
+    none = plain_failures(covered(F.lit(None).cast("string")))
+    rows = rows.filter("marked").select(
+        "benchmark_id",
+        F.array_sort(F.when(F.col("covered"), F.col("checks")).otherwise(F.array_union("checks", F.array(F.lit("citations_complete"))))).alias("failed_checks"),
+        F.array_sort(F.transform(F.when(F.col("covered"), F.col("failed")).otherwise(F.concat("failed", none)), lambda f: f["failure"])).alias("failures"),
     )
     otherwise = "reviewer_override" if (override_reason or "").strip() else "fail"
     return rows.select("benchmark_id", F.when(F.size("failed_checks") == 0, "pass").otherwise(otherwise).alias("status"), "failed_checks", "failures")
